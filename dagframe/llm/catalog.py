@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 from dagframe.llm.quality_rules import OP10_SQL, op10_quality_rules
+from dagframe.llm.suffix_dedup import op2_suffix_dedup
 
-QUERIES = {"op10_quality_rules": op10_quality_rules}
+QUERIES = {
+    "op2_suffix_dedup": op2_suffix_dedup,
+    "op10_quality_rules": op10_quality_rules,
+}
 ORACLE_SQL = {"op10_quality_rules": OP10_SQL}
