@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from dagframe.llm.near_dedup import OP1_SQL, op1_minhash_dedup
 from dagframe.llm.quality_rules import OP10_SQL, op10_quality_rules
 from dagframe.llm.suffix_dedup import op2_suffix_dedup
 
 QUERIES = {
+    "op1_minhash_dedup": op1_minhash_dedup,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
-ORACLE_SQL = {"op10_quality_rules": OP10_SQL}
+ORACLE_SQL = {"op1_minhash_dedup": OP1_SQL, "op10_quality_rules": OP10_SQL}
