@@ -5,12 +5,14 @@ from __future__ import annotations
 from dagframe.llm.near_dedup import OP1_SQL, op1_minhash_dedup
 from dagframe.llm.packing import op4_packing
 from dagframe.llm.quality_rules import OP10_SQL, op10_quality_rules
+from dagframe.llm.secrets import op6_secret_scan
 from dagframe.llm.suffix_dedup import op2_suffix_dedup
 
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op4_packing": op4_packing,
+    "op6_secret_scan": op6_secret_scan,
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLE_SQL = {"op1_minhash_dedup": OP1_SQL, "op10_quality_rules": OP10_SQL}
