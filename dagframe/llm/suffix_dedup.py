@@ -23,7 +23,7 @@ and 7 literal bytes.
 Defined results: a null text is empty; a null id stands for the text's own hash; rows that
 repeat an id and a text count as occurrences of their own; rows that share an id but not the
 text are one document whose spans apply to each of them; an empty table gives an empty table;
-other columns pass through ``remove_repeats`` (names that start with ``_rep_`` are reserved).
+only the key and text columns are read, and other columns that ``carry`` names come along.
 """
 
 from __future__ import annotations
@@ -258,13 +258,15 @@ def _kept(fields: list[str]):
     return run
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
-    """key, n_bytes, n_removed, n_spans, kept (binary, the remaining bytes) and kept_sha256, one row per input row."""
-    kind = docs.schema[key].dataType.simpleString()
-    own = docs.select(F.col(key).alias("_rep_key"), F.col(text).alias("_rep_text"), clean_id(key, text).alias("doc"))
-    spans = repeated_spans(own.select("doc", F.col("_rep_text").alias("text")), length)
-    joined = attach(own, spans.withColumnRenamed("spans", "_rep_spans"), ["doc"], _size(spans, "spans")).select("_rep_key", "_rep_text", "_rep_spans")
-    return joined.mapInArrow(_kept(["_rep_key"]), f"_rep_key {kind}, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string").withColumnRenamed("_rep_key", key)
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, carry: list[str] | None = None) -> DataFrame:
+    """The columns of carry (by default key), n_bytes, n_removed, n_spans, kept (binary, the remaining bytes) and kept_sha256, one row per input row."""
+    carry = carry or [key]
+    own = docs.select(*carry, F.col(text).alias("_rep_text"), clean_id(key, text).alias("_rep_doc"))
+    spans = repeated_spans(own.select(F.col("_rep_doc").alias("doc"), F.col("_rep_text").alias("text")), length)
+    spans = spans.select(F.col("doc").alias("_rep_doc"), F.col("spans").alias("_rep_spans"))
+    joined = attach(own, spans, ["_rep_doc"], _size(spans, "_rep_spans")).select(*carry, "_rep_text", "_rep_spans")
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
+    return joined.mapInArrow(_kept(carry), f"{kinds}, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
