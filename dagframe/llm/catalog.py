@@ -7,10 +7,12 @@ from dagframe.llm.packing import op4_packing
 from dagframe.llm.quality_rules import OP10_SQL, op10_quality_rules
 from dagframe.llm.secrets import op6_secret_scan
 from dagframe.llm.suffix_dedup import op2_suffix_dedup
+from dagframe.llm.url_filter import op3_url_filter
 
 QUERIES = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_suffix_dedup": op2_suffix_dedup,
+    "op3_url_filter": op3_url_filter,
     "op4_packing": op4_packing,
     "op6_secret_scan": op6_secret_scan,
     "op10_quality_rules": op10_quality_rules,
