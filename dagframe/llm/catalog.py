@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dagframe.llm.licenses import OP9_SQL, op9_license_scan
 from dagframe.llm.near_dedup import OP1_SQL, op1_minhash_dedup
 from dagframe.llm.packing import op4_packing
 from dagframe.llm.quality_rules import OP10_SQL, op10_quality_rules
@@ -15,6 +16,7 @@ QUERIES = {
     "op3_url_filter": op3_url_filter,
     "op4_packing": op4_packing,
     "op6_secret_scan": op6_secret_scan,
+    "op9_license_scan": op9_license_scan,
     "op10_quality_rules": op10_quality_rules,
 }
-ORACLE_SQL = {"op1_minhash_dedup": OP1_SQL, "op10_quality_rules": OP10_SQL}
+ORACLE_SQL = {"op1_minhash_dedup": OP1_SQL, "op9_license_scan": OP9_SQL, "op10_quality_rules": OP10_SQL}
