@@ -5,6 +5,7 @@ from __future__ import annotations
 from dagframe.llm.licenses import OP9_SQL, op9_license_scan
 from dagframe.llm.near_dedup import OP1_SQL, op1_minhash_dedup
 from dagframe.llm.packing import op4_packing
+from dagframe.llm.pieces import op5_sentencepiece
 from dagframe.llm.quality_rules import OP10_SQL, op10_quality_rules
 from dagframe.llm.secrets import op6_secret_scan
 from dagframe.llm.suffix_dedup import op2_suffix_dedup
@@ -15,6 +16,7 @@ QUERIES = {
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_url_filter": op3_url_filter,
     "op4_packing": op4_packing,
+    "op5_sentencepiece": op5_sentencepiece,
     "op6_secret_scan": op6_secret_scan,
     "op9_license_scan": op9_license_scan,
     "op10_quality_rules": op10_quality_rules,
