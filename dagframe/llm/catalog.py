@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dagframe.llm.ann import op7_nearest
+from dagframe.llm.language_model import op8_lm_scores
 from dagframe.llm.licenses import OP9_SQL, op9_license_scan
 from dagframe.llm.near_dedup import OP1_SQL, op1_minhash_dedup
 from dagframe.llm.packing import op4_packing
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_sentencepiece": op5_sentencepiece,
     "op6_secret_scan": op6_secret_scan,
     "op7_nearest": op7_nearest,
+    "op8_lm_scores": op8_lm_scores,
     "op9_license_scan": op9_license_scan,
     "op10_quality_rules": op10_quality_rules,
 }
