@@ -19,7 +19,7 @@ Defined results: a null text or one without words has the empty set and links wi
 null id takes part, and counts as its component's least id only if there is no other; rows
 that repeat an id are rows of their own (each is kept if its id is the component's least); an
 empty table gives an empty table; only the key and text columns are read, so other columns
-cannot clash, and ``drop_near_duplicates`` passes them through.
+cannot clash, and ``drop_near_duplicates`` passes them through (the name ``_near_uid`` is reserved).
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dagframe.llm.bytesets import STEP, U, as_strings, mix, shingle_sets
-from dagframe.llm.common import Scratch, attach, table
+from dagframe.llm.common import BROADCAST_BYTES, Scratch, attach, table
 from dagframe.llm.components import components
 
 SHINGLE = 5
@@ -202,6 +202,11 @@ def _confirmed(shingle: int, minima: int, percent: int):
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row per input row: key, n_shingles, component_id (least key of the component) and kept."""
+    return _judged(docs, key, text, shingle, percent).drop("uid").withColumnRenamed("id", key)
+
+
+def _judged(docs: DataFrame, key: str, text: str, shingle: int, percent: int) -> DataFrame:
+    """id, uid (a hash of id and text), n_shingles, component_id and kept."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "near")
     rows, bands = banding(percent)
@@ -218,10 +223,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     scratch.drop("buckets")
 
     # whole groups where they are small, pairs of blocks where they are not
-    sizes = coarse.groupBy("root").agg(F.count(F.lit(1)).alias("n")).select("root", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks"))
-    member = coarse.join(scratch.save(sizes, "sizes"), "root").join(classes.select(F.col("cls").alias("node"), "one.uid", "one.n_bytes", "sign"), "node")
-    member = member.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    member = scratch.save(member, "member")
+    member = scratch.save(coarse.join(classes.select(F.col("cls").alias("node"), "one.uid", "one.n_bytes", "sign"), "node"), "member")
+    sizes = member.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("n_bytes") / BLOCK_BYTES), F.lit(1)).cast("int").alias("blocks"))
+    member = member.join(scratch.save(sizes, "sizes"), "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     total = member.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.col("n_bytes") * F.col("blocks")), F.lit(0)).alias("bytes"), F.coalesce(F.sum("blocks"), F.lit(0)).alias("rows")).first()
     units = 1 + max(2 * total.rows // BLOCK_ROWS, total.bytes // BLOCK_BYTES)
     with_text = attach(own.where("text is not null").select("uid", "text"), member, ["uid"], 192 * total.n, "inner")
@@ -233,18 +237,28 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     links = scratch.save(parts.groupBy("unit").applyInArrow(_confirmed(shingle, rows * bands, percent), "a binary, b binary"), "links")
     roots = components(links, scratch, "fine")
 
-    joined = signed.select("id", "n_shingles", "cls").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    joined = signed.select("id", "uid", "n_shingles", "cls").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = scratch.save(joined.where("root is not null").groupBy("root").agg(F.min("id").alias("least")), "least")
-    out = joined.join(least, "root", "left").select(F.col("id"), "n_shingles", F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("least")).alias("component_id"))
-    return out.withColumn("kept", F.col("id").eqNullSafe(F.col("component_id"))).withColumnRenamed("id", key)
+    out = joined.join(least, "root", "left").select("id", "uid", "n_shingles", F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("least")).alias("component_id"))
+    return out.withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))
 
 
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The input's rows, all columns, of which one document of each group of near duplicates stays."""
-    groups = near_duplicates(docs, key, text, shingle, percent)
-    gone = Scratch(docs.sparkSession, "near-gone").save(groups.where("not kept").select(F.col(key).alias("_near_gone")).distinct(), "ids")
-    n = gone.count()
-    return docs.join(F.broadcast(gone) if n * 40 <= 32 << 20 else gone, docs[key].eqNullSafe(gone["_near_gone"]), "left_anti")
+    """The input's rows, all columns, of which one document of each group of near duplicates stays; of rows that repeat an id and a text, one."""
+    scratch = Scratch(docs.sparkSession, "near-kept")
+    judged = scratch.save(_judged(docs, key, text, shingle, percent).select("uid", "kept"), "judged")
+    gone = scratch.save(judged.where("not kept").select("uid").distinct(), "gone")
+    again = scratch.save(judged.where("kept").groupBy("uid").count().where("count > 1").select("uid"), "again")
+    marked = docs.withColumn("_near_uid", F.xxhash64(key, text))
+
+    def small(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if 40 * df.count() <= BROADCAST_BYTES else df
+
+    kept = marked.join(small(gone.select(F.col("uid").alias("_near_uid"))), "_near_uid", "left_anti")
+    if not again.isEmpty():
+        again = small(again.select(F.col("uid").alias("_near_uid")))
+        kept = kept.join(again, "_near_uid", "left_anti").unionByName(kept.join(again, "_near_uid", "left_semi").dropDuplicates(["_near_uid"]))
+    return kept.drop("_near_uid")
 
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

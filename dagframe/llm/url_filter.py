@@ -1,8 +1,8 @@
 """URL filters: longest-match allow and block rules, and boosted trees for what no rule fits.
 
 The trees look at the URL's letters alone: lengths, depth, digit and mark ratios, entropy,
-parameter counts and statistics of the host's suffixes (how many labelled URLs a suffix has and
-what share of them is blocked, shrunk to the mean). Labelled URLs are those that a rule decides,
+parameter counts and statistics of the host's suffixes, its first label and the path's first
+directory (how many labelled URLs have it and what share of them is blocked, shrunk to a half). Labelled URLs are those that a rule decides,
 or any table of URLs with labels. The trees are fitted to a bounded sample of distinct labelled
 URLs, chosen by hash; everything else covers all rows. DataFrame functions and Spark's tree
 learner only.
@@ -40,7 +40,9 @@ TREES, DEPTH, SEED = 20, 4, 7
 PRIOR = 5.0
 ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789-._~:/?#[]@!$&'()*+,;=%"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-FEATURES = ("f_length", "f_host", "f_path", "f_labels", "f_depth", "f_digits", "f_host_digits", "f_marks", "f_entropy", "f_params", "f_query", "f_longest_label", "f_extension", "f_suffix_n", "f_suffix_rate", "f_domain_n", "f_domain_rate")
+FEATURES = ("f_length", "f_host", "f_path", "f_labels", "f_depth", "f_digits", "f_host_digits", "f_marks", "f_entropy", "f_params", "f_query", "f_longest_label", "f_extension", "f_suffix_n", "f_suffix_rate", "f_domain_n", "f_domain_rate", "f_lead_n", "f_lead_rate", "f_segment_n", "f_segment_rate")
+#: Parts of a URL whose labelled URLs are counted: the host's last label, its last two, its first, and the path's first directory.
+COUNTED = ("suffix", "domain", "lead", "segment")
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -68,7 +70,7 @@ def _count(text: Column, pattern: str) -> Column:
 
 
 def with_features(df: DataFrame) -> DataFrame:
-    """Add the lexical features of columns url, host and path, and suffix and domain (the host's last one and two labels)."""
+    """Add the lexical features of columns url, host and path, and the parts of COUNTED."""
     url = F.lower(F.coalesce("url", F.lit("")))
     size = F.greatest(F.length(url), F.lit(1))
     query = F.regexp_extract(url, r"\?([^#]*)", 1)
@@ -90,29 +92,32 @@ def with_features(df: DataFrame) -> DataFrame:
         "f_longest_label": F.array_max(F.transform(labels, lambda x: F.length(x))),
         "f_extension": F.length(F.regexp_extract(F.col("path"), r"\.([A-Za-z0-9]+)$", 1)),
         "suffix": F.element_at(labels, -1),
+        "lead": labels[0],
+        "segment": F.regexp_extract("path", "^/([^/]*)/", 1),
         "domain": F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), 2), "."),
     })
 
 
 class UrlModel:
-    """Boosted trees and the suffix statistics that they were fitted with."""
+    """Boosted trees and the statistics of URL parts that they were fitted with."""
 
-    def __init__(self, suffixes: DataFrame | None, domains: DataFrame | None, trees, constant: str):
-        self.suffixes, self.domains, self.trees, self.constant = suffixes, domains, trees, constant
+    def __init__(self, rates: dict[str, DataFrame], trees, constant: str):
+        self.rates, self.trees, self.constant = rates, trees, constant
 
     def verdicts(self, df: DataFrame) -> DataFrame:
         """Add model_block (probability) and model_verdict to a table with url, host and path."""
         if self.trees is None:
             return df.withColumns({"model_block": F.lit(1.0 if self.constant == "block" else 0.0), "model_verdict": F.lit(self.constant)})
-        scored = self.trees.transform(_assembled(df, self.suffixes, self.domains))
+        scored = self.trees.transform(_assembled(df, self.rates))
         block = vector_to_array("probability")[1]
         return scored.withColumns({"model_block": block, "model_verdict": F.when(block > 0.5, "block").otherwise("allow")}).select(*df.columns, "model_block", "model_verdict")
 
 
-def _assembled(df: DataFrame, suffixes: DataFrame, domains: DataFrame) -> DataFrame:
-    # the statistics have no more rows than the sample they come from, so they may be broadcast
-    out = with_features(df).join(F.broadcast(suffixes), "suffix", "left").join(F.broadcast(domains), "domain", "left")
-    out = out.fillna(0.0, ["f_suffix_n", "f_domain_n"]).fillna(0.5, ["f_suffix_rate", "f_domain_rate"])
+def _assembled(df: DataFrame, rates: dict[str, DataFrame]) -> DataFrame:
+    out = with_features(df)
+    for part in COUNTED:  # the statistics have no more rows than the sample they come from, so they may be broadcast
+        out = out.join(F.broadcast(rates[part]), part, "left")
+    out = out.fillna(0.0, [f"f_{part}_n" for part in COUNTED]).fillna(0.5, [f"f_{part}_rate" for part in COUNTED])
     return VectorAssembler(inputCols=list(FEATURES), outputCol="features", handleInvalid="keep").transform(out)
 
 
@@ -129,12 +134,11 @@ def fit_url_model(labelled: DataFrame, scratch: Scratch, sample: int = SAMPLE, t
     chosen = scratch.save(with_features(chosen).coalesce(4), "sample")
     classes = {r.label: r.n for r in chosen.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(classes) < 2:
-        return UrlModel(None, None, None, "block" if 1.0 in classes else "allow")
-    suffixes = scratch.save(_rates(chosen, "suffix", "suffix"), "suffixes")
-    domains = scratch.save(_rates(chosen, "domain", "domain"), "domains")
-    features = _assembled(chosen.select("url", "host", "path", "label"), suffixes, domains).select("features", "label")
+        return UrlModel({}, None, "block" if 1.0 in classes else "allow")
+    rates = {part: scratch.save(_rates(chosen, part, part), part) for part in COUNTED}
+    features = _assembled(chosen.select("url", "host", "path", "label"), rates).select("features", "label")
     model = GBTClassifier(maxIter=trees, maxDepth=depth, seed=seed, featuresCol="features", labelCol="label").fit(features)
-    return UrlModel(suffixes, domains, model, "allow")
+    return UrlModel(rates, model, "allow")
 
 
 def filter_urls(pages: DataFrame, key: str = "page_id", url: str = "url", rules: Sequence[tuple[str, str]] = RULES, sample: int = SAMPLE) -> DataFrame:

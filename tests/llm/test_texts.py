@@ -1,0 +1,250 @@
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+import struct
+import string
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from brute import lm_base, quality
+from conftest import pairs
+
+from dagframe.llm import language_model, licenses, packing, pieces, quality_rules, secrets
+
+
+def test_quality_counts(edges, small, nothing):
+    for df in (edges, small):
+        got = Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in quality_rules.quality_rules(df).collect())
+        assert got == Counter((k, *quality(t)) for k, t in pairs(df))
+    assert quality_rules.quality_rules(nothing).count() == 0
+
+
+def test_bad_hosts_are_rejected_and_clean_ones_kept(spark):
+    good = " ".join(f"word{i}" for i in range(40))
+    rows = [(i, "bad", "host-a") for i in range(50)] + [(100 + i, good, "host-b") for i in range(50)] + [(200, good, "host-a"), (201, "bad", "host-b"), (202, good, None)]
+    got = {r.doc_id: r.kept for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert not got[200] and got[100] and not got[201] and got[202]
+
+
+def test_secret_spans(edges, nothing):
+    rows = {r.doc_id: r for r in secrets.secret_spans(edges).collect() if r.doc_id is not None}
+    assert (rows[17].n_assign, rows[17].n_access, rows[17].n_hex) == (1, 1, 1)
+    for k, t in pairs(edges):
+        if k in rows and k is not None:
+            base = sorted([(m.start(), 0, m.end()) for m in secrets.ASSIGN.finditer(t or "") if len(m[2]) >= 6] + [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t or "") if len(m[0]) >= 20] + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t or "") if len(m[0]) >= 24])
+            text = ",".join(f"{secrets.KINDS[n]}:{a}:{b}" for a, n, b in base)
+            assert rows[k].base_sha256 == hashlib.sha256(text.encode()).hexdigest()
+            assert set(text.split(",")) <= set(rows[k].spans.split(",")) | {""}
+    assert "random:" in rows[18].spans and rows[0].spans == ""
+    assert secrets.secret_spans(nothing).count() == 0
+
+
+def test_redaction_keeps_rows_and_columns(edges):
+    done = secrets.redact(edges)
+    assert done.columns == edges.columns and done.count() == edges.count()
+    text = next(r.text for r in done.collect() if r.doc_id == 17)
+    assert "hunter22x" not in text and "AKIA" not in text and text.count("[SECRET]") == 3
+
+
+def test_random_strings_stand_out_from_names():
+    rng = random.Random(1)
+    path = secrets.default_vocabulary()
+    made = ["".join(rng.choice(string.ascii_letters + string.digits) for _ in range(rng.randint(24, 48))) for _ in range(300)]
+    assert sum(secrets.looks_random(x, path) for x in made) >= 0.95 * len(made)
+    plain = ["d41d8cd98f00b204e9800998ecf8427e", "550e8400-e29b-41d4-a716-446655440000", "internationalization2024report", "com/example/project/version/12/index", "getUserAccountById2WithDefaults", "2024-01-05T12-00-00-backup-file", "THE_MAXIMUM_NUMBER_OF_RETRIES_3", "abcdefghijklmnopqrstuvwxyz"]
+    assert [x for x in plain if secrets.looks_random(x, path)] == []
+
+
+def _packed(df, **more):
+    return packing.pack(df, **more).collect()
+
+
+@pytest.mark.parametrize("weights", [None, {"src0": 5, "src1": 1}])
+def test_packing_holds_every_id_once(edges, small, weights):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for df in (small, edges.where("doc_id is not null").dropDuplicates(["doc_id"])):
+        ids = {k: [*whole.encode(t or "", add_special_tokens=False).ids, 0] for k, t in pairs(df)}
+        by, seq = defaultdict(list), defaultdict(list)
+        for r in _packed(df, weights=weights, window=4):
+            by[r.doc_id].append(r)
+            seq[r.sequence_id].append(r)
+        assert set(by) == set(ids)
+        for k, parts in by.items():
+            at = 0
+            for r in sorted(parts, key=lambda r: r.start):
+                assert (r.start, r.doc_tokens) == (at, len(ids[k]))
+                assert r.ids_crc32 == zlib.crc32(struct.pack(f"<{r.length}I", *ids[k][at : at + r.length]))
+                at += r.length
+            assert at == len(ids[k])
+        sizes = []
+        for k in range(len(seq)):
+            at = 0
+            for r in sorted(seq[k], key=lambda r: r.offset):
+                assert r.offset == at
+                at += r.length
+            sizes.append(at)
+        assert all(n == 1024 for n in sizes[:-1]) and 0 < sizes[-1] <= 1024
+
+
+def test_packing_of_special_texts_and_repeats(spark, nothing):
+    rows = [(1, "a <|endoftext|> b", "s"), (2, None, None), (2, None, None), (None, "x", "s")]
+    got = Counter((r.doc_id, r.doc_tokens) for r in _packed(spark.createDataFrame(rows, "doc_id long, text string, source string")))
+    assert got == Counter({(1, 5): 1, (2, 1): 2, (None, 2): 1})
+    assert packing.pack(nothing).count() == 0
+
+
+def test_windows_follow_the_target(small):
+    share = Counter()
+    for r in _packed(small, window=16):
+        share[r.sequence_id // 16, r.queue] += r.length
+    totals = Counter()
+    for (_, q), n in share.items():
+        totals[q] += n
+    whole = sum(totals.values())
+    windows = whole // (16 * 1024)
+    assert windows >= 2
+    for t in range(windows):
+        assert sum(share[t, q] for q in totals) == 16 * 1024
+        for q, n in totals.items():
+            assert abs(sum(share[u, q] for u in range(t + 1)) - (t + 1) * 16 * 1024 * n / whole) < 1
+
+
+def test_schedule_with_queues_that_run_dry():
+    s = packing.Schedule([5000, 10, 700, 0, 1], [1, 1, 3, 2, 1], 256)
+    given = [[s.before(q, t) for t in range(s.windows + 1)] for q in range(5)]
+    assert [g[-1] for g in given] == [5000, 10, 700, 0, 1] and all(a <= b for g in given for a, b in zip(g, g[1:]))
+    for t in range(s.windows):
+        sizes = [g[t + 1] - g[t] for g in given]
+        assert sum(sizes) == min(256, 5711 - 256 * t)
+        assert [s.offset(q, t) for q in range(5)] == np.concatenate([[0], np.cumsum(sizes)[:-1]]).tolist()
+
+
+ODD = ["", " ", "  a  b ", "\n\n a\tb", "日本語 テキスト", "🎉🎉 émoji\u0000x", "▁▁a ▁b", "a" * 3000, "<s> </s> <unk> <0x0A>", "zzz    zzzz  \r\n", "퟿\U0001f600"]
+
+
+def test_pieces_agree_with_the_sentencepiece_library(small):
+    import sentencepiece
+
+    path = pieces.default_model()
+    other = sentencepiece.SentencePieceProcessor(model_file=path)
+    texts = [t or "" for _, t in pairs(small)] + ODD
+    assert pieces.verify(path, texts, other.encode) == []
+    ids = pieces.encode(path, texts)
+    assert pieces.decode(path, ids) == [other.decode(x) for x in ids]
+    broken = [[3 + 0xC3, 3 + 0x41], [3 + 0xFF], [3 + 0xE2, 3 + 0x82]]
+    assert pieces.decode(path, broken) == [pieces.load(path)[1].decode(x, skip_special_tokens=False) for x in broken]
+
+
+def _unigram_file(path, scores, squeeze=True, fallback=False):
+    """A small unigram model file, written field by field."""
+
+    def varint(n):
+        out = b""
+        while True:
+            out += bytes([n & 127 | (128 if n > 127 else 0)])
+            n >>= 7
+            if not n:
+                return out
+
+    def block(number, data):
+        return varint(number << 3 | 2) + varint(len(data)) + data
+
+    made = b""
+    rows = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)] + [(f"<0x{b:02X}>", 0.0, 6) for b in range(256) if fallback] + [(p, s, 1) for p, s in scores.items()]
+    for p, s, t in rows:
+        made += block(1, block(1, p.encode()) + varint(2 << 3 | 5) + struct.pack("<f", s) + varint(3 << 3) + varint(t))
+    made += block(2, varint(3 << 3) + varint(1) + varint(35 << 3) + varint(int(fallback)) + varint(40 << 3) + varint(0))
+    made += block(3, block(1, b"identity") + varint(3 << 3) + varint(1) + varint(4 << 3) + varint(int(squeeze)) + varint(5 << 3) + varint(1))
+    path.write_bytes(made)
+    return str(path)
+
+
+@pytest.mark.parametrize("fallback", [False, True])
+def test_unigram_models_agree_too(tmp_path, fallback):
+    import sentencepiece
+
+    scores = {"▁": -3.0, "▁the": -2.0, "the": -4.1, "re": -4.7, "▁r": -5.3, "e": -6.1, "t": -6.7, "h": -6.9, "r": -7.1, "▁a": -3.3, "an": -4.3, "n": -7.7, "a": -7.9, "▁an": -3.9}
+    path = _unigram_file(tmp_path / "m.model", scores, fallback=fallback)
+    other = sentencepiece.SentencePieceProcessor(model_file=path)
+    texts = ["the there an a rent", "  the   ran ", "", "thethe", "ane then earth"] + (["thé ñ"] if fallback else [])
+    assert pieces.verify(path, texts, other.encode) == []
+
+
+def test_encoding_documents(edges, nothing):
+    encoded = pieces.encode_documents(edges)
+    got = {r.doc_id: r for r in encoded.collect() if r.doc_id is not None}
+    assert all(r.round_trip for r in got.values()) and got[9].ids == [] and got[8].ids == []
+    back = {r.doc_id: r.text for r in pieces.decode_documents(encoded).collect() if r.doc_id is not None}
+    assert back == {k: t or "" for k, t in pairs(edges) if k is not None}
+    assert pieces.encode_documents(nothing).count() == 0
+
+
+def test_licences(spark, edges, nothing):
+    mit = "MIT License\n\n" + licenses.SENTENCES["grant-mit"][0] + ":\n\n" + licenses.SENTENCES["notice-mit"][0] + "."
+    bsd = ". ".join(licenses.SENTENCES[k][0] for k in ("grant-bsd", "bsd-source", "bsd-binary"))
+    rows = [(1, mit), (2, bsd), (3, bsd + ".\n" + licenses.SENTENCES["bsd-name"][0]), (4, "Some prose.\nReleased under the MIT License."), (5, "Licensed under the Apache License, Version 2.0. And: Licensed under CC BY-NC 4.0."), (6, licenses.SENTENCES["bsd-source"][0]), (7, None), (8, "the license of a poet")]
+    got = {r.doc_id: r.licenses for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: ["MIT"], 2: ["BSD-2-Clause"], 3: ["BSD-3-Clause"], 4: ["MIT"], 5: ["Apache-2.0", "CC-BY-NC-4.0"], 6: ["partial"], 7: [], 8: []}
+    assert licenses.scan_licenses(edges).count() == edges.count() and licenses.scan_licenses(nothing).count() == 0
+    for known in (s for ss in licenses.SENTENCES.values() for s in ss):
+        assert any(m in known for m in licenses.MARKERS)
+
+
+def test_language_model_base(edges, small, nothing):
+    for df in (small, edges.where("doc_id is not null").dropDuplicates(["doc_id"])):
+        want = lm_base(pairs(df))
+        got = {r.doc_id: r for r in language_model.lm_scores(df).collect()}
+        assert set(got) == set(want)
+        for k, (held, n, known, total, base) in want.items():
+            r = got[k]
+            assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held, n, known, total)
+            assert abs(r.base_score - base) <= 1e-9 * abs(base)
+    assert language_model.lm_scores(edges).count() == edges.count()
+    assert language_model.lm_scores(nothing).count() == 0
+
+
+def test_language_model_mixture(small):
+    """The score is that of the mixture with the learned weights, counted plainly; it beats the base on held-out texts."""
+    import math
+
+    from brute import LOWER, WORD
+
+    docs = pairs(small)
+    tokens = {k: [None, *WORD.findall((t or "").translate(LOWER)), ""] for k, t in docs}
+    want = lm_base(docs)
+    word, pair = Counter(), Counter()
+    for k, x in tokens.items():
+        if not want[k][0]:
+            word.update(x[1:])
+            pair.update(zip(x, x[1:]))
+    starts = sum(not h[0] for h in want.values())
+    n, v = sum(word.values()), len(word)
+    before = lambda a: starts if a is None else word[a]
+    tally = Counter()
+    grid = lambda p: round(language_model.GRID * math.log2(p)) if p > 0 else 1
+    for k, x in tokens.items():
+        if not want[k][0]:
+            for a, b in zip(x, x[1:]):
+                c = before(a)
+                p2 = (pair[a, b] - 1) / (c - 1) if c > 1 else 0
+                p1 = (word[b] - 1) / (n - 1)
+                k2 = int(language_model.bucket_of(np.array([c - 1]))[0])
+                tally[(k2 * 2048 + grid(p2) + 1024) * 2048 + grid(p1) + 1024] += 1
+    weights = language_model.learn_weights(list(tally.items()), v)
+    assert np.allclose(weights.sum(1), 1)
+    gain = 0
+    for r in language_model.lm_scores(small).collect():
+        x, score = tokens[r.doc_id], 0.0
+        for a, b in zip(x, x[1:]):
+            w = weights[int(language_model.bucket_of(np.array([before(a)]))[0])]
+            score += math.log10(w[0] * (pair[a, b] / before(a) if before(a) else 0) + w[1] * word[b] / n + w[2] / (v + 1))
+        assert abs(score - r.score) <= 1e-6 * abs(score)
+        gain += (r.score - r.base_score) if r.held_out else 0
+    assert gain > 0
