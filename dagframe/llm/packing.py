@@ -17,6 +17,8 @@ columns are read, so other columns cannot clash.
 
 from __future__ import annotations
 
+import base64
+import json
 import zlib
 from bisect import bisect_right
 from collections.abc import Mapping
@@ -41,25 +43,24 @@ END = 0
 @cache
 def _encoder(json_path: str, ranks_path: str | None):
     """A function from texts to id lists: the ids of the tokenizers file; texts without its special tokens may take the same vocabulary's faster form."""
-    import base64
-
     from tokenizers import Tokenizer
 
-    whole = Tokenizer.from_file(json_path)
-    special = [t.content for t in whole.get_added_tokens_decoder().values()]
     if ranks_path is None:
+        whole = Tokenizer.from_file(json_path)
         return lambda texts: [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)], whole.get_vocab_size()
     import public_tokenizers
     import tiktoken
 
     with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    with open(json_path, encoding="utf-8") as f:
+        special = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
     fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(texts: list[str]) -> list[list[int]]:
-        return [whole.encode(t, add_special_tokens=False).ids if any(s in t for s in special) else fast.encode_ordinary(t) for t in texts]
+        return [Tokenizer.from_file(json_path).encode(t, add_special_tokens=False).ids if any(s in t for s in special) else fast.encode_ordinary(t) for t in texts]
 
-    return encode, whole.get_vocab_size()
+    return encode, max(len(ranks), *(i + 1 for i in special.values()))
 
 
 class Schedule:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
 
-from dagframe.llm.common import table
+from dagframe.llm.common import small_batches, table
 
 MARK = "▁"
 #: Fixed values of the format: piece types and model types.
@@ -194,6 +194,7 @@ def _encoded(path: str):
 def encode_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
     """key, ids (array of int), n_byte_tokens and round_trip (decoding gives back the normalised text), one row per input row."""
     kind = docs.schema[key].dataType.simpleString()
+    small_batches(docs.sparkSession)
     own = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
     return own.mapInArrow(_encoded(path or default_model()), f"id {kind}, ids array<int>, n_byte_tokens long, round_trip boolean").withColumnRenamed("id", key)
 
@@ -207,6 +208,7 @@ def decode_documents(encoded: DataFrame, key: str = "doc_id", ids: str = "ids",
             texts = decode(path, [x or [] for x in batch.column("ids").to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(texts, pa.string())], ["id", "text"])
 
+    small_batches(encoded.sparkSession)
     own = encoded.select(F.col(key).alias("id"), F.col(ids).cast("array<int>").alias("ids"))
     return own.mapInArrow(run, f"id {kind}, text string").withColumnRenamed("id", key)
 

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dagframe.llm.common import table
+from dagframe.llm.common import small_batches, table
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -117,6 +117,7 @@ def _scan(vocabulary: str):
 def secret_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str | None = None) -> DataFrame:
     """key, n_assign, n_access, n_hex, base_sha256 and spans (kind:start:end, comma-joined), one row per input row."""
     kind = docs.schema[key].dataType.simpleString()
+    small_batches(docs.sparkSession)
     own = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
     return own.mapInArrow(_scan(vocabulary or default_vocabulary()), f"id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string").withColumnRenamed("id", key)
 
@@ -143,6 +144,7 @@ def redact(docs: DataFrame, text: str = "text", mask: str = "[SECRET]", vocabula
                 texts = pa.array(new, batch.schema.field(at).type)
             yield pa.RecordBatch.from_arrays([texts if k == at else c for k, c in enumerate(batch.columns)], schema=batch.schema)
 
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
 
 
