@@ -172,9 +172,14 @@ _condition_query("expr_truthy", "k && !gone.away", f"{_K} <> 0")
 
 @query("SELECT o_orderkey, 'large' AS branch FROM orders WHERE o_totalprice > 300000 UNION ALL SELECT o_orderkey, 'done' FROM orders WHERE o_orderstatus = 'F'")
 def edge_branch_route(spark, d):
-    rows = t(spark, d, "orders").select("o_orderkey", F.parse_json(F.to_json(F.struct(F.col("o_totalprice").alias("price"), F.col("o_orderstatus").alias("status")))).alias("value"))
-    large = dataflow.passing(rows, "price > 300000").select("o_orderkey", F.lit("large").alias("branch"))
-    return large.unionByName(dataflow.passing(rows, "status == 'F'").select("o_orderkey", F.lit("done").alias("branch")))
+    rows = t(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").alias("price"), F.col("o_orderstatus").alias("status"))
+    large = dataflow.passing_rows(rows, "price > 300000").select("o_orderkey", F.lit("large").alias("branch"))
+    return large.unionByName(dataflow.passing_rows(rows, "status == 'F'").select("o_orderkey", F.lit("done").alias("branch")))
+
+
+@query("SELECT event_id FROM events WHERE event_type = 'click' AND value >= 20 OR event_type <> 'view' AND event_id < 100")
+def expr_typed_rows(spark, d):
+    return dataflow.passing_rows(t(spark, d, "events"), "event_type == 'click' && value >= 20 || event_type != 'view' && event_id < 100 && missing == null").select("event_id")
 
 
 @query("SELECT doc_id, CAST(i - 1 AS INTEGER) AS fan_out_index, ws[i] AS item FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws))) AS i FROM (SELECT doc_id, string_split(text, ' ') AS ws FROM documents WHERE lang = 'de'))")

@@ -9,10 +9,12 @@ both sides are plain booleans, so SQL's third truth value never shows.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dagframe.functions import variants
 
@@ -62,6 +64,65 @@ def compare(a: Operand, op: str, b: Operand) -> Column:
 
 def condition(text: str, data: Column) -> Column:
     """A condition over the VARIANT column data; raises ValueError for what is no condition."""
+    return _build(text, lambda name: _at(data, name), _literal, compare, lambda x: x.truth)
+
+
+def row_condition(text: str, df: DataFrame) -> Column:
+    """The same over the typed columns of df: types are settled here, and plain comparisons reach the scan."""
+
+    def named(name: str) -> Typed:
+        at, kind = None, df.schema
+        for part in name.split("."):
+            hit = next((f for f in kind.fields if f.name == part), None) if isinstance(kind, T.StructType) else None
+            if hit is None:
+                return Typed("null", F.lit(None))
+            at, kind = (F.col(f"`{part}`") if at is None else at[part]), hit.dataType
+        group = "num" if isinstance(kind, T.NumericType) else {T.StringType: "str", T.BooleanType: "bool"}.get(type(kind), "other")
+        return Typed(group, at, exact=isinstance(kind, T.IntegralType))
+
+    def value(x) -> Typed:
+        group = "null" if x is None else "bool" if isinstance(x, bool) else "str" if isinstance(x, str) else "num"
+        return Typed(group, F.lit(x), exact=group == "num" and float(x).is_integer(), fixed=True)
+
+    return _build(text, named, value, _compare_typed, _truth_typed)
+
+
+@dataclass(frozen=True)
+class Typed:
+    """One side of a comparison whose type is known; null counts as missing."""
+
+    kind: str
+    column: Column
+    exact: bool = False
+    fixed: bool = False
+
+
+def _compare_typed(a: Typed, op: str, b: Typed) -> Column:
+    gone = lambda x: F.lit(x.kind == "null") if x.fixed or x.kind == "null" else x.column.isNull()
+    there = lambda x: F.lit(x.kind != "null") if x.fixed or x.kind == "null" else x.column.isNotNull()
+    both_gone, one_gone = gone(a) & gone(b), (gone(a) & there(b)) | (there(a) & gone(b))
+    if a.kind == b.kind and a.kind in ("num", "str", "bool"):
+        x, y = a.column, b.column
+        close = x == y if a.kind != "num" or (a.exact and b.exact) else F.abs(x - y) < EPSILON
+        test = {"==": close, "!=": ~close, ">": x > y, "<": x < y, ">=": (x > y) | close, "<=": (x < y) | close}[op]
+        if a.exact and b.exact:
+            test = {">=": x >= y, "<=": x <= y}.get(op, test)
+        if a.kind == "bool" and op not in ("==", "!="):
+            test = F.lit(False)
+        test = there(a) & there(b) & test
+    else:
+        test = F.lit(False)
+    return test | both_gone if op == "==" else test | one_gone if op == "!=" else test
+
+
+def _truth_typed(x: Typed) -> Column:
+    if x.kind == "null":
+        return F.lit(False)
+    return x.column.isNotNull() & {"num": x.column != 0, "str": x.column != "", "bool": x.column}.get(x.kind, F.lit(True))
+
+
+def _build(text: str, named: Callable, value: Callable, compared: Callable, truth: Callable) -> Column:
+    """One pass over the tokens, with what to make of names, values, comparisons and bare operands."""
     tokens, at = [], 0
     body = text.rstrip()
     while at < len(body):
@@ -95,16 +156,16 @@ def condition(text: str, data: Column) -> Column:
     def comparison() -> Column:
         left = operand()
         op = next_op("==", "!=", ">", "<", ">=", "<=")
-        return compare(left, op, operand()) if op else left.truth
+        return compared(left, op, operand()) if op else truth(left)
 
-    def operand() -> Operand:
+    def operand():
         group, token = tokens.pop() if tokens else ("op", "the end")
         if group == "num":
-            return _literal(float(token))
+            return value(float(token) if "." in token else int(token))
         if group == "str":
-            return _literal(token[1:-1])
+            return value(token[1:-1])
         if group == "name":
-            return _literal(WORDS[token]) if token in WORDS else _at(data, token)
+            return value(WORDS[token]) if token in WORDS else named(token)
         raise ValueError(f"unexpected {token} in condition {text!r}")
 
     out = either()

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dagframe.functions import variants
-from dagframe.functions.predicates import edge_condition
+from dagframe.functions.predicates import edge_condition, row_condition
 
 
 def port_value(output: Column, port: str) -> Column:
@@ -26,6 +26,16 @@ def passing(outputs: DataFrame, expression: str | None, value: str = "value") ->
     return outputs if expression is None else outputs.where(edge_condition(expression, F.col(value)))
 
 
+def passing_rows(df: DataFrame, expression: str | None) -> DataFrame:
+    """The same for outputs that are typed columns rather than one value."""
+    if expression is None:
+        return df
+    try:
+        return df.where(row_condition(expression, df))
+    except ValueError:
+        return df.where("false")
+
+
 def fan_out(df: DataFrame, values: str, index: str = "fan_out_index", item: str = "item") -> DataFrame:
     """One row for each element of an array; rows with an empty or null array stay one row, without an index."""
     return df.select("*", F.posexplode_outer(values).alias(index, item)).drop(values)

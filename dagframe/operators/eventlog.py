@@ -8,6 +8,8 @@ flow_id or event_type reach the scan.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -83,28 +85,39 @@ def node_details(log: DataFrame) -> DataFrame:
     """Every attempt of every node, in order of start.
 
     A completion ends the latest open attempt with its fan-out index, a failure the latest open
-    one of any index. As that needs the open attempts of a node in order, a group (one node of
-    one run) is one task's; its size is that of a node's history.
+    one of any index. Rows are dealt by run and node and sorted, and each task goes through them
+    once, with one node's attempts in hand.
     """
-
-    def pair(events: pd.DataFrame) -> pd.DataFrame:
-        events = events.sort_values("seq", kind="stable")
-        found: list[dict] = []
-        for e in events.itertuples(index=False):
-            index = None if pd.isna(e.fan_out_index) else int(e.fan_out_index)
-            if e.event_type == "node_started":
-                found.append({"run_id": e.run_id, "node_id": e.node_id, "ordinal": len(found), "attempt": e.attempt, "fan_out_index": index, "inputs": e.inputs, "outputs": None, "error": None, "duration_ms": None})
-                continue
-            done = e.event_type == "node_completed"
-            hit = next((a for a in reversed(found) if a["outputs"] is None and a["error"] is None and (not done or a["fan_out_index"] == index)), None)
-            if hit and done:
-                hit["outputs"], hit["duration_ms"] = e.outputs, e.duration_ms
-            elif hit:
-                hit["error"] = e.error
-        return pd.DataFrame(found, columns=[c.split()[0] for c in NODE_DETAIL.split(", ")]).astype({"attempt": "Int32", "fan_out_index": "Int32", "duration_ms": "Int64"})
+    names = [c.split()[0] for c in NODE_DETAIL.split(", ")]
+    kinds = {"ordinal": "int32", "attempt": "Int32", "fan_out_index": "Int32", "duration_ms": "Int64"}
+
+    def frame(rows: list[list]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=names).astype(kinds)
+
+    def pair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, found, done = None, [], []
+        for batch in batches:
+            plain = batch.astype(object).where(batch.notna(), None)
+            for run, node, kind, attempt, index, inputs, outputs, error, took in zip(*(plain[c] for c in ("run_id", "node_id", "event_type", "attempt", "fan_out_index", "inputs", "outputs", "error", "duration_ms")), strict=True):
+                if (run, node) != key:
+                    done += found
+                    key, found = (run, node), []
+                if kind == "node_started":
+                    found.append([run, node, len(found), attempt, index, inputs, None, None, None])
+                    continue
+                ended = kind == "node_completed"
+                hit = next((a for a in reversed(found) if a[6] is None and a[7] is None and (not ended or a[4] == index)), None)
+                if hit and ended:
+                    hit[6], hit[8] = outputs, took
+                elif hit:
+                    hit[7] = error
+            if done:
+                yield frame(done)
+                done = []
+        yield frame(found)
 
     rows = of_type(log, "node_started", "node_completed", "node_failed").select("run_id", "node_id", "seq", "event_type", "attempt", "fan_out_index", "inputs", "outputs", "error", "duration_ms")
-    return rows.groupBy("run_id", "node_id").applyInPandas(pair, NODE_DETAIL)
+    return rows.repartition("run_id", "node_id").sortWithinPartitions("run_id", "node_id", "seq").mapInPandas(pair, NODE_DETAIL)
 
 
 def edge_results(log: DataFrame) -> DataFrame:
