@@ -10,7 +10,7 @@ from dagframe.llm.packing import op4_packing
 from dagframe.llm.pieces import op5_sentencepiece
 from dagframe.llm.quality_rules import OP10_SQL, op10_quality_rules
 from dagframe.llm.secrets import op6_secret_scan
-from dagframe.llm.suffix_dedup import op2_suffix_dedup
+from dagframe.llm.suffix_dedup import OP2_SQL, op2_suffix_dedup
 from dagframe.llm.url_filter import op3_url_filter
 
 QUERIES = {
@@ -25,4 +25,9 @@ QUERIES = {
     "op9_license_scan": op9_license_scan,
     "op10_quality_rules": op10_quality_rules,
 }
-ORACLE_SQL = {"op1_minhash_dedup": OP1_SQL, "op9_license_scan": OP9_SQL, "op10_quality_rules": OP10_SQL}
+ORACLE_SQL = {
+    "op1_minhash_dedup": OP1_SQL,
+    "op2_suffix_dedup": OP2_SQL,
+    "op9_license_scan": OP9_SQL,
+    "op10_quality_rules": OP10_SQL,
+}

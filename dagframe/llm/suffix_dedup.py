@@ -272,3 +272,22 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated 200-byte strings removed from all documents."""
     return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
+#: Every window's start is listed, so this is for small tables; it takes doc_id to be unique.
+OP2_SQL = r"""
+WITH d AS MATERIALIZED (SELECT doc_id AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+n AS MATERIALIZED (SELECT rid, doc_id, h, len(h) // 2 AS n_bytes FROM d),
+w AS MATERIALIZED (SELECT rid, p, hash(substr(h, 2 * p + 1, 400)) AS k FROM (SELECT rid, h, unnest(range(0, n_bytes - 199)) AS p FROM n WHERE n_bytes >= 200)),
+c AS MATERIALIZED (SELECT k FROM w GROUP BY k HAVING count(*) > 1),
+r AS MATERIALIZED (SELECT rid, p FROM w SEMI JOIN c USING (k)),
+i AS (SELECT rid, p, CASE WHEN p - lag(p) OVER (PARTITION BY rid ORDER BY p) <= 200 THEN 0 ELSE 1 END AS new FROM r),
+g AS (SELECT rid, p, sum(new) OVER (PARTITION BY rid ORDER BY p) AS span FROM i),
+s AS (SELECT rid, span, min(p) AS a, max(p) + 200 AS b FROM g GROUP BY rid, span),
+k AS (SELECT rid, a, b, coalesce(lag(b) OVER (PARTITION BY rid ORDER BY a), 0) AS before FROM s),
+t AS (SELECT rid, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans, max(b) AS last FROM s GROUP BY rid),
+e AS (SELECT k.rid, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS head FROM k JOIN n USING (rid) GROUP BY k.rid)
+SELECT n.doc_id, n.n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(CASE WHEN t.rid IS NULL THEN h ELSE head || substr(h, 2 * last + 1) END)) AS kept_sha256
+FROM n LEFT JOIN t USING (rid) LEFT JOIN e USING (rid)
+"""
