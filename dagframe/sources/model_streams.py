@@ -18,9 +18,9 @@ CHUNK = ("call_id", "ord", "kind", "text", "tool_index", "tool_id", "tool_name",
 
 def response_lines(spark: SparkSession, path: str) -> DataFrame:
     """Files of responses, one a call: (call_id, ord, line); an unterminated last line is dropped."""
-    whole = spark.read.option("wholetext", True).text(path).withColumn("call_id", F.input_file_name())
+    whole = spark.read.text(path, wholetext=True).withColumn("call_id", F.input_file_name())
     parts = F.split("value", "\n")
-    return whole.select("call_id", F.posexplode(F.slice(parts, F.lit(1), F.size(parts) - 1)).alias("ord", "line")).withColumn("line", F.rtrim("line"))
+    return whole.select("call_id", F.posexplode(F.slice(parts, F.lit(1), F.size(parts) - 1)).alias("ord", "line")).withColumn("line", F.regexp_replace("line", "\\r$", ""))
 
 
 def _payloads(lines: DataFrame) -> DataFrame:
