@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from dagframe.llm.common import Scratch, table
 from dagframe.llm.near_dedup import drop_near_duplicates
 from dagframe.llm.packing import pack
-from dagframe.llm.quality_rules import quality_rules
+from dagframe.llm.quality_rules import drop_rejected
 from dagframe.llm.secrets import redact
 from dagframe.llm.suffix_dedup import remove_repeats
 
@@ -21,9 +21,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go, by their own text or by their host."""
-    rejected = Scratch(spark, "quality-rejected").save(quality_rules(docs).where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "ids")
-    n = rejected.count()
-    return docs.join(F.broadcast(rejected) if 40 * n <= 32 << 20 else rejected, docs["doc_id"].eqNullSafe(rejected["_gone"]), "left_anti").select(*COLUMNS)
+    return drop_rejected(docs).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,9 +6,8 @@ is shrunk towards the corpus by a beta prior that is fitted to all hosts by its
 a host whose shrunk rate is above a limit is rejected with all its documents.
 
 Defined results: a null or blank text has no words and fails; a null host is a host of its
-own; repeated rows count as often as they occur and come back as often; other columns of the
-input stay under their names in ``quality_rules`` only through ``doc_key``, so clashing names
-cannot arise; an empty table gives an empty table.
+own; repeated rows count as often as they occur and come back as often; only the key, text and
+host columns are read, so other columns cannot clash; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -16,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dagframe.llm.common import BLANKS, Scratch, attach, table
+from dagframe.llm.common import BLANKS, BROADCAST_BYTES, Scratch, table
 
 MIN_WORDS = 20
 REPEAT_PERCENT = 30
@@ -84,14 +83,28 @@ def host_rates(docs: DataFrame, host: str, failed: str) -> DataFrame:
 
 def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", min_words: int = MIN_WORDS, repeat_percent: int = REPEAT_PERCENT, host_rate: float = HOST_RATE) -> DataFrame:
     """One row per input row: key, the counts, base_failed, host_rate and kept."""
+    return _judged(docs, key, text, host, min_words, repeat_percent, host_rate).drop("_uid")
+
+
+def _judged(docs: DataFrame, key: str, text: str, host: str, min_words: int, repeat_percent: int, host_rate: float) -> DataFrame:
+    """The same with _uid, a hash of key and text."""
     scratch = Scratch(docs.sparkSession, "quality")
-    counted = with_text_counts(docs.select(F.col(key).alias(key), F.col(text).alias("_text"), F.coalesce(F.concat(F.lit("h"), F.col(host)), F.lit("")).alias("_host")), "_text").drop("_text")
+    own = docs.select(F.col(key).alias(key), F.col(text).alias("_text"), F.coalesce(F.concat(F.lit("h"), F.col(host)), F.lit("")).alias("_host"), F.xxhash64(key, text).alias("_uid"))
+    counted = with_text_counts(own, "_text").drop("_text")
     counted = counted.withColumn("base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words")))
     counted = scratch.save(counted, "counted")
     hosts = host_rates(counted, "_host", "base_failed").select("_host", F.col("rate").alias("host_rate"))
     return counted.join(hosts, "_host", "left").withColumn("kept", ~F.col("base_failed") & (F.col("host_rate") <= host_rate)).drop("_host")
 
 
+def drop_rejected(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
+    """The input's rows that the rules keep, with all columns (the name ``_quality_uid`` is reserved)."""
+    judged = _judged(docs, key, text, host, MIN_WORDS, REPEAT_PERCENT, HOST_RATE)
+    gone = Scratch(docs.sparkSession, "quality-gone").save(judged.where("not kept").select(F.col("_uid").alias("_quality_uid")).distinct(), "gone")
+    small = 40 * gone.count() <= BROADCAST_BYTES
+    return docs.withColumn("_quality_uid", F.xxhash64(key, text)).join(F.broadcast(gone) if small else gone, "_quality_uid", "left_anti").drop("_quality_uid")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules over all documents; hosts are the values of ``source``."""
     return quality_rules(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
