@@ -42,14 +42,22 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        self.names: set[str] = set()
         small_batches(spark)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
+        self.names.add(name)
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def only(self, *names: str) -> None:
+        """Drop all tables but those that the result still reads."""
+        for name in sorted(self.names - set(names)):
+            self.drop(name)
+
     def drop(self, name: str) -> None:
+        self.names.discard(name)
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 

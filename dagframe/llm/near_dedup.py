@@ -239,6 +239,7 @@ def _judged(docs: DataFrame, key: str, text: str, shingle: int, percent: int) ->
 
     joined = signed.select("id", "uid", "n_shingles", "cls").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = scratch.save(joined.where("root is not null").groupBy("root").agg(F.min("id").alias("least")), "least")
+    scratch.only("signed", "fine-roots", "least")
     out = joined.join(least, "root", "left").select("id", "uid", "n_shingles", F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("least")).alias("component_id"))
     return out.withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))
 

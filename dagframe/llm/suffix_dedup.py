@@ -238,7 +238,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, scratch: Scratch | Non
     runs = judged.where("done").select("doc", F.expr("shiftleft(shiftright(place, 16), 16) | (shiftright(place, 8) & 255)").alias("place"))
     runs = runs.unionByName(twice.select("doc", F.expr("shiftleft(at, 16)").alias("place")))
     merged = runs.groupBy("doc").agg(F.collect_list("place").alias("places")).mapInArrow(_merged(length), "doc long, spans array<long>")
-    return scratch.save(merged, "spans")
+    spans = scratch.save(merged, "spans")
+    scratch.only("spans")
+    return spans
 
 
 def _kept(fields: list[str]):
