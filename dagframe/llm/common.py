@@ -70,7 +70,3 @@ def attach(big: DataFrame, small: DataFrame, on: list[str], small_bytes: int, ho
     """Join on equal, non-null keys; small is broadcast when small_bytes, which the caller counted, allows it, else both sides are shuffled."""
     return big.join(F.broadcast(small) if small_bytes <= limit else small, on, how)
 
-
-def clean_id(id_col: str, text_col: str):
-    """A long that stands for a row's document: its id, or for a null id a negative hash of its text."""
-    return F.coalesce(F.col(id_col).cast("long"), F.xxhash64(F.col(text_col)).bitwiseOR(F.lit(-(2**63))))

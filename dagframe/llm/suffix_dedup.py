@@ -20,10 +20,9 @@ Spark counts each round's buckets and joins the counts back, so a bucket of any
 over tasks. Identifiers are 64-bit hashes and a decision always rests on two of them, or on one
 and 7 literal bytes.
 
-Defined results: a null text is empty; a null id stands for the text's own hash; rows that
-repeat an id and a text count as occurrences of their own; rows that share an id but not the
-text are one document whose spans apply to each of them; an empty table gives an empty table;
-only the key and text columns are read, and other columns that ``carry`` names come along.
+Defined results: a null text is empty; rows are told apart by a hash of id and text, so null ids
+and rows that share an id are documents of their own, and rows that repeat both count as
+occurrences of their own; an empty table gives an empty table; only the key and text columns are read, and other columns that ``carry`` names come along.
 """
 
 from __future__ import annotations
@@ -37,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dagframe.llm.bytesets import BYTE, STEP, U, as_strings, mix
-from dagframe.llm.common import Scratch, attach, clean_id, table
+from dagframe.llm.common import Scratch, attach, table
 
 LENGTH = 200
 GRAM = 64
@@ -140,8 +139,8 @@ def _blocks(length: int):
                 docs, places = np.asarray(batch.column("doc")), batch.column("places")
                 for i, data in _texts(batch, "text"):
                     place = np.sort(np.asarray(places[i].values))
+                    place = place[(place >> 16) + ((place >> 8) & 255) + length <= len(data)]  # else of another text whose hash is the same
                     first, more, off = place >> 16, (place >> 8) & 255, place & 255
-                    origin = 0
                     while len(place):  # a stretch of the text at a time
                         origin = int(first[0])
                         now = first < origin + STARTS
@@ -202,7 +201,7 @@ def _size(df: DataFrame, column: str) -> int:
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, scratch: Scratch | None = None) -> DataFrame:
-    """docs has doc (long) and text; (doc, spans): flat start and end pairs of repeated bytes, for documents that have some."""
+    """docs has doc (a long that tells documents apart) and text; (doc, spans): flat start and end pairs of repeated bytes, for documents that have some."""
     if not 136 <= length <= 216:
         raise ValueError("length is 136 to 216 bytes")
     scratch = scratch or Scratch(docs.sparkSession, "repeats")
@@ -263,7 +262,7 @@ def _kept(fields: list[str]):
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, carry: list[str] | None = None) -> DataFrame:
     """The columns of carry (by default key), n_bytes, n_removed, n_spans, kept (binary, the remaining bytes) and kept_sha256, one row per input row."""
     carry = carry or [key]
-    own = docs.select(*carry, F.col(text).alias("_rep_text"), clean_id(key, text).alias("_rep_doc"))
+    own = docs.select(*carry, F.col(text).alias("_rep_text"), F.xxhash64(key, text).alias("_rep_doc"))
     spans = repeated_spans(own.select(F.col("_rep_doc").alias("doc"), F.col("_rep_text").alias("text")), length)
     spans = spans.select(F.col("doc").alias("_rep_doc"), F.col("spans").alias("_rep_spans"))
     joined = attach(own, spans, ["_rep_doc"], _size(spans, "_rep_spans")).select(*carry, "_rep_text", "_rep_spans")
