@@ -368,6 +368,29 @@ def crash_mark(spark, d):
     return eventlog.interrupted(log(spark, d)).select("run_id", "seq", "status")
 
 
+@query("WITH e AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS k FROM events WHERE event_id >= 500), l AS (SELECT user_id, max(event_id) AS last FROM events WHERE event_id < 500 GROUP BY user_id) SELECT CAST(user_id AS VARCHAR) AS run_id, event_id, CAST(k + coalesce(last + 1, 0) AS BIGINT) AS seq FROM e LEFT JOIN l USING (user_id)")
+def log_numbered(spark, d):
+    rows = log(spark, d).select("run_id", "seq")
+    fresh = rows.where("seq >= 500").select("run_id", F.col("seq").alias("event_id"), F.col("seq").alias("arrival"))
+    return eventlog.numbered(fresh, rows.where("seq < 500")).select("run_id", "event_id", "seq")
+
+
+@query(f"WITH {_RUNS}, q AS (SELECT CAST(user_id AS VARCHAR) AS run_id, max(ts) AS ts, max(event_id) AS seq FROM events GROUP BY user_id) SELECT run_id, q.seq + 1 AS seq, 'failed' AS status FROM runs JOIN q USING (run_id) WHERE status = 'running' AND q.ts < (SELECT max(ts) - INTERVAL 8 HOUR FROM events)")
+def sessions_abandoned(spark, d):
+    rows = log(spark, d)
+    last = t(spark, d, "events").agg(F.max("ts")).first()[0]
+    return eventlog.abandoned(rows, F.lit(last) - F.expr("INTERVAL 8 HOURS")).select("run_id", "seq", "status")
+
+
+@query("SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN 'retryable' WHEN turn % 3 = 1 THEN 'ok' ELSE 'fatal' END AS kind, CASE WHEN turn % 3 = 1 THEN role END AS answer FROM conversations")
+def http_outcomes(spark, d):
+    from dagframe.operators import models
+
+    status = F.element_at(F.array(F.lit(503), F.lit(200), F.lit(404)), (F.col("turn") % 3 + 1).cast("int"))
+    made = models.http_outcome(status, F.to_json(F.struct("role")))
+    return t(spark, d, "conversations").select("conv_id", "turn", made["kind"].alias("kind"), F.get_json_object(made["value"], "$.role").alias("answer"))
+
+
 @query(f"WITH {_LOG}, n AS (SELECT DISTINCT run_id, node_id FROM e WHERE kind <> 'signup'), c AS (SELECT run_id, node_id AS from_node, lead(node_id) OVER (PARTITION BY run_id ORDER BY node_id) AS to_node FROM n) SELECT * FROM c WHERE to_node IS NOT NULL")
 def topology_chain(spark, d):
     return eventlog.topology_chain(log(spark, d))

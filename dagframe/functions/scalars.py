@@ -204,7 +204,7 @@ def token_usage(v: Column) -> Column:
 
 def elapsed_ms(start: Column, end: Column) -> Column:
     """Milliseconds between two timestamps, 0 at least."""
-    return F.greatest(F.unix_millis(end) - F.unix_millis(start), F.lit(0).cast("long"))
+    return F.greatest(F.unix_millis(end.cast("timestamp")) - F.unix_millis(start.cast("timestamp")), F.lit(0).cast("long"))
 
 
 def backoff_ms(first: Column, factor: Column, attempt: Column) -> Column:

@@ -182,6 +182,23 @@ def interrupted(log: DataFrame, now: Column | None = None) -> DataFrame:
     return open_.select("run_id", F.lit(LAST).alias("seq"), F.lit("run_completed").alias("event_type"), (now if now is not None else F.current_timestamp()).alias("ts"), F.lit("interrupted").alias("status"), F.lit(0).cast("long").alias("duration_ms"))
 
 
+def numbered(events: DataFrame, log: DataFrame | None = None, order: str = "arrival") -> DataFrame:
+    """Events with a seq of their own in each run, in order of arrival, behind what the log holds."""
+    out = events.withColumn("seq", F.row_number().over(Window.partitionBy("run_id").orderBy(order)).cast("long") - 1)
+    if log is None:
+        return out
+    last = log.where(F.col("seq") < LAST).groupBy("run_id").agg(F.max("seq").alias("_last"))
+    return out.join(last, "run_id", "left").withColumn("seq", F.col("seq") + F.coalesce(F.col("_last") + 1, F.lit(0))).drop("_last")
+
+
+def abandoned(log: DataFrame, before: Column) -> DataFrame:
+    """Failed completions for running runs whose last event is older than a time, to be appended to the log."""
+    quiet = log.groupBy("run_id").agg(F.max("ts").alias("_ts"), F.max("seq").alias("_seq")).where(F.col("_ts") < before)
+    open_ = runs(log).where("status = 'running'").select("run_id", "started_at")
+    took = F.greatest(F.unix_millis(F.col("_ts").cast("timestamp")) - F.unix_millis(F.col("started_at").cast("timestamp")), F.lit(0).cast("long"))
+    return open_.join(quiet, "run_id").select("run_id", (F.col("_seq") + 1).alias("seq"), F.lit("run_completed").alias("event_type"), F.col("_ts").alias("ts"), F.lit("failed").alias("status"), took.alias("duration_ms"))
+
+
 def stream_chunks_folded(chunks: DataFrame) -> DataFrame:
     """Answers from chunks (call_id, ord, kind, text, tool_index, tool_id, tool_name, input_tokens, output_tokens, finish_reason).
 

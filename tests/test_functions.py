@@ -160,3 +160,12 @@ def test_prices(spark):
     calls = spark.createDataFrame([(1, "m", 1, 1), (2, "m-0613", 2, 0), (3, "m-2", 2, 2), (4, "x-1", 1, 1), (5, None, 1, 1)], "id int, model string, prompt_tokens int, completion_tokens int")
     got = {r.id: (r.priced_model, r.cost) for r in pricing.with_cost(calls, prices).collect()}
     assert got == {1: ("m", 3.0), 2: ("m", 2.0), 3: ("m-2", 2.0), 4: ("x-1", None), 5: (None, None)}
+
+
+def test_port_types():
+    from dagframe.functions.types import port_type
+
+    assert port_type({"list": {"map": "number"}}).simpleString() == "array<map<string,double>>"
+    assert port_type({"custom": "P"}, {"P": {"x": "string", "tags": {"list": "any"}}}).simpleString() == "struct<x:string,tags:array<variant>>"
+    with pytest.raises(ValueError):
+        port_type("odd")

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from dagframe.operators import adapters, dataflow, eventlog, lookup, stores, tabular, triggers
+from dagframe.operators import adapters, dataflow, eventlog, lookup, models, stores, tabular, triggers
 
 SALES = [("2024-01-05", "Mouse", "Accessories", "10", "20", "North"), ("2024-01-06", "Laptop", "Electronics", "2", "1200.5", "South"), ("2024-01-07", "Cable", "Accessories", " 5", "3", "North"), ("2024-01-08", "Desk", "Furniture", "x", "nan", "East"), ("2024-01-09", "Lamp", "Furniture", "", "inf", "East")]
 
@@ -278,3 +278,35 @@ def test_other_frameworks(spark):
     assert (got[1].type, got[1].name) == ("step_end", "prompt_rendering") and got[2].node_id == "llm"
     visits = spark.createDataFrame([("r", 0, "a"), ("r", 1, "a"), ("r", 2, "b")], "run_id string, ord int, node string")
     assert [tuple(r) for r in adapters.node_changes(visits).collect()] == [("r", 2, "a", "b")]
+
+
+def test_numbering_and_abandoned_runs(spark, log):
+    fresh = spark.createDataFrame([("r1", 5), ("r1", 4), ("new", 1)], "run_id string, arrival int")
+    assert {(r.run_id, r.arrival): r.seq for r in eventlog.numbered(fresh, log).collect()} == {("r1", 4): 14, ("r1", 5): 15, ("new", 1): 0}
+    timed = log.withColumn("ts", F.timestamp_seconds(F.col("seq") + F.when(F.col("run_id") == "r2", 1000).otherwise(0)))
+    marks = eventlog.abandoned(timed, F.timestamp_seconds(F.lit(100))).collect()
+    assert [(r.run_id, r.seq, r.status, r.duration_ms) for r in marks] == [("r4", 3, "failed", 0)]
+
+
+def test_model_calls(spark):
+    rows = spark.createDataFrame([(1, '"hi"'), (2, '[{"role": "user", "content": "a"}, {"content": 5}]'), (3, '{"role": "tool", "content": "t"}'), (4, '{"q": 1}')], "i int, j string")
+    made = rows.withColumn("m", models.input_messages(F.parse_json("j"), system="s"))
+    got = {r.i: [tuple(m) for m in r.m] for r in made.collect()}
+    assert got == {1: [("system", "s"), ("user", "hi")], 2: [("system", "s"), ("user", "a"), ("user", "5")], 3: [("system", "s"), ("tool", "t")], 4: [("system", "s"), ("user", '{"q":1}')]}
+
+    def echo(requests):
+        return [(None, "down") if "hi" in r else (json.dumps({"content": json.loads(r)["model"], "tool_calls": [{"id": 1}]}), None) for r in requests]
+
+    asked = made.select("i", models.request("p", "m1", F.col("m"), temperature=0.5).alias("request"))
+    done = {r.i: r for r in models.called(asked, echo, batch=2).withColumn("out", models.outputs(F.col("answer"))).collect()}
+    assert done[1].error == "down" and done[1].answer is None
+    assert json.loads(done[2].out) == {"content": "m1", "finish_reason": "stop", "tool_calls": [{"id": 1}]}
+    assert json.loads(done[2].request)["temperature"] == 0.5
+    tools = spark.createDataFrame([("a",), ("b",)], "name string")
+    assert models.chosen_tools(tools, ["b"]).count() == 1 and models.chosen_tools(tools, enabled=False).count() == 0
+
+
+def test_http_outcomes(spark):
+    rows = spark.createDataFrame([(1, 200, '{"a": 1}'), (2, 204, 'plain "x"'), (3, 500, "x"), (4, None, None), (5, 404, "x")], "i int, status int, body string")
+    got = {r.i: tuple(r.o) for r in rows.select("i", models.http_outcome(F.col("status"), F.col("body")).alias("o")).collect()}
+    assert got == {1: ("ok", '{"a": 1}'), 2: ("ok", '"plain \\"x\\""'), 3: ("retryable", None), 4: ("retryable", None), 5: ("fatal", None)}

@@ -184,3 +184,16 @@ def test_tool_router_and_unknown_types(spark):
 
 def test_event_schema_has_the_log_columns():
     assert [c.split()[0] for c in EVENT.split(", ")][:4] == ["run_id", "seq", "event_type", "ts"]
+
+
+def test_topics(spark, tmp_path):
+    from dagframe.streaming import queues
+
+    root = str(tmp_path)
+    queues.publish(spark.createDataFrame([("a", 1)], "k string, v int"), root, "t1")
+    queues.publish(spark.createDataFrame([("b", 2)], "k string, v int"), root, "t1")
+    q = queues.subscribe(spark, root, "t1", "k string, v int").writeStream.format("memory").queryName("topic_view").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert {r.k for r in spark.table("topic_view").collect()} == {"a", "b"}
+    with pytest.raises(ValueError):
+        queues.publish(spark.range(1), root, "../x")
