@@ -71,14 +71,16 @@ def host_rates(docs: DataFrame, host: str, failed: str) -> DataFrame:
     ``strength = mean * (1 - mean) / spread - 1``, held between 1 and 10,000 pseudo-documents.
     """
     hosts = docs.groupBy(host).agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.col(failed).cast("long")).alias("n_failed"))
-    total = hosts.agg(F.sum("n_docs").alias("n"), F.sum("n_failed").alias("f"), F.count(F.lit(1)).alias("m"), F.sum(F.col("n_failed") * F.col("n_failed") / F.col("n_docs")).alias("ss"))
-    mean = F.col("f") / F.col("n")
-    noise = mean * (1 - mean)
-    # size-weighted variance of the hosts' rates; its binomial part is noise * m / n
-    spread = F.col("ss") / F.col("n") - mean * mean - noise * F.col("m") / F.col("n")
-    strength = F.when(spread > 0, F.least(F.lit(10000.0), F.greatest(F.lit(1.0), noise / spread - 1))).otherwise(10000.0)
-    prior = total.select(mean.alias("mean"), strength.alias("strength"))  # one row
-    return hosts.join(F.broadcast(prior), how="left").withColumn("rate", (F.col("n_failed") + F.col("mean") * F.col("strength")) / (F.col("n_docs") + F.col("strength"))).drop("mean", "strength")
+    square = F.col("n_failed") * F.col("n_failed") / F.col("n_docs")
+    total = hosts.agg(F.sum("n_docs").alias("n"), F.sum("n_failed").alias("f"), F.count(F.lit(1)).alias("m"), F.sum(square).alias("ss")).first()
+    mean, strength = 0.0, 10000.0
+    if total.n:
+        mean = total.f / total.n
+        noise = mean * (1 - mean)
+        # size-weighted variance of the hosts' rates; its binomial part is noise * m / n
+        spread = total.ss / total.n - mean * mean - noise * total.m / total.n
+        strength = min(10000.0, max(1.0, noise / spread - 1)) if spread > 0 else 10000.0
+    return hosts.withColumn("rate", (F.col("n_failed") + mean * strength) / (F.col("n_docs") + strength))
 
 
 def quality_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", min_words: int = MIN_WORDS, repeat_percent: int = REPEAT_PERCENT, host_rate: float = HOST_RATE) -> DataFrame:
