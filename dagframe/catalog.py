@@ -132,9 +132,9 @@ _ASKED = ["SKU-3", "SKU-499", "SKU-3", "SKU-x", "SKU-17", "SKU-42"]
 _ASKED_SQL = "r(pos, sku) AS (VALUES (0, 'SKU-3'), (1, 'SKU-499'), (2, 'SKU-3'), (3, 'SKU-x'), (4, 'SKU-17'), (5, 'SKU-42')), f AS (SELECT 'SKU-' || (p_partkey % 500) AS sku, p_partkey, p_name, p_size, p_retailprice, row_number() OVER (PARTITION BY p_partkey % 500 ORDER BY p_partkey) AS k FROM part)"
 
 
-@query(f"WITH {_ASKED_SQL} SELECT pos, r.sku, p_name AS name, CAST(CASE WHEN p_size > 0 THEN p_size WHEN p_partkey IS NOT NULL THEN 0 END AS BIGINT) AS stock, p_size > 0 AS in_stock, CASE WHEN p_partkey IS NULL THEN 'SKU not found' END AS error FROM r LEFT JOIN f ON r.sku = f.sku AND k = 1")
+@query(f"WITH {_ASKED_SQL} SELECT pos, r.sku, p_name AS name, CAST(CASE WHEN p_size > 0 THEN p_size WHEN p_partkey IS NOT NULL THEN 0 END AS DOUBLE) AS stock, CAST(p_size > 0 AS VARCHAR) AS in_stock, CASE WHEN p_partkey IS NULL THEN 'SKU not found' END AS error FROM r LEFT JOIN f ON r.sku = f.sku AND k = 1")
 def catalog_check_stock(spark, d):
-    return lookup.check_stock(lookup.request_rows(spark, [*_ASKED[:3], 7, *_ASKED[3:]]), _parts(spark, d)).select("pos", "sku", "name", "stock", "in_stock", "error")
+    return lookup.check_stock(lookup.request_rows(spark, [*_ASKED[:3], 7, *_ASKED[3:]]), _parts(spark, d)).select("pos", "sku", "name", F.col("stock").cast("double").alias("stock"), F.col("in_stock").cast("string").alias("in_stock"), "error")
 
 
 @query(f"WITH {_ASKED_SQL} SELECT pos, r.sku, p_name AS name, p_retailprice AS price, CASE WHEN p_partkey IS NULL THEN 'SKU not found' END AS error FROM r LEFT JOIN f ON r.sku = f.sku AND k = 1")
@@ -313,18 +313,29 @@ _NODES = f"""WITH {_LOG}, n AS (SELECT * FROM e WHERE kind IN ('view', 'click',
 f AS (SELECT run_id, node_id, min(seq) AS first, max(seq) AS last, max(attempt) AS attempts FROM n WHERE kind = 'view' GROUP BY ALL),
 x AS (SELECT n.* FROM n JOIN f USING (run_id, node_id) WHERE seq > first AND (kind = 'click' OR kind = 'error' AND value < 50)),
 g AS (SELECT run_id, node_id, arg_max(kind, seq) AS kind, arg_max(props, seq) FILTER (kind = 'click') AS outputs, arg_max(CAST(floor(value) AS BIGINT), seq) FILTER (kind = 'click') AS duration_ms, arg_max(props, seq) FILTER (kind = 'error') AS error FROM x GROUP BY ALL)
-SELECT f.run_id, f.node_id, CASE g.kind WHEN 'click' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'running' END AS status, i.props AS inputs, outputs, error, duration_ms, attempts
+SELECT f.run_id, f.node_id, CASE g.kind WHEN 'click' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'running' END AS status, i.props AS inputs, outputs, error, CAST(duration_ms AS DOUBLE) AS duration_ms, attempts
 FROM f JOIN e i ON i.run_id = f.run_id AND i.seq = f.last LEFT JOIN g ON g.run_id = f.run_id AND g.node_id = f.node_id"""
 
 
 @query(_NODES)
 def node_results(spark, d):
-    return eventlog.node_results(log(spark, d))
+    return eventlog.node_results(log(spark, d)).withColumn("duration_ms", F.col("duration_ms").cast("double"))
 
 
-@query(None)
+# without fan-out indexes an end closes the latest open start: brackets, matched by depth
+_DETAILS = f"""WITH {_LOG}, n AS (SELECT *, CASE WHEN kind = 'view' THEN 1 ELSE -1 END AS step FROM e WHERE kind IN ('view', 'click', 'error')),
+a AS (SELECT *, sum(step) OVER (PARTITION BY run_id, node_id ORDER BY seq) AS s FROM n),
+b AS (SELECT *, s - least(0, min(s) OVER (PARTITION BY run_id, node_id ORDER BY seq)) AS depth FROM a),
+c AS (SELECT *, CASE WHEN kind = 'view' THEN depth ELSE coalesce(lag(depth) OVER (PARTITION BY run_id, node_id ORDER BY seq), 0) END AS level FROM b),
+p AS (SELECT *, lead(kind) OVER v AS next_kind, lead(props) OVER v AS next_props, lead(value) OVER v AS next_value FROM c WHERE level > 0 WINDOW v AS (PARTITION BY run_id, node_id, level ORDER BY seq))
+SELECT run_id, node_id, CAST(row_number() OVER (PARTITION BY run_id, node_id ORDER BY seq) - 1 AS INTEGER) AS ordinal, attempt, CAST(NULL AS DOUBLE) AS fan_out_index, props AS inputs,
+CASE WHEN next_kind = 'click' THEN next_props END AS outputs, CASE WHEN next_kind = 'error' THEN next_props END AS error, CASE WHEN next_kind = 'click' THEN CAST(floor(next_value) AS DOUBLE) END AS duration_ms
+FROM p WHERE kind = 'view'"""
+
+
+@query(_DETAILS)
 def node_details(spark, d):
-    return eventlog.node_details(log(spark, d))
+    return eventlog.node_details(log(spark, d)).withColumns({c: F.col(c).cast("double") for c in ("fan_out_index", "duration_ms")})
 
 
 @query("SELECT 'r' || (event_id % 100) AS run_id, event_id AS seq, event_type AS edge_id, value > 20 AS result FROM events WHERE event_type = 'view'")
