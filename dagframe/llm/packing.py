@@ -152,11 +152,11 @@ def _tokenized(json_path: str, ranks_path: str | None):
     return run
 
 
-def _cut(schedule: Schedule, order: dict[str, int], length: int):
+def _cut(schedule: Schedule, order: dict[str, int], length: int, with_ids: bool):
     def run(batches):
         for batch in batches:
             rows: list[tuple] = []
-            at = []
+            at, held = [], []
             for i, (queue, x, n, ids) in enumerate(zip(batch.column("queue").to_pylist(), batch.column("x").to_pylist(), batch.column("n").to_pylist(), batch.column("ids").to_pylist(), strict=True)):
                 q, done = order[queue], 0
                 raw = np.frombuffer(ids, "<u2" if len(ids) == 2 * n else "<u4").astype("<u4")
@@ -168,15 +168,21 @@ def _cut(schedule: Schedule, order: dict[str, int], length: int):
                     size = min(n - done, schedule.before(q, t + 1) - x - done, length - place % length)
                     rows.append((done, size, zlib.crc32(raw[done : done + size].tobytes()), n, t * (schedule.tokens // length) + place // length, place % length))
                     at.append(i)
+                    if with_ids:
+                        held.append(raw[done : done + size].astype(np.int32))
                     done += size
             made = [pa.array([r[k] for r in rows], pa.int64()) for k in range(6)]
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(at, pa.int64())), *made, batch.column("queue").take(pa.array(at, pa.int64()))], ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "queue"])
+            columns = [batch.column("id").take(pa.array(at, pa.int64())), *made, batch.column("queue").take(pa.array(at, pa.int64()))]
+            names = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "queue"]
+            if with_ids:
+                columns, names = [*columns, pa.array(held, pa.list_(pa.int32()))], [*names, "ids"]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
 
 
-def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", length: int = LENGTH, window: int = WINDOW, weights: Mapping[str, int] | None = None, json_path: str | None = None, ranks_path: str | None = None) -> DataFrame:
-    """One row per piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset and queue.
+def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", length: int = LENGTH, window: int = WINDOW, weights: Mapping[str, int] | None = None, json_path: str | None = None, ranks_path: str | None = None, with_ids: bool = False) -> DataFrame:
+    """One row per piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset and queue, and on request the ids.
 
     weights maps sources to integer shares of the tokens; by default a source's share is what it has.
     """
@@ -202,10 +208,18 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     small = 96 * sums.count() <= BROADCAST_BYTES
     placed = tokens.join(F.broadcast(bases) if small else bases, ["part", "queue"]).select("id", "queue", (F.col("base") + F.col("start")).alias("x"), "n", "ids")
     order = {q: k for k, q in enumerate(queues)}
-    pieces = placed.mapInArrow(_cut(schedule, order, length), f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, queue string")
+    pieces = placed.mapInArrow(_cut(schedule, order, length, with_ids), f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, queue string" + ", ids array<int>" * with_ids)
     return pieces.withColumnRenamed("id", key)
 
 
+def sequences(pieces: DataFrame, length: int = LENGTH, pad: int = END) -> DataFrame:
+    """sequence_id, n_tokens and ids (array of length ids, padded at the end) of pieces that were packed with their ids."""
+    parts = F.array_sort(F.collect_list(F.struct("offset", "ids")))
+    whole = pieces.groupBy("sequence_id").agg(F.flatten(F.transform(parts, lambda p: p["ids"])).alias("ids"))
+    n = F.size("ids")
+    return whole.select("sequence_id", n.cast("long").alias("n_tokens"), F.concat("ids", F.array_repeat(F.lit(pad), F.lit(length) - n)).alias("ids"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of 1024 tokens, by source."""
     return pack(table(spark, sf_dir, "documents")).drop("queue")

@@ -29,6 +29,13 @@ def edges(spark):
     return spark.createDataFrame(edge_rows(), SCHEMA).repartition(3)
 
 
+@pytest.fixture(scope="session")
+def singles(spark):
+    """The first row of each id."""
+    rows = {r[0]: r for r in reversed(edge_rows()) if r[0] is not None}
+    return spark.createDataFrame(list(rows.values()), SCHEMA)
+
+
 @pytest.fixture(scope="session")
 def nothing(spark):
     return spark.createDataFrame([], SCHEMA)

@@ -30,11 +30,12 @@ def test_bad_hosts_are_rejected_and_clean_ones_kept(spark):
     assert not got[200] and got[100] and not got[201] and got[202]
 
 
-def test_secret_spans(edges, nothing):
-    rows = {r.doc_id: r for r in secrets.secret_spans(edges).collect() if r.doc_id is not None}
+def test_secret_spans(edges, singles, nothing):
+    rows = {r.doc_id: r for r in secrets.secret_spans(singles).collect()}
     assert (rows[17].n_assign, rows[17].n_access, rows[17].n_hex) == (1, 1, 1)
-    for k, t in pairs(edges):
-        if k in rows and k is not None:
+    assert secrets.secret_spans(edges).count() == edges.count()
+    for k, t in pairs(singles):
+        if k in rows:
             base = sorted([(m.start(), 0, m.end()) for m in secrets.ASSIGN.finditer(t or "") if len(m[2]) >= 6] + [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t or "") if len(m[0]) >= 20] + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t or "") if len(m[0]) >= 24])
             text = ",".join(f"{secrets.KINDS[n]}:{a}:{b}" for a, n, b in base)
             assert rows[k].base_sha256 == hashlib.sha256(text.encode()).hexdigest()
@@ -64,12 +65,12 @@ def _packed(df, **more):
 
 
 @pytest.mark.parametrize("weights", [None, {"src0": 5, "src1": 1}])
-def test_packing_holds_every_id_once(edges, small, weights):
+def test_packing_holds_every_id_once(singles, small, weights):
     import public_tokenizers
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    for df in (small, edges.where("doc_id is not null").dropDuplicates(["doc_id"])):
+    for df in (small, singles):
         ids = {k: [*whole.encode(t or "", add_special_tokens=False).ids, 0] for k, t in pairs(df)}
         by, seq = defaultdict(list), defaultdict(list)
         for r in _packed(df, weights=weights, window=4):
@@ -100,6 +101,22 @@ def test_packing_of_special_texts_and_repeats(spark, nothing):
     assert packing.pack(nothing).count() == 0
 
 
+def test_sequences_hold_the_ids(spark, small):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    docs = small.where("doc_id < 40")
+    pieces = packing.pack(docs, with_ids=True, window=2)
+    rows = {r.sequence_id: r for r in packing.sequences(pieces).collect()}
+    assert all(len(r.ids) == 1024 for r in rows.values())
+    texts = dict(pairs(docs))
+    for r in pieces.collect():
+        ids = [*whole.encode(texts[r.doc_id], add_special_tokens=False).ids, 0]
+        assert rows[r.sequence_id].ids[r.offset : r.offset + r.length] == ids[r.start : r.start + r.length]
+    assert sum(r.n_tokens for r in rows.values()) == sum(len(whole.encode(t, add_special_tokens=False).ids) + 1 for t in texts.values())
+
+
 def test_windows_follow_the_target(small):
     share = Counter()
     for r in _packed(small, window=16):
@@ -181,8 +198,8 @@ def test_encoding_documents(edges, nothing):
     encoded = pieces.encode_documents(edges)
     got = {r.doc_id: r for r in encoded.collect() if r.doc_id is not None}
     assert all(r.round_trip for r in got.values()) and got[9].ids == [] and got[8].ids == []
-    back = {r.doc_id: r.text for r in pieces.decode_documents(encoded).collect() if r.doc_id is not None}
-    assert back == {k: t or "" for k, t in pairs(edges) if k is not None}
+    back = Counter((r.doc_id, r.text) for r in pieces.decode_documents(encoded).collect())
+    assert back == Counter((k, t or "") for k, t in pairs(edges))
     assert pieces.encode_documents(nothing).count() == 0
 
 
@@ -197,8 +214,8 @@ def test_licences(spark, edges, nothing):
         assert any(m in known for m in licenses.MARKERS)
 
 
-def test_language_model_base(edges, small, nothing):
-    for df in (small, edges.where("doc_id is not null").dropDuplicates(["doc_id"])):
+def test_language_model_base(edges, singles, small, nothing):
+    for df in (small, singles):
         want = lm_base(pairs(df))
         got = {r.doc_id: r for r in language_model.lm_scores(df).collect()}
         assert set(got) == set(want)
