@@ -66,12 +66,15 @@ def merged_input(ports: Column) -> Column:
     return F.when(F.coalesce(F.size(ports), F.lit(0)) < 1, "{}").when(F.size(ports) == 1, entries[0]["value"]).otherwise(F.concat(F.lit("{"), F.array_join(named, ","), F.lit("}")))
 
 
-def ready_nodes(edges: DataFrame, status: DataFrame, passed: DataFrame) -> DataFrame:
+def ready_nodes(edges: DataFrame, status: DataFrame, passed: DataFrame | None) -> DataFrame:
     """(run_id, node_id) of nodes that can start: all sources done, one of them completed over an edge that passed.
 
     edges (edge_id, from_node, to_node) without back edges; status (run_id, node_id, state);
-    passed (run_id, edge_id). Nodes that have a state are left out.
+    passed (run_id, edge_id), or None for the step after a failure, which asks no condition. Nodes
+    that have a state are left out.
     """
+    if passed is None:
+        passed = status.select("run_id").distinct().join(F.broadcast(edges.select("edge_id")), how="cross")
     runs = status.select("run_id").distinct()
     wanted = runs.join(F.broadcast(edges), how="cross")  # a flow's edges: tens of rows, the same for every run
     done = wanted.join(status.withColumnRenamed("node_id", "from_node"), ["run_id", "from_node"], "left").join(passed.select("run_id", "edge_id", F.lit(True).alias("_passed")), ["run_id", "edge_id"], "left")

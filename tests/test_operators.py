@@ -97,6 +97,7 @@ def test_readiness_and_status(spark):
     status = spark.createDataFrame([(1, "a", "completed"), (1, "b", "failed"), (2, "a", "completed"), (2, "b", "running"), (3, "a", "failed"), (3, "b", "failed")], "run_id int, node_id string, state string")
     passed = spark.createDataFrame([(1, "e1"), (2, "e1"), (2, "e3")], "run_id int, edge_id string")
     assert {(r.run_id, r.node_id) for r in dataflow.ready_nodes(edges, status, passed).collect()} == {(1, "c"), (2, "d")}
+    assert {(r.run_id, r.node_id) for r in dataflow.ready_nodes(edges, status, None).collect()} == {(1, "c"), (1, "d"), (2, "d")}
     states = spark.createDataFrame([(1, "a", "completed"), (1, "b", "completed"), (2, "a", "completed"), (3, "a", "failed"), (3, "b", "completed")], "run_id int, node_id string, state string")
     assert {r.run_id: r.status for r in dataflow.run_status(states, 2).collect()} == {1: "completed", 2: "failed", 3: "failed"}
     assert {r.status for r in dataflow.run_status(states, 2, F.lit(True)).collect()} == {"cancelled"}

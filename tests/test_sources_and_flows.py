@@ -197,3 +197,20 @@ def test_topics(spark, tmp_path):
     assert {r.k for r in spark.table("topic_view").collect()} == {"a", "b"}
     with pytest.raises(ValueError):
         queues.publish(spark.range(1), root, "../x")
+
+
+def test_human_answers_meet_their_nodes(spark, tmp_path):
+    rows = {"asked": [{"run_id": "r", "node_id": "n", "ts": "2024-01-01T00:00:00"}, {"run_id": "r", "node_id": "late", "ts": "2024-01-01T00:00:00"}], "answers": [{"run_id": "r", "node_id": "n", "ts": "2024-01-01T00:10:00", "value": "yes"}, {"run_id": "r", "node_id": "late", "ts": "2024-01-01T02:00:00", "value": "no"}, {"run_id": "x", "node_id": "n", "ts": "2024-01-01T00:10:00", "value": "other"}]}
+    for name, lines_ in rows.items():
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "1.json").write_text("\n".join(map(json.dumps, lines_)))
+    stream = lambda name: spark.readStream.schema("run_id string, node_id string, ts timestamp, value string").json(str(tmp_path / name))
+    q = streams.awaited(stream("asked"), stream("answers")).writeStream.format("memory").queryName("answer_view").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert [(r.run_id, r.node_id, r.value) for r in spark.table("answer_view").collect()] == [("r", "n", "yes")]
+
+
+def test_chains_and_ticks_have_their_shape(spark, tmp_path):
+    events = streams.log_stream(spark, str(tmp_path))
+    assert streams.chain_stream(events, "a", "b").isStreaming
+    assert streams.cron_stream(spark, "f", 60).columns == ["flow_id", "inputs", "idempotency_key", "ts"]
