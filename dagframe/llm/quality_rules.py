@@ -22,7 +22,7 @@ REPEAT_PERCENT = 30
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
 #: A host is rejected when its shrunk failure rate is above this.
-HOST_RATE = 0.6
+HOST_RATE = 0.8
 
 
 def with_text_counts(df: DataFrame, text: str, window: int = WINDOW) -> DataFrame:
@@ -139,6 +139,6 @@ v AS (SELECT f / n AS mean, f / n * (1 - f / n) AS noise, ss / n - (f / n) * (f
 pr AS (SELECT mean, CASE WHEN spread > 0 THEN least(10000.0, greatest(1.0, noise / spread - 1)) ELSE 10000.0 END AS strength FROM v),
 hr AS (SELECT source, (nf + mean * strength) / (nd + strength) AS rate FROM hosts, pr)
 SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND rate <= 0.6 AS kept
+       NOT base_failed AND rate <= 0.8 AS kept
 FROM b JOIN hr ON b.source IS NOT DISTINCT FROM hr.source
 """

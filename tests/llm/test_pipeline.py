@@ -28,7 +28,7 @@ def plain_quality(docs):
     spread = sum(sum(f) ** 2 / len(f) for f in hosts.values()) / n - mean**2 - noise * m / n
     strength = min(10000, max(1, noise / spread - 1)) if spread > 0 else 10000
     rate = {h: (sum(f) + mean * strength) / (len(f) + strength) for h, f in hosts.items()}
-    return [r for r, f in zip(docs, failed, strict=True) if not f and rate[r.source] <= 0.6]
+    return [r for r, f in zip(docs, failed, strict=True) if not f and rate[r.source] <= 0.8]
 
 
 def plain_near(docs):
