@@ -2,7 +2,8 @@
 
 The trees look at the URL's letters alone: lengths, depth, digit and mark ratios, entropy,
 parameter counts and statistics of the host's suffixes, its first label and the path's first
-directory (how many labelled URLs have it and what share of them is blocked, shrunk to a half). Labelled URLs are those that a rule decides,
+directory: the share of their labelled URLs that is blocked, shrunk towards none, so that a part
+without labelled URLs is no reason to block. Labelled URLs are those that a rule decides,
 or any table of URLs with labels. The trees are fitted to a bounded sample of distinct labelled
 URLs, chosen by hash; everything else covers all rows. DataFrame functions and Spark's tree
 learner only.
@@ -36,11 +37,11 @@ RULES = (
 #: Labelled URLs that the trees are fitted to, at most about.
 SAMPLE = 20_000
 TREES, DEPTH, SEED = 20, 4, 7
-#: Pseudo-count of a suffix's share of blocked URLs.
+#: Labelled URLs that count as allowed beside each part's own.
 PRIOR = 5.0
 ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789-._~:/?#[]@!$&'()*+,;=%"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-FEATURES = ("f_length", "f_host", "f_path", "f_labels", "f_depth", "f_digits", "f_host_digits", "f_marks", "f_entropy", "f_params", "f_query", "f_longest_label", "f_extension", "f_suffix_n", "f_suffix_rate", "f_domain_n", "f_domain_rate", "f_lead_n", "f_lead_rate", "f_segment_n", "f_segment_rate")
+FEATURES = ("f_length", "f_host", "f_path", "f_labels", "f_depth", "f_digits", "f_host_digits", "f_marks", "f_entropy", "f_params", "f_query", "f_longest_label", "f_extension", "f_suffix_rate", "f_domain_rate", "f_lead_rate", "f_segment_rate")
 #: Parts of a URL whose labelled URLs are counted: the host's last label, its last two, its first, and the path's first directory.
 COUNTED = ("suffix", "domain", "lead", "segment")
 
@@ -117,13 +118,13 @@ def _assembled(df: DataFrame, rates: dict[str, DataFrame]) -> DataFrame:
     out = with_features(df)
     for part in COUNTED:  # the statistics have no more rows than the sample they come from, so they may be broadcast
         out = out.join(F.broadcast(rates[part]), part, "left")
-    out = out.fillna(0.0, [f"f_{part}_n" for part in COUNTED]).fillna(0.5, [f"f_{part}_rate" for part in COUNTED])
+    out = out.fillna(0.0, [f"f_{part}_rate" for part in COUNTED])
     return VectorAssembler(inputCols=list(FEATURES), outputCol="features", handleInvalid="keep").transform(out)
 
 
 def _rates(sample: DataFrame, by: str, name: str) -> DataFrame:
     n, blocked = F.count(F.lit(1)), F.sum("label")
-    return sample.groupBy(by).agg(F.log1p(n.cast("double")).alias(f"f_{name}_n"), ((blocked + PRIOR / 2) / (n + PRIOR)).alias(f"f_{name}_rate"))
+    return sample.groupBy(by).agg((blocked / (n + PRIOR)).alias(f"f_{name}_rate"))
 
 
 def fit_url_model(labelled: DataFrame, scratch: Scratch, sample: int = SAMPLE, trees: int = TREES, depth: int = DEPTH, seed: int = SEED) -> UrlModel:
