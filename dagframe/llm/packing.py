@@ -106,6 +106,8 @@ class Schedule:
 
     def before(self, q: int, t: int) -> int:
         """Tokens of queue q given in the first t windows."""
+        if not self.phases:
+            return 0
         k = bisect_right(self.starts, t) - 1
         done, ahead, whole, given, _ = self.phases[k]
         u = t - self.starts[k]
