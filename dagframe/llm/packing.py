@@ -4,7 +4,8 @@ Documents of a source form a queue of tokens. In every window of ``window`` sequ
 is served in turn; its quantum is its share of the window, and what rounding leaves it short of
 or ahead is its deficit, carried to the next window. With integer weights w the tokens that
 queues 1..q have got after u windows are ``floor(u * window tokens * (w1 + .. + wq) / sum w)``,
-so a queue is never a whole token off its target, and the deficit that any partition starts from
+so a queue is never a whole token off its target (sources whose share is under one token a
+window go together in one queue, as rounding could else take a token back), and the deficit that any partition starts from
 follows from counts alone: no state runs through the partitions. When a queue runs dry the round
 robin goes on among the others. Documents are cut where a quantum or a sequence ends; only the
 last sequence may be short.
@@ -75,6 +76,8 @@ class Schedule:
             if not any(weight):
                 weight = [int(r > 0) for r in rest]
             whole = sum(weight)
+            if any(w and tokens * w < whole for w in weight):
+                raise ValueError("a queue's share is one token a window at least")  # else rounding could take a token back
             windows = min(r * whole // (tokens * w) for r, w in zip(rest, weight, strict=True) if w)
             ahead = np.concatenate([[0], np.cumsum(np.array(weight, object))]).tolist()
             if windows:
@@ -133,6 +136,16 @@ class Schedule:
         return low
 
 
+def lanes(totals: Mapping[str, int], tokens: int) -> dict[str, str]:
+    """For each queue the one it shares a stream with: the smallest ones go together until they have a token in every window."""
+    whole, left = sum(totals.values()), sorted(totals, key=lambda q: (totals[q], q))
+    together, n = [], 0
+    while left and (tokens * totals[left[0]] < whole or 0 < tokens * n < whole):
+        together.append(left.pop(0))
+        n += totals[together[-1]]
+    return {q: q for q in left} | {q: together[-1] for q in together}
+
+
 def _tokenized(json_path: str, ranks_path: str | None):
     def run(batches):
         from pyspark import TaskContext
@@ -159,8 +172,8 @@ def _cut(schedule: Schedule, order: dict[str, int], length: int, with_ids: bool)
         for batch in batches:
             rows: list[tuple] = []
             at, held = [], []
-            for i, (queue, x, n, ids) in enumerate(zip(batch.column("queue").to_pylist(), batch.column("x").to_pylist(), batch.column("n").to_pylist(), batch.column("ids").to_pylist(), strict=True)):
-                q, done = order[queue], 0
+            for i, (lane, x, n, ids) in enumerate(zip(batch.column("lane").to_pylist(), batch.column("x").to_pylist(), batch.column("n").to_pylist(), batch.column("ids").to_pylist(), strict=True)):
+                q, done = order[lane], 0
                 raw = np.frombuffer(ids, "<u2" if len(ids) == 2 * n else "<u4").astype("<u4")
                 t = schedule.window_of(q, x)
                 while done < n:
@@ -202,14 +215,18 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
 
     sums = scratch.save(tokens.groupBy("part", "queue").agg(F.sum("n").alias("sum")), "sums")
     totals = {r.queue: r.n for r in sums.groupBy("queue").agg(F.sum("sum").alias("n")).collect()}  # MAX_QUEUES at most
-    queues = sorted(totals)
-    share = {f"s:{s}": w for s, w in weights.items()} if weights else totals
-    schedule = Schedule([totals[q] for q in queues], [share.get(q, 0) for q in queues], length * window)
-    behind = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sums.select("part", "queue", F.coalesce(F.sum("sum").over(behind), F.lit(0)).alias("base"))
-    small = 96 * sums.count() <= BROADCAST_BYTES
-    placed = tokens.join(F.broadcast(bases) if small else bases, ["part", "queue"]).select("id", "queue", (F.col("base") + F.col("start")).alias("x"), "n", "ids")
-    order = {q: k for k, q in enumerate(queues)}
+    lane = {q: q for q in totals} if weights else lanes(totals, length * window)
+    streams = sorted(set(lane.values()))
+    share = {f"s:{name}": w for name, w in weights.items()} if weights else {}
+    sizes = [sum(n for q, n in totals.items() if lane[q] == x) for x in streams]
+    schedule = Schedule(sizes, [share.get(x, 0) for x in streams] if weights else sizes, length * window)
+    shared = [q for q in lane if lane[q] != q]
+    of = F.when(F.col("queue").isin(shared), F.lit(lane[shared[0]])).otherwise(F.col("queue")) if shared else F.col("queue")
+    behind = Window.partitionBy("lane").orderBy("part", "queue").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sums.withColumn("lane", of).select("part", "queue", "lane", F.coalesce(F.sum("sum").over(behind), F.lit(0)).alias("base"))
+    small = 128 * sums.count() <= BROADCAST_BYTES
+    placed = tokens.join(F.broadcast(bases) if small else bases, ["part", "queue"]).select("id", "queue", "lane", (F.col("base") + F.col("start")).alias("x"), "n", "ids")
+    order = {x: k for k, x in enumerate(streams)}
     pieces = placed.mapInArrow(_cut(schedule, order, length, with_ids), f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, queue string" + ", ids array<int>" * with_ids)
     return pieces.withColumnRenamed("id", key)
 

@@ -7,7 +7,7 @@ import re
 import numpy as np
 import pyarrow as pa
 from brute import LOWER, WORD, shingles
-from hypothesis import given, settings
+from hypothesis import assume, given, settings
 from hypothesis import strategies as st
 
 from dagframe.llm import bytesets, language_model, packing, secrets, suffix_dedup
@@ -49,7 +49,9 @@ def test_shingle_sets_have_the_sizes_of_plain_ones(rows, size):
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.integers(0, 4000), min_size=1, max_size=6), st.lists(st.integers(0, 9), min_size=6, max_size=6), st.integers(1, 700))
 def test_schedules_give_every_token_once(totals, weights, tokens):
-    s = packing.Schedule(totals, weights[: len(totals)], tokens)
+    weights = weights[: len(totals)]
+    assume(tokens >= len(totals) and all(not w or tokens * w >= sum(weights) for w in weights))
+    s = packing.Schedule(totals, weights, tokens)
     left = sum(totals)
     for t in range(s.windows):
         sizes = [s.before(q, t + 1) - s.before(q, t) for q in range(len(totals))]
@@ -63,6 +65,23 @@ def test_schedules_give_every_token_once(totals, weights, tokens):
             assert s.before(q, t) <= n - 1 < s.before(q, t + 1)
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.integers(1, 10**6), min_size=1, max_size=8), st.integers(8, 500))
+def test_small_queues_go_together(totals, tokens):
+    named = {f"q{i}": n for i, n in enumerate(totals)}
+    lane = packing.lanes(named, tokens)
+    sizes = {}
+    for q, x in lane.items():
+        sizes[x] = sizes.get(x, 0) + named[q]
+    assert set(lane) == set(named) and len({x for q, x in lane.items() if q != x}) <= 1
+    assert all(tokens * n >= sum(totals) for n in sizes.values())
+    s = packing.Schedule(list(sizes.values()), list(sizes.values()), tokens)
+    for q, n in enumerate(sizes.values()):
+        given = [s.before(q, t) for t in range(min(s.windows, 300) + 1)]
+        assert all(a <= b for a, b in zip(given, given[1:]))
+        assert all(abs(g - t * tokens * n / sum(totals)) < 1 for t, g in enumerate(given[:-1]))
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.sets(st.integers(0, 2**64 - 1), max_size=50), st.integers(1, 9))
 def test_packed_keys_come_back_in_their_ranges(keys, ranges):

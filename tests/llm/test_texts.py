@@ -101,6 +101,20 @@ def test_packing_of_special_texts_and_repeats(spark, nothing):
     assert packing.pack(nothing).count() == 0
 
 
+def test_sources_of_less_than_a_token_a_window(spark):
+    rows = [(i, "word " * 400, "large") for i in range(60)] + [(100 + i, "", f"tiny{i}") for i in range(3)] + [(200, "a few words", "few")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    seq, of = defaultdict(list), defaultdict(int)
+    for r in packing.pack(docs, length=64, window=1).collect():
+        seq[r.sequence_id].append((r.offset, r.length))
+        of[r.doc_id] += r.length
+        assert r.doc_tokens >= r.start + r.length
+    at = {k: sorted(v) for k, v in seq.items()}
+    assert all(b[0] == a[0] + a[1] for v in at.values() for a, b in zip(v, v[1:])) and all(v[0][0] == 0 for v in at.values())
+    assert len(of) == len(rows) and of[100] == of[101] == of[102] == 1
+    assert all(sum(n for _, n in at[k]) == 64 for k in range(len(at) - 1))
+
+
 def test_sequences_hold_the_ids(spark, small):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -134,6 +148,8 @@ def test_windows_follow_the_target(small):
 
 
 def test_schedule_with_queues_that_run_dry():
+    with pytest.raises(ValueError):
+        packing.Schedule([5000, 10], [1000, 1], 256)
     s = packing.Schedule([5000, 10, 700, 0, 1], [1, 1, 3, 2, 1], 256)
     given = [[s.before(q, t) for t in range(s.windows + 1)] for q in range(5)]
     assert [g[-1] for g in given] == [5000, 10, 700, 0, 1] and all(a <= b for g in given for a, b in zip(g, g[1:]))
