@@ -95,8 +95,9 @@ def _judged(docs: DataFrame, key: str, text: str, host: str, min_words: int, rep
     counted = with_text_counts(own, "_text").drop("_text")
     counted = counted.withColumn("base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words")))
     counted = scratch.save(counted, "counted")
-    hosts = host_rates(counted, "_host", "base_failed").select("_host", F.col("rate").alias("host_rate"))
-    return counted.join(hosts, "_host", "left").withColumn("kept", ~F.col("base_failed") & (F.col("host_rate") <= host_rate)).drop("_host")
+    hosts = scratch.save(host_rates(counted, "_host", "base_failed").select("_host", F.col("rate").alias("host_rate")), "hosts")
+    small = 128 * hosts.count() <= BROADCAST_BYTES  # else dealt out by host, where adaptive execution splits a large one
+    return counted.join(F.broadcast(hosts) if small else hosts, "_host", "left").withColumn("kept", ~F.col("base_failed") & (F.col("host_rate") <= host_rate)).drop("_host")
 
 
 def drop_rejected(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
