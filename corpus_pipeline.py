@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,16 +29,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated byte strings go from the texts; a cut that splits a character takes its rest along. A document that has nothing left goes."""
-    kept = remove_repeats(docs.withColumn("_row", F.struct("doc_id", "lang", "source")).select("_row", "doc_id", "text"), carry=["_row"])
-
-    def decoded(batches):
-        for batch in batches:
-            text = pa.array([b.decode("utf-8", "ignore") for b in batch.column("kept").to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("n_removed"), text, pc.utf8_length(text).cast(pa.int64())], ["_row", "n_removed", "text", "n_chars"])
-
-    kind = kept.schema["_row"].dataType.simpleString()
-    texts = kept.select("_row", "n_removed", "kept").mapInArrow(decoded, f"_row {kind}, n_removed long, text string, n_chars long")
-    return texts.where("n_removed = 0 or length(trim(text)) > 0").select("_row.doc_id", "text", "_row.lang", "_row.source", "n_chars")
+    kept = remove_repeats(docs.withColumn("_row", F.struct("doc_id", "lang", "source")).select("_row", "doc_id", "text"), carry=["_row"], as_text=True)
+    kept = kept.where("n_removed = 0 or length(trim(kept)) > 0")
+    return kept.select("_row.doc_id", F.col("kept").alias("text"), "_row.lang", "_row.source", F.length("kept").cast("long").alias("n_chars"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

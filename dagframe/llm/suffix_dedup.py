@@ -242,7 +242,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, scratch: Scratch | Non
     return spans
 
 
-def _kept(fields: list[str]):
+def _kept(fields: list[str], as_text: bool):
     def run(batches):
         for batch in batches:
             lists, out = batch.column("_rep_spans"), []
@@ -252,22 +252,27 @@ def _kept(fields: list[str]):
                 pairs = pairs[pairs[:, 0] < pairs[:, 1]]
                 edges = np.concatenate([[0], pairs.ravel(), [len(data)]]).reshape(-1, 2)
                 kept = b"".join(data[a:b].tobytes() for a, b in edges)
-                out.append((len(data), len(data) - len(kept), len(pairs), kept, hashlib.sha256(kept).hexdigest()))
-            made = [pa.array([r[k] for r in out], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string()))]
+                digest = hashlib.sha256(kept).hexdigest()
+                out.append((len(data), len(data) - len(kept), len(pairs), kept.decode("utf-8", "ignore") if as_text else kept, digest))
+            made = [pa.array([r[k] for r in out], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string() if as_text else pa.binary(), pa.string()))]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in fields] + [made[k] for k in range(5)], [*fields, "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
 
     return run
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, carry: list[str] | None = None) -> DataFrame:
-    """The columns of carry (by default key), n_bytes, n_removed, n_spans, kept (binary, the remaining bytes) and kept_sha256, one row per input row."""
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, carry: list[str] | None = None, as_text: bool = False) -> DataFrame:
+    """The columns of carry (by default key), n_bytes, n_removed, n_spans, kept and kept_sha256, one row per input row.
+
+    kept is binary, the remaining bytes, or as text what they decode to; a cut that splits a
+    character takes its rest along.
+    """
     carry = carry or [key]
     own = docs.select(*carry, F.col(text).alias("_rep_text"), F.xxhash64(key, text).alias("_rep_doc"))
     spans = repeated_spans(own.select(F.col("_rep_doc").alias("doc"), F.col("_rep_text").alias("text")), length)
     spans = spans.select(F.col("doc").alias("_rep_doc"), F.col("spans").alias("_rep_spans"))
     joined = attach(own, spans, ["_rep_doc"], _size(spans, "_rep_spans")).select(*carry, "_rep_text", "_rep_spans")
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
-    return joined.mapInArrow(_kept(carry), f"{kinds}, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    return joined.mapInArrow(_kept(carry, as_text), f"{kinds}, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}, kept_sha256 string")
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
