@@ -24,7 +24,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dagframe.llm.common import Scratch, table
+from dagframe.llm.common import Scratch, attach, table
 
 #: (verdict, host and path); a rule fits its host and subdomains where the path starts with the rule's.
 RULES = (
@@ -100,46 +100,53 @@ def with_features(df: DataFrame) -> DataFrame:
 
 
 class UrlModel:
-    """Boosted trees and the statistics of URL parts that they were fitted with."""
+    """Boosted trees and the statistics of URL parts that they were fitted with, whose sizes in bytes were counted."""
 
-    def __init__(self, rates: dict[str, DataFrame], trees, constant: str):
-        self.rates, self.trees, self.constant = rates, trees, constant
+    def __init__(self, rates: dict[str, DataFrame], sizes: dict[str, int], trees, constant: str):
+        self.rates, self.sizes, self.trees, self.constant = rates, sizes, trees, constant
 
     def verdicts(self, df: DataFrame) -> DataFrame:
         """Add model_block (probability) and model_verdict to a table with url, host and path."""
         if self.trees is None:
             return df.withColumns({"model_block": F.lit(1.0 if self.constant == "block" else 0.0), "model_verdict": F.lit(self.constant)})
-        scored = self.trees.transform(_assembled(df, self.rates))
+        scored = self.trees.transform(_assembled(df, self.rates, self.sizes))
         block = vector_to_array("probability")[1]
         return scored.withColumns({"model_block": block, "model_verdict": F.when(block > 0.5, "block").otherwise("allow")}).select(*df.columns, "model_block", "model_verdict")
 
 
-def _assembled(df: DataFrame, rates: dict[str, DataFrame]) -> DataFrame:
+def _assembled(df: DataFrame, rates: dict[str, DataFrame], sizes: dict[str, int]) -> DataFrame:
     out = with_features(df)
-    for part in COUNTED:  # the statistics have no more rows than the sample they come from, so they may be broadcast
-        out = out.join(F.broadcast(rates[part]), part, "left")
+    for part in COUNTED:
+        out = attach(out, rates[part], [part], sizes[part])
     out = out.fillna(0.0, [f"f_{part}_rate" for part in COUNTED])
     return VectorAssembler(inputCols=list(FEATURES), outputCol="features", handleInvalid="keep").transform(out)
 
 
-def _rates(sample: DataFrame, by: str, name: str) -> DataFrame:
+def _rates(labelled: DataFrame, by: str, name: str) -> DataFrame:
     n, blocked = F.count(F.lit(1)), F.sum("label")
-    return sample.groupBy(by).agg((blocked / (n + PRIOR)).alias(f"f_{name}_rate"))
+    return labelled.groupBy(by).agg((blocked / (n + PRIOR)).alias(f"f_{name}_rate"))
+
+
+def _bytes(rates: DataFrame, part: str) -> int:
+    return rates.agg(F.coalesce(F.sum(F.octet_length(part) + 64), F.lit(0))).first()[0]
 
 
 def fit_url_model(labelled: DataFrame, scratch: Scratch, sample: int = SAMPLE, trees: int = TREES, depth: int = DEPTH, seed: int = SEED) -> UrlModel:
-    """labelled has url, host, path and label (1.0: block); about ``sample`` distinct URLs of it are used, chosen by hash."""
-    n = labelled.count()
-    share = max(1, min(1_000_000, 1_000_000 * sample // max(n, 1)))
-    chosen = labelled.where(F.pmod(F.xxhash64("url"), F.lit(1_000_000)) < share).dropDuplicates(["url"])
-    chosen = scratch.save(with_features(chosen).coalesce(4), "sample")
+    """labelled has url, host, path and label (1.0: block). The statistics cover all its distinct URLs; the trees are fitted to about ``sample`` of them, chosen by hash."""
+    whole = scratch.save(with_features(labelled.dropDuplicates(["url"])).select("url", "host", "path", "label", *COUNTED), "labelled")
+    share = max(1, min(1_000_000, 1_000_000 * sample // max(whole.count(), 1)))
+    chosen = whole.where(F.pmod(F.xxhash64("url"), F.lit(1_000_000)) < share).select("url", "host", "path", "label")
+    chosen = scratch.save(chosen.coalesce(4), "sample")
     classes = {r.label: r.n for r in chosen.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(classes) < 2:
-        return UrlModel({}, None, "block" if 1.0 in classes else "allow")
-    rates = {part: scratch.save(_rates(chosen, part, part), part) for part in COUNTED}
-    features = _assembled(chosen.select("url", "host", "path", "label"), rates).select("features", "label")
+        return UrlModel({}, {}, None, "block" if 1.0 in classes else "allow")
+    rates = {part: scratch.save(_rates(whole, part, part), part) for part in COUNTED}
+    sizes = {part: _bytes(rates[part], part) for part in COUNTED}
+    scratch.only(*COUNTED, "sample")
+    features = scratch.save(_assembled(chosen, rates, sizes).select("features", "label").coalesce(4), "features")
     model = GBTClassifier(maxIter=trees, maxDepth=depth, seed=seed, featuresCol="features", labelCol="label").fit(features)
-    return UrlModel(rates, model, "allow")
+    scratch.only(*COUNTED)
+    return UrlModel(rates, sizes, model, "allow")
 
 
 def filter_urls(pages: DataFrame, key: str = "page_id", url: str = "url", rules: Sequence[tuple[str, str]] = RULES, sample: int = SAMPLE) -> DataFrame:

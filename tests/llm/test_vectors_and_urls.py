@@ -98,3 +98,25 @@ def test_trees_predict_held_out_labels(spark):
     judged = model.verdicts(labelled.where(~first))
     right, most = judged.agg(F.avg((F.col("model_verdict") == F.when(F.col("label") > 0, "block").otherwise("allow")).cast("int")), F.greatest(F.avg("label"), 1 - F.avg("label"))).first()
     assert right > most + 0.05
+
+
+def test_statistics_cover_labelled_urls_outside_the_sample(spark):
+    """Every part's share is counted over all distinct labelled URLs, and joins that shuffle give the same verdicts."""
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    from dagframe.llm.common import BROADCAST_BYTES, Scratch
+
+    rows = [(f"http://h{i % 7}.site{i % 150}.org/d{i % 40}/{i}", float(i % 150 % 2)) for i in range(1500)]
+    df = spark.createDataFrame(rows + rows[:200], "url string, label double")
+    host, path = url_filter.host_and_path(F.col("url"))
+    labelled = df.withColumns({"host": host, "path": path})
+    model = url_filter.fit_url_model(labelled, Scratch(spark, "test"), sample=100)
+    for part, of in {"domain": lambda u: u.split("/")[2].split(".", 1)[1], "segment": lambda u: u.split("/")[3]}.items():
+        n, blocked = Counter(of(u) for u, _ in rows), Counter(of(u) for u, x in rows if x)
+        assert {r[0]: r[1] for r in model.rates[part].collect()} == {p: blocked[p] / (k + url_filter.PRIOR) for p, k in n.items()}
+    ask = labelled.select("url", "host", "path")
+    one = Counter(model.verdicts(ask).collect())
+    model.sizes = dict.fromkeys(model.sizes, BROADCAST_BYTES + 1)
+    assert Counter(model.verdicts(ask).collect()) == one and one.total() == len(rows) + 200
