@@ -3,9 +3,11 @@
 Base kinds are patterns: ``assign``, ``access`` and ``hex``. The kind ``random`` is the
 token-efficiency test: in runs of letters, digits and ``+/_=-`` of at least MIN_RANDOM
 characters that mix letters and digits, text or code averages well over MAX_RATIO characters a
-token under a byte-pair vocabulary, and random strings don't. Known digests (32, 40, 56, 64, 96
+token under a byte-pair vocabulary, and random strings don't. Where a whole run averages more, names
+may dilute a random string in it, so what stands between its words and separators is tested too, as are
+the parts of a run beside base spans. Known digests (32, 40, 56, 64, 96
 or 128 hexadecimal digits), UUIDs, runs without a letter or without a digit and dotted or dashed
-identifiers made of plain words and numbers are left out before, as is what overlaps a base span.
+identifiers made of plain words and numbers are left out before, as is what overlaps a base span itself.
 
 Defined results: a null text is empty and has no spans; rows that repeat come back as often;
 ties in start are ordered by kind as listed; an empty table gives an empty table; only the key
@@ -39,6 +41,11 @@ DIGEST = re.compile(r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-f
 UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 #: Words and numbers joined by separators, as in paths and names.
 IDENTIFIER = re.compile(r"(?:[A-Za-z]?[a-z]+|[A-Z]+|\d+)(?:[+/_=-]+(?:[A-Za-z]?[a-z]+|[A-Z]+|\d+))*[+/_=-]*")
+PIECE = re.compile(r"[A-Za-z0-9]+")
+#: A piece that is a word, a camel-case name or a number.
+WORD = re.compile(r"[A-Z]?[a-z]+(?:[A-Z][a-z]{2,})*|[A-Z]+|\d+")
+#: Words this long cut a run; shorter ones are also found inside base64 strings.
+LEAST_WORD = 4
 
 #: For whole batches, in linear time: which texts can hold a span of a kind at all.
 MAY_HOLD = {
@@ -74,6 +81,33 @@ def looks_random(run: str, vocabulary: str) -> bool:
     return len(run) < MAX_RATIO * len(_vocabulary(vocabulary).encode_ordinary(run))
 
 
+def random_parts(text: str, start: int, end: int, vocabulary: str) -> list[tuple[int, int]]:
+    """The random strings of text[start:end], a run or what base spans leave of one: all of it, or stretches between its words, or pieces of these."""
+    if end - start < MIN_RANDOM:
+        return []
+    if looks_random(text[start:end], vocabulary):
+        return [(start, end)]
+    stretches: list[list[tuple[int, int]]] = [[]]
+    for m in PIECE.finditer(text, start, end):
+        word = WORD.fullmatch(m[0])
+        if word and len(m[0]) >= LEAST_WORD:
+            stretches.append([])
+        elif not word or stretches[-1]:
+            stretches[-1].append((m.start(), m.end()))
+    found = []
+    for pieces in stretches:
+        while pieces and WORD.fullmatch(text, *pieces[-1]):
+            pieces.pop()
+        whole = text[pieces[0][0] : pieces[-1][1]] if pieces else ""
+        # numbers and codes joined by separators have few characters a token too, but rarely letters of both cases
+        mixed = any(c.islower() for c in whole) and sum(c.isupper() for c in whole) > 2
+        if len(pieces) > 1 and mixed and len(whole) >= MIN_RANDOM and looks_random(whole, vocabulary):
+            found.append((pieces[0][0], pieces[-1][1]))
+        else:
+            found += [(a, b) for a, b in pieces if b - a >= MIN_RANDOM and looks_random(text[a:b], vocabulary)]
+    return found
+
+
 def spans(text: str, kinds: tuple[str, ...], vocabulary: str) -> list[tuple[int, int, int]]:
     """(start, index of kind, end) in code points, in order; kinds are those that the text may hold."""
     found = []
@@ -84,8 +118,17 @@ def spans(text: str, kinds: tuple[str, ...], vocabulary: str) -> list[tuple[int,
     if "hex" in kinds:
         found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     if "random" in kinds:
-        base = list(found)
-        found += [(m.start(), 3, m.end()) for m in RUN.finditer(text) if all(m.end() <= a or m.start() >= b for a, _, b in base) and looks_random(m[0], vocabulary)]
+        base, first = sorted((a, b) for a, _, b in found), 0
+        for m in RUN.finditer(text):
+            at = m.start()
+            while first < len(base) and base[first][1] <= at:
+                first += 1
+            for a, b in base[first:]:
+                if a >= m.end():
+                    break
+                found += [(x, 3, y) for x, y in random_parts(text, at, a, vocabulary)]
+                at = max(at, b)
+            found += [(x, 3, y) for x, y in random_parts(text, at, m.end(), vocabulary)]
     return sorted(found)
 
 
