@@ -5,14 +5,14 @@ is served in turn; its quantum is its share of the window, and what rounding lea
 or ahead is its deficit, carried to the next window. With integer weights w the tokens that
 queues 1..q have got after u windows are ``floor(u * window tokens * (w1 + .. + wq) / sum w)``,
 so a queue is never a whole token off its target (sources whose share is under one token a
-window go together in one queue, as rounding could else take a token back), and the deficit that any partition starts from
+window, and no others, go together in one queue, as rounding could else take a token back), and the deficit that any partition starts from
 follows from counts alone: no state runs through the partitions. When a queue runs dry the round
 robin goes on among the others. Documents are cut where a quantum or a sequence ends; only the
 last sequence may be short.
 
 Defined results: a null text is empty and packs as its end token; a null source is a queue of its
-own; beyond MAX_QUEUES sources, sources share queues by hash; rows that repeat are packed as
-often; a null key stays null; an empty table gives an empty table; only the key, text and source
+own; with weights, sources that have none follow those that do, by what they hold; rows that
+repeat are packed as often; a null key stays null; an empty table gives an empty table; only the key, text and source
 columns are read, so other columns cannot clash.
 """
 
@@ -22,6 +22,7 @@ import base64
 import json
 import zlib
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Mapping
 from functools import cache
 
@@ -31,14 +32,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from dagframe.llm.common import BROADCAST_BYTES, Scratch, table
+from dagframe.llm.common import Scratch, attach, table
 
 LENGTH = 1024
 #: Sequences of a window.
 WINDOW = 64
-#: The schedule that goes to the tasks has at most this number of queues.
-MAX_QUEUES = 512
 END = 0
+#: The queue of the sources of less than a token a window; those of others are ``none`` or begin with ``s:``.
+SMALL = "small"
 
 
 @cache
@@ -65,16 +66,17 @@ def _encoder(json_path: str, ranks_path: str | None):
 
 
 class Schedule:
-    """How many tokens each queue has given after any number of windows."""
+    """How many tokens each queue has given after any number of windows; spare are the weights once no queue with a weight is left, by default equal."""
 
-    def __init__(self, totals: list[int], weights: list[int], tokens: int):
+    def __init__(self, totals: list[int], weights: list[int], tokens: int, spare: list[int] | None = None):
+        spare = spare or [1] * len(totals)
         self.tokens, self.starts, self.phases = tokens, [], []
         done, t = [0] * len(totals), 0
         while (left := sum(totals) - sum(done)) > 0:
             rest = [n - d for n, d in zip(totals, done, strict=True)]
             weight = [w if r else 0 for w, r in zip(weights, rest, strict=True)]
             if not any(weight):
-                weight = [int(r > 0) for r in rest]
+                weight = [w if r else 0 for w, r in zip(spare, rest, strict=True)]
             whole = sum(weight)
             if any(w and tokens * w < whole for w in weight):
                 raise ValueError("a queue's share is one token a window at least")  # else rounding could take a token back
@@ -90,7 +92,7 @@ class Schedule:
             while room:
                 live = [w if r > g else 0 for w, r, g in zip(weights, rest, given, strict=True)]
                 if not any(live):
-                    live = [int(r > g) for r, g in zip(rest, given, strict=True)]
+                    live = [w if r > g else 0 for w, r, g in zip(spare, rest, given, strict=True)]
                 acc, total, more = 0, sum(live), []
                 for w in live:
                     more.append(room * (acc + w) // total - room * acc // total)
@@ -208,24 +210,37 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     scratch = Scratch(docs.sparkSession, "packing")
     kind = docs.schema[key].dataType.simpleString()
     named = F.coalesce(F.concat(F.lit("s:"), F.col(source)), F.lit("none"))
-    if docs.select(source).distinct().count() >= MAX_QUEUES:
-        named = F.pmod(F.xxhash64(named), F.lit(MAX_QUEUES)).cast("string")
     own = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), named.alias("queue"))
     tokens = scratch.save(own.mapInArrow(_tokenized(json_path, ranks_path), f"id {kind}, queue string, part int, start long, n long, ids binary"), "tokens")
 
     sums = scratch.save(tokens.groupBy("part", "queue").agg(F.sum("n").alias("sum")), "sums")
-    totals = {r.queue: r.n for r in sums.groupBy("queue").agg(F.sum("sum").alias("n")).collect()}  # MAX_QUEUES at most
-    lane = {q: q for q in totals} if weights else lanes(totals, length * window)
+    per_queue = scratch.save(sums.groupBy("queue").agg(F.sum("sum").alias("n")), "totals")
+    window_tokens = length * window
+    share = {f"s:{name}": w for name, w in weights.items() if w > 0} if weights else {}
+    given = F.col("queue").isin(list(share)) if share else F.lit(False)
+    totals = {r.queue: r.n for r in per_queue.where(given).collect()}  # no more than weights
+    share = {q: w for q, w in share.items() if q in totals}
+    rest = per_queue.where(~given).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    large = {r.queue: r.n for r in per_queue.where(~given & (F.col("n") >= -(-rest // window_tokens))).collect()}  # no more than a window's tokens
+    if left := rest - sum(large.values()):
+        large[SMALL] = left
+    totals |= large
+    lane = lanes(share, window_tokens) | lanes(large, window_tokens)
     streams = sorted(set(lane.values()))
-    share = {f"s:{name}": w for name, w in weights.items()} if weights else {}
-    sizes = [sum(n for q, n in totals.items() if lane[q] == x) for x in streams]
-    schedule = Schedule(sizes, [share.get(x, 0) for x in streams] if weights else sizes, length * window)
-    shared = [q for q in lane if lane[q] != q]
-    of = F.when(F.col("queue").isin(shared), F.lit(lane[shared[0]])).otherwise(F.col("queue")) if shared else F.col("queue")
-    behind = Window.partitionBy("lane").orderBy("part", "queue").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sums.withColumn("lane", of).select("part", "queue", "lane", F.coalesce(F.sum("sum").over(behind), F.lit(0)).alias("base"))
-    small = 128 * sums.count() <= BROADCAST_BYTES
-    placed = tokens.join(F.broadcast(bases) if small else bases, ["part", "queue"]).select("id", "queue", "lane", (F.col("base") + F.col("start")).alias("x"), "n", "ids")
+    sizes, shares = Counter(), Counter()
+    for q, x in lane.items():
+        sizes[x] += totals[q]
+        shares[x] += share.get(q, 0)
+    schedule = Schedule([sizes[x] for x in streams], [shares[x] for x in streams], window_tokens, [sizes[x] for x in streams])
+    own_lanes = docs.sparkSession.createDataFrame([(q, x) for q, x in lane.items() if q != SMALL], "queue string, lane string")
+    laned = attach(sums, own_lanes, ["queue"], sum(64 + 8 * len(q + x) for q, x in lane.items())).withColumn("lane", F.coalesce("lane", F.lit(lane.get(SMALL))))
+    laned = scratch.save(laned.select("part", "queue", "lane", "sum"), "laned")
+    # parts before this one, then queues before this one in the part: no window holds all rows of a lane of many sources
+    before = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    parts = laned.groupBy("part", "lane").agg(F.sum("sum").alias("held")).select("part", "lane", F.coalesce(F.sum("held").over(before("lane").orderBy("part")), F.lit(0)).alias("ahead"))
+    inside = laned.select("part", "queue", "lane", F.coalesce(F.sum("sum").over(before("part", "lane").orderBy("queue")), F.lit(0)).alias("inner"))
+    bases = inside.join(parts, ["part", "lane"]).select("part", "queue", "lane", (F.col("ahead") + F.col("inner")).alias("base"))
+    placed = attach(tokens, bases, ["part", "queue"], 128 * laned.count(), "inner").select("id", "queue", "lane", (F.col("base") + F.col("start")).alias("x"), "n", "ids")
     order = {x: k for k, x in enumerate(streams)}
     pieces = placed.mapInArrow(_cut(schedule, order, length, with_ids), f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, queue string" + ", ids array<int>" * with_ids)
     return pieces.withColumnRenamed("id", key)

@@ -163,6 +163,28 @@ def test_windows_follow_the_target(small):
             assert abs(sum(share[u, q] for u in range(t + 1)) - (t + 1) * 16 * 1024 * n / whole) < 1
 
 
+def test_more_sources_than_a_few_hundred_keep_their_shares(spark):
+    rows = [(i, "word " * (30 + i % 20), f"host{i}") for i in range(600)] + [(1000 + i, "", f"tiny{i}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = _packed(docs, length=64, window=32)
+    totals, share = Counter(), Counter()
+    for r in got:
+        totals[r.queue] += r.length
+        share[r.sequence_id // 32, r.queue] += r.length
+    whole, done = sum(totals.values()), Counter()
+    assert len(totals) == 640 and whole // 2048 >= 10
+    for t in range(whole // 2048):
+        for q, n in totals.items():
+            done[q] += share[t, q]
+            if q.startswith("s:host"):
+                assert abs(done[q] - (t + 1) * 2048 * n / whole) < 1
+    weights = {"host1": 3, "host2": 1}
+    last = Counter()
+    for r in _packed(docs, length=64, window=32, weights=weights):
+        last[r.queue] = max(last[r.queue], r.sequence_id // 32)
+    assert last["s:host1"] == last["s:host2"] == 0 and max(last.values()) >= 10
+
+
 def test_schedule_with_queues_that_run_dry():
     with pytest.raises(ValueError):
         packing.Schedule([5000, 10], [1000, 1], 256)
