@@ -1,7 +1,8 @@
 """Licence recognition by sentence rules, with DataFrame functions alone.
 
-A text is cut into sentences; each is normalised and looked up among known licence sentences,
-which have identifiers. The identifiers of a text, in order, are then matched against licence
+A text is cut into pieces at line ends and sentence marks; these and joins of neighbouring ones, as
+wrapped lines and marks inside a sentence need them, are normalised and looked up among known
+licence sentences, which have identifiers. The longest known join counts and uses its pieces up. The identifiers of a text, in order, are then matched against licence
 rules (identifier sequences), longest first in the order listed; what a rule has matched is used
 up, so a long licence is not also reported as the short ones it contains. An identifier that no
 rule uses is reported as ``partial``.
@@ -75,6 +76,10 @@ MARKERS = ("licen", "permission", "redistribution", "copyright", "warranty", "en
 #: Sentences end at line ends and at .;:!? before white space.
 SENTENCE_END = r"\n+|(?<=[.;:!?])[\x20\t\r]+"
 
+#: No known sentence is longer, in characters or, with a word in each, in pieces.
+LONGEST = max(len(s) for ss in SENTENCES.values() for s in ss)
+MOST_PIECES = max(len(s.split()) for ss in SENTENCES.values() for s in ss)
+
 
 def normalised(sentence: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
@@ -84,7 +89,29 @@ def sentence_ids(text: Column) -> Column:
     """Identifiers of the known sentences of a text, in order."""
     known = F.create_map(*[F.lit(x) for i, ss in SENTENCES.items() for s in ss for x in (s, i)])
     body = F.coalesce(text, F.lit(""))
-    ids = F.filter(F.transform(F.split(body, SENTENCE_END), lambda s: F.try_element_at(known, normalised(s))), lambda i: i.isNotNull())
+    pieces = F.filter(F.transform(F.split(body, SENTENCE_END), normalised), lambda s: s != "")
+    begins = F.transform(pieces, lambda s, i: F.struct(s.alias("s"), F.slice(pieces, i + 1, F.lit(MOST_PIECES)).alias("ahead")))
+
+    def longest(ahead: Column) -> Column:
+        start = F.struct(F.lit("").alias("joined"), F.lit(0).alias("n"), F.lit(None).cast("string").alias("id"), F.lit(0).alias("used"))
+
+        def add(acc: Column, piece: Column) -> Column:
+            joined, n = F.ltrim(F.concat(acc["joined"], F.lit(" "), piece)), acc["n"] + 1
+            short = F.when(F.length(acc["joined"]) <= LONGEST, joined).otherwise(acc["joined"])
+            id = F.when(F.length(acc["joined"]) <= LONGEST, F.try_element_at(known, joined))
+            return F.struct(short.alias("joined"), n.alias("n"), F.coalesce(id, acc["id"]).alias("id"), F.when(id.isNotNull(), n).otherwise(acc["used"]).alias("used"))
+
+        return F.aggregate(ahead, start, add, lambda acc: F.struct(acc["id"].alias("id"), acc["used"].alias("used")))
+
+    first = F.lit("^(?:" + "|".join(sorted({s.split()[0] for ss in SENTENCES.values() for s in ss})) + ")(?: |$)")
+    hits = F.transform(begins, lambda x: F.when(F.regexp_like(x["s"], first), longest(x["ahead"])).otherwise(F.struct(F.lit(None).cast("string").alias("id"), F.lit(0).alias("used"))))
+    start = F.struct(F.array().cast("array<string>").alias("ids"), F.lit(0).alias("skip"))
+
+    def take(acc: Column, x: Column) -> Column:
+        new = (acc["skip"] == 0) & x["id"].isNotNull()
+        return F.struct(F.when(new, F.array_append(acc["ids"], x["id"])).otherwise(acc["ids"]).alias("ids"), F.when(new, x["used"] - 1).otherwise(F.greatest(acc["skip"] - 1, F.lit(0))).alias("skip"))
+
+    ids = F.aggregate(hits, start, take, lambda acc: acc["ids"])
     return F.when(F.lower(body).rlike("|".join(MARKERS)), ids).otherwise(F.array().cast("array<string>"))
 
 

@@ -268,6 +268,19 @@ def test_licences(spark, edges, nothing):
         assert any(m in known for m in licenses.MARKERS)
 
 
+def test_licences_as_they_stand_in_files(spark):
+    import textwrap
+
+    full = {k: v[0] for k, v in licenses.SENTENCES.items()}
+    wrap = lambda *ids: "\n\n".join("\n".join(" * " + x for x in textwrap.wrap(full[i].capitalize() + ".", 72)) for i in ids)
+    apache = 'Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n'
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed"
+    texts = ["MIT License\nCopyright (c) A\n\n" + wrap("grant-mit", "notice-mit"), wrap("grant-bsd", "bsd-source", "bsd-binary", "bsd-name"), wrap("grant-isc"), wrap("gpl-later", "gpl-hope", "gpl-see"), apache, mpl, "// SPDX-License-Identifier: MIT\nint x;", "# SPDX-License-Identifier: GPL-2.0-only\n", "permission to\nlicense a poem"]
+    got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[k].licenses for k in range(len(texts))] == [["MIT"], ["BSD-3-Clause"], ["ISC"], ["GPL-3.0-or-later"], ["Apache-2.0"], ["MPL-2.0"], ["MIT"], ["GPL-2.0-only"], []]
+    assert got[4].sentence_ids == ["apache-ref", "apache-except", "apache-copy"]
+
+
 def test_language_model_base(edges, singles, small, nothing):
     for df in (small, singles):
         want = lm_base(pairs(df))
