@@ -43,24 +43,29 @@ SMALL = "small"
 
 
 @cache
-def _encoder(json_path: str, ranks_path: str | None):
-    """A function from texts to id lists: the ids of the tokenizers file; texts without its special tokens may take the same vocabulary's faster form."""
+def _encoder(json_path: str | None, ranks_path: str | None):
+    """A function from texts to id lists: the ids of the tokenizers file, by the same vocabulary's faster form if that is given. Without paths the public vocabulary of 50,257, found where the task runs."""
+    import public_tokenizers
     from tokenizers import Tokenizer
 
+    if json_path is None:
+        json_path, ranks_path = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
     if ranks_path is None:
         whole = Tokenizer.from_file(json_path)
         return lambda texts: [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)], whole.get_vocab_size()
-    import public_tokenizers
     import tiktoken
 
     with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     with open(json_path, encoding="utf-8") as f:
-        special = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
-    fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        added = json.load(f)["added_tokens"]
+    if any(t[flag] for t in added for flag in ("single_word", "lstrip", "rstrip", "normalized")):
+        return _encoder(json_path, None)  # such tokens take what is around them along
+    special = {t["content"]: t["id"] for t in added}
+    fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
     def encode(texts: list[str]) -> list[list[int]]:
-        return [Tokenizer.from_file(json_path).encode(t, add_special_tokens=False).ids if any(s in t for s in special) else fast.encode_ordinary(t) for t in texts]
+        return [fast.encode(t, allowed_special="all") if any(s in t for s in special) else fast.encode_ordinary(t) for t in texts]
 
     return encode, max(len(ranks), *(i + 1 for i in special.values()))
 
@@ -203,10 +208,6 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
 
     weights maps sources to integer shares of the tokens; by default a source's share is what it has.
     """
-    import public_tokenizers
-
-    if json_path is None:
-        json_path, ranks_path = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
     scratch = Scratch(docs.sparkSession, "packing")
     kind = docs.schema[key].dataType.simpleString()
     named = F.coalesce(F.concat(F.lit("s:"), F.col(source)), F.lit("none"))

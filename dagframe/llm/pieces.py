@@ -175,8 +175,9 @@ def _normal(model: PieceModel, tokenizer: Tokenizer, text: str) -> str:
 ROWS = 256
 
 
-def _encoded(path: str):
+def _encoded(given: str | None):
     def run(batches):
+        path = given or default_model()
         model, tokenizer = load(path)
         is_byte = np.array([t == BYTE for _, _, t in model.pieces])
         for batch in batches:
@@ -196,16 +197,16 @@ def encode_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", p
     kind = docs.schema[key].dataType.simpleString()
     small_batches(docs.sparkSession)
     own = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    return own.mapInArrow(_encoded(path or default_model()), f"id {kind}, ids array<int>, n_byte_tokens long, round_trip boolean").withColumnRenamed("id", key)
+    return own.mapInArrow(_encoded(path), f"id {kind}, ids array<int>, n_byte_tokens long, round_trip boolean").withColumnRenamed("id", key)
 
 
 def decode_documents(encoded: DataFrame, key: str = "doc_id", ids: str = "ids", path: str | None = None) -> DataFrame:
     """key and text of a table of ids; null ids decode to an empty text."""
-    kind, path = encoded.schema[key].dataType.simpleString(), path or default_model()
+    kind = encoded.schema[key].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
-            texts = decode(path, [x or [] for x in batch.column("ids").to_pylist()])
+            texts = decode(path or default_model(), [x or [] for x in batch.column("ids").to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(texts, pa.string())], ["id", "text"])
 
     small_batches(encoded.sparkSession)

@@ -123,11 +123,10 @@ def spans(text: str, kinds: tuple[str, ...], vocabulary: str) -> list[tuple[int,
             at = m.start()
             while first < len(base) and base[first][1] <= at:
                 first += 1
-            for a, b in base[first:]:
-                if a >= m.end():
-                    break
-                found += [(x, 3, y) for x, y in random_parts(text, at, a, vocabulary)]
-                at = max(at, b)
+            k = first
+            while k < len(base) and base[k][0] < m.end():
+                found += [(x, 3, y) for x, y in random_parts(text, at, base[k][0], vocabulary)]
+                at, k = max(at, base[k][1]), k + 1
             found += [(x, 3, y) for x, y in random_parts(text, at, m.end(), vocabulary)]
     return sorted(found)
 
@@ -145,10 +144,10 @@ def _batch_spans(texts: pa.Array, vocabulary: str) -> list[list[tuple[int, int,
     return out
 
 
-def _scan(vocabulary: str):
+def _scan(vocabulary: str | None):
     def run(batches):
         for batch in batches:
-            found = _batch_spans(pc.fill_null(batch.column("text"), ""), vocabulary)
+            found = _batch_spans(pc.fill_null(batch.column("text"), ""), vocabulary or default_vocabulary())
             base = [[s for s in f if s[1] < 3] for f in found]
             count = lambda k: pa.array([sum(s[1] == k for s in f) for f in base], pa.int64())
             digest = pa.array([hashlib.sha256(joined(f).encode()).hexdigest() for f in base])
@@ -162,18 +161,17 @@ def secret_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", vocab
     kind = docs.schema[key].dataType.simpleString()
     small_batches(docs.sparkSession)
     own = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    return own.mapInArrow(_scan(vocabulary or default_vocabulary()), f"id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string").withColumnRenamed("id", key)
+    return own.mapInArrow(_scan(vocabulary), f"id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string").withColumnRenamed("id", key)
 
 
 def redact(docs: DataFrame, text: str = "text", mask: str = "[SECRET]", vocabulary: str | None = None) -> DataFrame:
     """The input with every secret span of the text replaced by mask; all columns and rows stay."""
-    vocabulary = vocabulary or default_vocabulary()
     at = docs.columns.index(text)
 
     def run(batches):
         for batch in batches:
             texts = batch.column(at)
-            found = _batch_spans(pc.fill_null(texts, ""), vocabulary)
+            found = _batch_spans(pc.fill_null(texts, ""), vocabulary or default_vocabulary())
             if any(found):
                 new = texts.to_pylist()
                 for i, f in enumerate(found):

@@ -117,6 +117,44 @@ def test_packing_of_special_texts_and_repeats(spark, nothing):
     assert packing.pack(nothing).count() == 0
 
 
+def test_fast_ids_are_those_of_the_tokenizers_file():
+    import public_tokenizers
+
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
+    fast, slow = packing._encoder(*paths)[0], packing._encoder(paths[0], None)[0]
+    rng = random.Random(5)
+    classes = ["abzAZ", "  \t\n\r\x0b\x1f\x85\u00a0\u2003\u3000", "0189²½٣", "'sstrevellmd", "éßñ日本語कि", "\u0301\u200d\u200b\ufeff", "🎉👩‍💻", "#*$%&|<>_-=+/", "\U0010ffff\ud7ff\ue000\x00"]
+    texts = ["".join(rng.choice(rng.choice(classes)) for _ in range(rng.randint(0, 40))) for _ in range(20000)]
+    texts += [a + "<|endoftext|>" + b for a, b in zip(texts[:3000], texts[3000:6000])] + ["<|endoftext|>" * 3, "<|endoftext|<|endoftext|>>"]
+    assert fast(texts) == slow(texts)
+
+
+def test_special_tokens_in_texts_cost_little():
+    import time
+
+    encode = packing._encoder(None, None)[0]
+    plain = ["the quick brown fox jumps over the lazy dog " * 6] * 10000
+    took = []
+    for texts in (plain, [t + "<|endoftext|>" for t in plain]):
+        began = time.perf_counter()
+        encode(texts)
+        took.append(time.perf_counter() - began)
+    assert took[1] <= 2 * took[0] + 0.5
+
+
+def test_a_text_full_of_secrets_takes_linear_time():
+    import time
+
+    rng = random.Random(6)
+    text = " ".join("password=hunter2x " + "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(28)) for _ in range(22000))
+    took = []
+    for part in (text[: len(text) // 4], text):
+        began = time.perf_counter()
+        secrets.spans(part, secrets.KINDS, secrets.default_vocabulary())
+        took.append(time.perf_counter() - began)
+    assert took[1] <= 8 * took[0] + 0.5
+
+
 def test_sources_of_less_than_a_token_a_window(spark):
     rows = [(i, "word " * 400, "large") for i in range(60)] + [(100 + i, "", f"tiny{i}") for i in range(3)] + [(200, "a few words", "few")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
