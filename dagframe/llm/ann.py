@@ -1,43 +1,60 @@
 """Approximate nearest neighbours by shifted space-filling curves.
 
-Each of ``curves`` orderings projects the vectors on a few random orthogonal directions, shifts
-the grid by a random offset and sorts by the Hilbert key. Spark range-partitions every ordering
-and numbers its rows; blocks of neighbouring ranks are a task's unit. A query looks at its own
-block and at the blocks beside it in every ordering, distances are taken on the original vectors
-in double precision, and the tables of nearest rows merge.
+Each of ``curves`` orderings projects the vectors on a few random directions within the leading
+principal directions of a bounded sample, shifts the grid by a random offset and sorts by the
+Hilbert key. The key ranges of an ordering's blocks are fitted on the sample as well, as a range
+partitioner's are; every row is indexed. A query looks at its own block and the two beside it in
+every ordering.
+
+Vectors are stored once. What travels to the blocks are ids and codes of four bits a component;
+a block ranks its rows for each query by the codes, the windows of all orderings merge to
+distinct candidates, and the ``RERANK * k`` best of these are reranked by the distance of the
+original vectors in double precision.
 
 The window is a share of the table, because vectors without low-dimensional structure need one:
 on nearly uniform directions in 64 dimensions, where the tenth neighbour is at three quarters of
 the median distance, about half of the table has to be seen for a recall of 0.95. Structured
-vectors do with far less; then lower ``share`` or ``curves``.
+vectors do with far less; then give ``window``, a number of rows that doesn't grow. A block of
+many rows is split by a hash of the id, and many queries of a block by one of theirs.
 
 Copies of a vector form a class with one row in the orderings that names its ``k + 1`` least ids,
 so that a vector which holds a third of all rows costs one row, and its ties still go to the
 least ids.
 
 Defined results: vectors that are null, empty, zero, hold null or non-finite components, or have
-a null id take no part, nor do those whose length is not the most common one; rows that repeat
+a null id take no part; a vector's candidates are those of its own length; rows that repeat
 an id and a vector are one; ties go to the smaller id; an empty table gives an empty table; only
-the id and vector columns are read, so other columns cannot clash.
+the id and vector columns are read, so other columns cannot clash. Texts aren't read.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from dagframe.llm.common import BROADCAST_BYTES, Scratch, table
+from dagframe.llm.common import Scratch, attach, table
 
 NEIGHBOURS = 10
-CURVES = 32
-#: A block holds this share of the rows, LEAST rows at least and MOST at most; a query's window reaches one share to each side of its block.
-SHARE, LEAST, MOST = 1 / 85, 64, 4096
+CURVES = 48
+#: A block holds this share of the rows, LEAST rows at least; a query's window is its block and those beside it.
+SHARE, LEAST = 1 / 195, 48
+#: Rows and queries of a task's unit, about.
+MOST_ROWS, MOST_QUERIES = 65536, 8192
+#: Units of fewer rows are handed to a task's Python together, up to about so many.
+UNITE_ROWS = 16384
 DIMS, GRID_BITS = 8, 6
-#: Vectors that the spread of each direction is measured on, about.
+#: Share of the variance that the leading directions hold.
+VARIANCE = 0.95
+#: Vectors that directions, grids, codes and blocks are fitted on, about.
 SAMPLE = 10_000
+#: Of each unit a query gets this many rows more than k, and of all units RERANK * k candidates.
+SPARE, RERANK = 6, 4
 SEED = 20
+EMPTY = "query_id long, rank int, vec_id long, score double"
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -64,24 +81,6 @@ def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
     return key
 
 
-class Curves:
-    """Projections and shifts of the orderings, scaled to the spread of a sample."""
-
-    def __init__(self, sample: np.ndarray, curves: int, seed: int):
-        rng = np.random.default_rng(seed)
-        dim = sample.shape[1]
-        dims = min(DIMS, dim)
-        self.axes = [np.linalg.qr(rng.normal(size=(dim, dims)))[0] for _ in range(curves)]
-        self.shift = rng.uniform(0, 0.5, (curves, dims))
-        spread = [sample @ a for a in self.axes]
-        self.low = [s.mean(0) - 3 * s.std(0) for s in spread]
-        self.width = [np.where(s.std(0) > 0, 6 * s.std(0), 1.0) for s in spread]
-
-    def keys(self, vectors: np.ndarray, curve: int) -> np.ndarray:
-        place = np.clip((vectors @ self.axes[curve] - self.low[curve]) / self.width[curve], 0, 1) * 0.5 + self.shift[curve]
-        return hilbert_keys((place * (1 << GRID_BITS)).clip(0, (1 << GRID_BITS) - 1), GRID_BITS)
-
-
 def _vectors(column: pa.Array, dim: int, kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, dim).astype(np.float64)
 
@@ -117,59 +116,147 @@ def _few_ids(k: int):
     return run
 
 
-def _keyed(curves: Curves, dim: int, kind: str):
+class Index:
+    """What is fitted on the sample: projections and shifts of the orderings, the key ranges of their blocks, how often a block is split, and the codes' levels."""
+
+    def __init__(self, sample: np.ndarray, n: int, curves: int, blocks: int, seed: int):
+        rng = np.random.default_rng(seed)
+        values, vectors = np.linalg.eigh(np.cov(sample.T).reshape(sample.shape[1], -1))
+        order = np.argsort(values)[::-1]
+        held = np.cumsum(values[order].clip(0)) / max(values.clip(0).sum(), 1e-300)
+        leading = vectors[:, order[: max(min(DIMS, len(order)), int(np.searchsorted(held, VARIANCE)) + 1)]]
+        dims = min(DIMS, leading.shape[1])
+        self.axes = [leading @ np.linalg.qr(rng.normal(size=(leading.shape[1], dims)))[0] for _ in range(curves)]
+        self.shift = rng.uniform(0, 0.5, (curves, dims))
+        spread = [sample @ a for a in self.axes]
+        self.low = [x.mean(0) - 3 * x.std(0) for x in spread]
+        self.width = [np.where(x.std(0) > 0, 6 * x.std(0), 1.0) for x in spread]
+        self.bounds, self.splits, self.first, units = [], [], [], 0
+        for c in range(curves):
+            keys = np.sort(self.keys(sample, c))
+            bounds = np.unique(keys[np.linspace(0, len(keys), blocks, endpoint=False).astype(int)[1:]])
+            held = np.bincount(np.searchsorted(bounds, keys, "right"), minlength=len(bounds) + 1) * (n / len(keys))
+            self.bounds.append(bounds)
+            self.splits.append(np.maximum(1, np.ceil(held / MOST_ROWS)).astype(np.int64))
+            self.first.append(units + np.cumsum(self.splits[-1]) - self.splits[-1])
+            units += int(self.splits[-1].sum())
+        edge = np.quantile(sample, [0.002, 0.998], axis=0)
+        self.base, self.step = edge[0], np.where(edge[1] > edge[0], (edge[1] - edge[0]) / 15, 1.0)
+
+    def keys(self, vectors: np.ndarray, curve: int) -> np.ndarray:
+        place = np.clip((vectors @ self.axes[curve] - self.low[curve]) / self.width[curve], 0, 1) * 0.5 + self.shift[curve]
+        return hilbert_keys((place * (1 << GRID_BITS)).clip(0, (1 << GRID_BITS) - 1), GRID_BITS)
+
+    def blocks(self, vectors: np.ndarray, curve: int) -> np.ndarray:
+        return np.searchsorted(self.bounds[curve], self.keys(vectors, curve), "right")
+
+    def codes(self, vectors: np.ndarray) -> np.ndarray:
+        """Four bits a component, two components a byte."""
+        levels = np.round((vectors - self.base) / self.step).clip(0, 15).astype(np.uint8)
+        if levels.shape[1] % 2:
+            levels = np.pad(levels, ((0, 0), (0, 1)))
+        return np.ascontiguousarray(levels[:, ::2] | levels[:, 1::2] << 4)
+
+    def decoded(self, codes: np.ndarray) -> np.ndarray:
+        levels = np.stack([codes & 15, codes >> 4], 2).reshape(len(codes), -1)[:, : len(self.base)]
+        return (levels * self.step + self.base).astype(np.float32)
+
+
+def _gathered(batches, most: int):
+    """Consecutive batches joined to tables of about so many rows."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= most:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _by_unit(unit: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
+    """One row for each unit, with its ids and what belongs to them side by side."""
+    order = np.argsort(unit, kind="stable")
+    unit, ids, rows = unit[order], ids[order], rows[order]
+    cuts = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1]]))
+    ends = np.append(cuts[1:], len(unit))
+    packed = [[x[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)] for x in (ids, rows)]
+    return pa.RecordBatch.from_arrays([pa.array(unit[cuts]), *(pa.array(p, pa.binary()) for p in packed)], ["unit", "ids", "held"])
+
+
+def _ids(table: pa.Table) -> np.ndarray:
+    return np.asarray(table.column("id").combine_chunks()).astype(np.int64)
+
+
+def _indexed(index: Index, dim: int, kind: str, shares: int):
+    def run(batches):
+        for rows in _gathered(batches, 16384):
+            vectors, ids = _vectors(rows.column("vec").combine_chunks(), dim, kind), _ids(rows)
+            codes, salt = index.codes(vectors), ids % 1000003
+            for c in range(len(index.axes)):
+                block = index.blocks(vectors, c)
+                unit = index.first[c][block] + salt % index.splits[c][block]
+                for k in range(shares):
+                    yield _by_unit(unit * shares + k, ids, codes)
+
+    return run
+
+
+def _asking(index: Index, dim: int, kind: str, shares: int):
     def run(batches):
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                batch = whole.slice(at, 1024)
-                vectors = _vectors(batch.column("vec"), dim, kind)
-                for c in range(len(curves.axes)):
-                    keys = pa.array(curves.keys(vectors, c).astype(np.int64))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(vectors), c, np.int32)), keys, *batch.columns], ["curve", "key", *batch.schema.names])
+        for rows in _gathered(batches, 1024):
+            vectors, ids = _vectors(rows.column("vec").combine_chunks(), dim, kind), _ids(rows)
+            raw = vectors.astype(kind)
+            for c in range(len(index.axes)):
+                block, last = index.blocks(vectors, c), len(index.splits[c]) - 1
+                for beside in (-1, 0, 1):
+                    at = np.flatnonzero((block + beside >= 0) & (block + beside <= last))
+                    many = index.splits[c][block[at] + beside]
+                    at, nth = np.repeat(at, many), np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                    if len(at):
+                        unit = index.first[c][block[at] + beside] + nth
+                        yield _by_unit(unit * shares + ids[at] % 1000003 % shares, ids[at], raw[at])
 
     return run
 
 
-def _numbered(batches):
-    """Rows of a sorted range partition with their number within it and its curve."""
-    from pyspark import TaskContext
+def _ranked(index: Index, dim: int, kind: str, most: int):
+    """The nearest rows of a unit for each query that looks at it, by their codes; a task's group holds a few small units."""
+
+    def run(held: pa.Table, asked: pa.Table) -> pa.Table:
+        who, what, about = [], [], []
+        by_unit: dict[int, tuple[list, list]] = {}
+        for side, rows in enumerate((held, asked)):
+            for unit, *packed in zip(*(rows.column(c).to_pylist() for c in ("unit", "ids", "held")), strict=True):
+                by_unit.setdefault(unit, ([], []))[side].append(packed)
+        for mine, looks in by_unit.values():
+            if not mine or not looks:
+                continue
+            ids = np.frombuffer(b"".join(x for x, _ in mine), np.int64)
+            codes = np.frombuffer(b"".join(x for _, x in mine), np.uint8).reshape(len(ids), -1)
+            vectors = index.decoded(codes)
+            norms = np.einsum("ij,ij->i", vectors, vectors)
+            query = np.frombuffer(b"".join(x for x, _ in looks), np.int64)
+            against = np.frombuffer(b"".join(x for _, x in looks), kind).reshape(-1, dim).astype(np.float32)
+            for at in range(0, len(query), 128):
+                some = against[at : at + 128]
+                far = norms - 2 * (some @ vectors.T) + np.einsum("ij,ij->i", some, some)[:, None]
+                best = np.argpartition(far, most - 1, axis=1)[:, :most] if len(ids) > most else np.broadcast_to(np.arange(len(ids)), far.shape)
+                who.append(np.repeat(query[at : at + 128], best.shape[1]))
+                what.append(ids[best].ravel())
+                about.append(np.take_along_axis(far, best, 1).ravel())
+        none = [np.zeros(0)]
+        return pa.table([pa.array(np.concatenate(who or none).astype(np.int64)), pa.array(np.concatenate(what or none).astype(np.int64)), pa.array(np.concatenate(about or none).astype(np.float32))], ["query_id", "id", "about"])
 
-    part, seen = TaskContext.get().partitionId(), {}
-    for batch in batches:
-        curve = batch.column("curve").to_pylist()
-        number = []
-        for c in curve:
-            number.append(seen.get(c, 0))
-            seen[c] = number[-1] + 1
-        yield pa.RecordBatch.from_arrays([pa.array([part] * len(curve), pa.int32()), pa.array(number, pa.int64()), *batch.columns], ["part", "number", *batch.schema.names])
-
-
-def _nearest(dim: int, kind: str, k: int):
-    """The k nearest classes of a block for each query that looks at it."""
-
-    def run(unit: pa.Table) -> pa.Table:
-        unit = unit.combine_chunks()
-        query = np.asarray(unit.column("query").combine_chunks()).astype(bool)
-        vectors = _vectors(unit.column("vec").combine_chunks(), dim, kind)
-        ids = np.array(unit.column("id").to_pylist(), np.int64)
-        rows = np.flatnonzero(~query)
-        who, score, what = [], [], []
-        if len(rows):
-            rows = rows[np.argsort(ids[rows], kind="stable")]  # equal distances: smaller ids first
-            block = vectors[rows]
-            for q in np.flatnonzero(query):
-                away = block - vectors[q]
-                away = np.sqrt(np.einsum("ij,ij->i", away, away))
-                best = np.argsort(away, kind="stable")[:k] if len(away) > k else np.arange(len(away))
-                if len(away) > 4 * k:  # all that are as near as the k-th, then in order
-                    near = np.flatnonzero(away <= np.partition(away, k - 1)[k - 1])
-                    best = near[np.argsort(away[near], kind="stable")][:k]
-                who.append(np.full(len(best), ids[q]))
-                score.append(away[best])
-                what.append(rows[best])
-        if not who:
-            return pa.table([pa.array([], pa.int64()), pa.array([], pa.float64()), pa.array([], pa.list_(pa.int64()))], ["query_id", "score", "ids"])
-        return pa.table([pa.array(np.concatenate(who)), pa.array(np.concatenate(score)), unit.column("ids").take(pa.array(np.concatenate(what))).combine_chunks()], ["query_id", "score", "ids"])
+    return run
+
+
+def _distances(dim: int, kind: str):
+    def run(batches):
+        for batch in batches:
+            away = _vectors(batch.column("vec"), dim, kind) - _vectors(batch.column("asked"), dim, kind)
+            yield pa.RecordBatch.from_arrays([batch.column("query_id"), pa.array(np.sqrt(np.einsum("ij,ij->i", away, away))), batch.column("ids")], ["query_id", "score", "ids"])
 
     return run
 
@@ -178,13 +265,15 @@ def clean_vectors(rows: DataFrame, key: str, vector: str) -> DataFrame:
     """(id, vec) of the rows that take part, vec as an array of its own element type."""
     own = rows.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("vec")).where("id is not null and vec is not null")
     finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    own = own.where(finite & F.exists("vec", lambda x: x != 0))
-    lengths = own.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    return own.where(F.size("vec") == (lengths[0].n if lengths else 0))
+    return own.where(finite & F.exists("vec", lambda x: x != 0))
+
 
+def nearest(rows: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = NEIGHBOURS, curves: int = CURVES, share: float = SHARE, window: int | None = None, seed: int = SEED) -> DataFrame:
+    """query_id, rank (from 1), vec_id and score: the k nearest found of each row of queries among the rows with another id.
 
-def nearest(rows: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = NEIGHBOURS, curves: int = CURVES, share: float = SHARE, seed: int = SEED) -> DataFrame:
-    """query_id, rank (from 1), vec_id and score: the k nearest found of each row of queries among the rows with another id."""
+    A query's window in each ordering is three blocks of so large a share of the rows, or of
+    ``window`` rows in all.
+    """
     spark = rows.sparkSession
     scratch = Scratch(spark, "nearest")
     element = rows.schema[vector].dataType.elementType.simpleString()
@@ -192,37 +281,43 @@ def nearest(rows: DataFrame, queries: DataFrame, key: str = "vec_id", vector: st
     flat = clean_vectors(rows, key, vector).mapInArrow(_as_binary(element), "id long, vec binary")
     few = flat.mapInArrow(_few_ids(k + 1), "id long, vec binary")
     classes = few.groupBy("vec").agg(F.slice(F.array_sort(F.collect_set("id")), 1, k + 1).alias("ids"))
-    classes = scratch.save(classes.select(F.col("ids")[0].alias("id"), "vec", "ids", F.lit(False).alias("query")), "classes")
-    asked = clean_vectors(queries, key, vector).mapInArrow(_as_binary(element), "id long, vec binary").dropDuplicates(["id", "vec"])
-    n = classes.count()
-    some = classes.where(F.pmod(F.xxhash64("vec"), F.lit(max(1, n // SAMPLE))) == 0).select("vec").limit(2 * SAMPLE).collect() if n else []
-    if not some:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim = len(some[0].vec) // int(kind[-1])
-    sample = np.stack([np.frombuffer(r.vec, kind) for r in some]).astype(np.float64)
-    asked = asked.where(F.octet_length("vec") == dim * int(kind[-1]))
-    everything = classes.unionByName(asked.select("id", "vec", F.array().cast("array<long>").alias("ids"), F.lit(True).alias("query")))
-    keyed = everything.mapInArrow(_keyed(Curves(sample, curves, seed), dim, kind), "curve int, key long, id long, vec binary, ids array<long>, query boolean")
-
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), curves)
-    ordered = keyed.repartitionByRange(parts, "curve", "key", "id").sortWithinPartitions("curve", "key", "id")
-    ordered = scratch.save(ordered.mapInArrow(_numbered, "part int, number long, curve int, key long, id long, vec binary, ids array<long>, query boolean").drop("key"), "ordered")
-    counts = scratch.save(ordered.groupBy("curve", "part").agg(F.count(F.lit(1)).alias("n")), "counts")
-    behind = Window.partitionBy("curve").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = counts.select("curve", "part", F.coalesce(F.sum("n").over(behind), F.lit(0)).alias("base"))
-    ranked = ordered.join(F.broadcast(bases) if 64 * (parts + curves) <= BROADCAST_BYTES else bases, ["curve", "part"])
-    wanted = max(LEAST, round(n * share))
-    block = min(wanted, MOST)
-    reach = -(-wanted // block)
-    ranked = ranked.withColumn("block", F.floor((F.col("base") + F.col("number")) / block).cast("int"))
-    ranked = ranked.withColumn("block", F.explode(F.when(F.col("query"), F.sequence(F.col("block") - reach, F.col("block") + reach)).otherwise(F.array("block"))))
-    found = ranked.select("curve", "block", "id", "vec", "ids", "query").groupBy("curve", "block").applyInArrow(_nearest(dim, kind, k + 1), "query_id long, score double, ids array<long>")
-
-    pairs = found.select("query_id", "score", F.explode("ids").alias("vec_id")).where("query_id <> vec_id").groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    classes = scratch.save(classes.select(F.col("ids")[0].alias("id"), "vec", "ids"), "classes")
+    asked = clean_vectors(queries, key, vector).mapInArrow(_as_binary(element), "id long, vec binary")
+    asked = scratch.save(asked.dropDuplicates(["id", "vec"]), "asked")
+    sizes = classes.groupBy(F.octet_length("vec").alias("size")).count().collect()  # one for each length of vectors
+    width = int(kind[-1])
+    found = [_of_length(classes.where(F.octet_length("vec") == r["size"]), asked.where(F.octet_length("vec") == r["size"]), r["size"] // width, r["count"], kind, k, curves, share, window, seed, scratch) for r in sizes]
+    if not found:
+        return spark.createDataFrame([], EMPTY)
+    pairs = reduce(DataFrame.unionByName, found).select("query_id", "score", F.explode("ids").alias("vec_id"))
+    pairs = pairs.where("query_id <> vec_id").groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return pairs.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
+def _of_length(classes: DataFrame, asked: DataFrame, dim: int, n: int, kind: str, k: int, curves: int, share: float, window: int | None, seed: int, scratch: Scratch) -> DataFrame:
+    """query_id, score and ids of the candidates that are reranked, among vectors of dim components."""
+    some = classes.where(F.pmod(F.xxhash64("vec"), F.lit(max(1, n // SAMPLE))) == 0).select("vec").limit(2 * SAMPLE).collect()
+    some = some or classes.select("vec").limit(SAMPLE).collect()
+    sample = np.stack([np.frombuffer(r.vec, kind) for r in some]).astype(np.float64)
+    rows = max(LEAST, k + 1, n * share if window is None else window / 3)
+    index = Index(sample if len(sample) > 1 else np.repeat(sample, 2, 0), n, curves, max(1, int(n // rows)), seed)
+    n_asked = asked.count()
+    shares = max(1, -(-3 * n_asked // (max(1, int(n // rows)) * MOST_QUERIES)))
+    unit = "unit long, ids binary, held binary"
+    held = classes.select("id", "vec").mapInArrow(_indexed(index, dim, kind, shares), unit)
+    looks = asked.mapInArrow(_asking(index, dim, kind, shares), unit)
+    together = F.expr(f"unit div {max(1, int(UNITE_ROWS // rows))}").alias("task")
+    near = held.groupBy(together).cogroup(looks.groupBy(together)).applyInArrow(_ranked(index, dim, kind, k + 1 + SPARE), "query_id long, id long, about float")
+    near = near.groupBy("query_id", "id").agg(F.min("about").alias("about"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("about", "id"))
+    best = near.withColumn("place", place).where(F.col("place") <= RERANK * (k + 1)).select("query_id", "id")
+    best = scratch.save(best, f"best-{dim}")
+    both = attach(classes, best, ["id"], 32 * RERANK * (k + 1) * n_asked, "inner")
+    both = attach(both, asked.select(F.col("id").alias("query_id"), F.col("vec").alias("asked")), ["query_id"], n_asked * (64 + dim * int(kind[-1])), "inner")
+    return both.select("query_id", "vec", "asked", "ids").mapInArrow(_distances(dim, kind), "query_id long, score double, ids array<long>")
+
+
 def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 nearest vectors of every vector whose id is divisible by 100, among all vectors."""
     rows = table(spark, sf_dir, "embeddings")

@@ -3,6 +3,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
+from recall import recall, seen
 
 from dagframe.llm import ann, url_filter
 
@@ -34,6 +35,40 @@ def test_nearest_recall_and_scores(spark):
     assert got.query_id.nunique() == (ids % 20 == 0).sum() and hit >= 0.9 * n
 
 
+def test_recall_where_windows_are_a_small_part_of_the_table(spark):
+    """Directions without structure in 64 dimensions, as in the tables: recall against all rows, and how many of them are looked at."""
+    rng = np.random.default_rng(4)
+    vectors = rng.normal(size=(10000, 64))
+    vectors = (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)).astype(np.float32)
+    import pandas as pd
+
+    rows = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(10000), "embedding": vectors.tolist()})).selectExpr("vec_id", "cast(embedding as array<float>) AS embedding")
+    found = ann.nearest(rows, rows.where("vec_id % 100 = 0")).toPandas()
+    assert len(found) == 1000 and recall(found, np.arange(10000), vectors.astype(float)) >= 0.9
+    index = ann.Index(vectors.astype(float), 10000, ann.CURVES, int(10000 // max(ann.LEAST, 10000 * ann.SHARE)), ann.SEED)
+    every, distinct = seen(index, vectors.astype(float), np.arange(0, 10000, 100))
+    assert every < 0.85 and distinct < 0.5
+
+
+def test_structured_vectors_do_with_windows_of_a_fixed_size(spark):
+    rng = np.random.default_rng(5)
+    vectors = rng.normal(size=(6000, 4)) @ rng.normal(size=(4, 32))
+    import pandas as pd
+
+    rows = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(6000), "embedding": vectors.tolist()}))
+    found = ann.nearest(rows, rows.where("vec_id % 50 = 0"), curves=8, window=400).toPandas()
+    assert recall(found, np.arange(6000), vectors) >= 0.9
+
+
+def test_blocks_and_queries_that_are_split(spark, monkeypatch):
+    rows = spark.read.parquet(EMBEDDINGS)
+    whole = {(r.query_id, r["rank"], r.vec_id) for r in ann.nearest(rows, rows.where("vec_id % 20 = 0")).collect()}
+    monkeypatch.setattr(ann, "MOST_ROWS", 40)
+    monkeypatch.setattr(ann, "MOST_QUERIES", 8)
+    split = {(r.query_id, r["rank"], r.vec_id) for r in ann.nearest(rows, rows.where("vec_id % 20 = 0")).collect()}
+    assert len(split) == len(whole) and len(split & whole) >= 0.98 * len(whole)
+
+
 def test_vectors_that_take_no_part_and_copies(spark):
     rows = [(100 * i, [1.0, 0.0, float(i)], "x") for i in range(1, 4)]
     rows += [(i, [1.0, 0.0, 1.0], "x") for i in range(50, 90)]
