@@ -83,12 +83,23 @@ def test_small_queues_go_together(totals, tokens):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.sets(st.integers(0, 2**64 - 1), max_size=50), st.integers(1, 9))
-def test_packed_keys_come_back_in_their_ranges(keys, ranges):
+@given(st.sets(st.integers(0, 2**64 - 1), max_size=50), st.integers(1, 9), st.integers(0, 5), st.lists(st.integers(0, 2**53), max_size=9))
+def test_packed_keys_come_back_in_their_ranges(keys, fan, level, counts):
     keys = np.array(sorted(keys), np.uint64)
     assert language_model.unsqueezed(language_model.squeezed(keys)).tolist() == keys.tolist()
-    where = language_model._range_of(keys, 64, ranges)
-    assert (np.diff(where) >= 0).all() and ((where >= 0) & (where < ranges)).all()
+    where = language_model.range_of(keys, level, fan)
+    assert (np.diff(where) >= 0).all() and ((where >= 0) & (where < 1 << fan * (level + 1))).all()
+    assert (language_model.range_of(keys, level + 1, fan) >> fan == where).all()
+    assert language_model.counts_unpacked(language_model.counts_packed(np.array(counts, np.int64))).tolist() == counts
+
+
+def test_counts_beyond_32_bits_add_up():
+    keys = np.array([5, 9, 2**62], np.uint64)
+    blocks = [language_model._packed(k, 0, 1, [(keys, np.array([3 * 10**9, 1, 0])), (keys[:2], np.array([2**40, 7]))]) for k in range(2)]
+    got = language_model._answered(pa.concat_tables(blocks))
+    assert [language_model.counts_unpacked(x).tolist() for x in got.column("words").to_pylist()] == [[6 * 10**9, 2, 0]] * 2
+    assert [language_model.counts_unpacked(x).tolist() for x in got.column("pairs").to_pylist()] == [[2**41, 14]] * 2
+    assert got.column("n").to_pylist() == [6 * 10**9 + 2, 0] and got.column("v").to_pylist() == [2, 0]
 
 
 @settings(max_examples=60, deadline=None)

@@ -332,6 +332,17 @@ def test_language_model_base(edges, singles, small, nothing):
     assert language_model.lm_scores(nothing).count() == 0
 
 
+def test_language_model_teams_and_repeats(spark, edges, small):
+    """Counts that meet over several levels of teams are those that meet at once; rows that repeat count and come back each time."""
+    row = lambda r: (r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6))
+    some = small.where("doc_id < 60").select("doc_id", "text")
+    for df in (some, edges.select("doc_id", "text")):
+        assert Counter(map(row, language_model.lm_scores(df).collect())) == Counter(map(row, language_model.lm_scores(df, fan=2, part=3000).collect()))
+    rows = [(3, "a b a b"), (3, "a b a b"), (3, "a b a b"), (None, "a c"), (None, "a c"), (2, "b")]
+    got = Counter((r.doc_id, r.n_tokens, r.train_tokens) for r in language_model.lm_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == Counter({(3, 5, 23): 3, (None, 3, 23): 2, (2, 2, 23): 1})
+
+
 def test_language_model_mixture(small):
     """The score is that of the mixture with the learned weights, counted plainly; it beats the base on held-out texts."""
     import math
