@@ -66,6 +66,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, lengthened until no column of df has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def attach(big: DataFrame, small: DataFrame, on: list[str], small_bytes: int, how: str = "left", limit: int = BROADCAST_BYTES) -> DataFrame:
     """Join on equal, non-null keys; small is broadcast when small_bytes, which the caller counted, allows it, else both sides are shuffled."""
     return big.join(F.broadcast(small) if small_bytes <= limit else small, on, how)

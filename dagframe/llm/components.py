@@ -29,16 +29,17 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFram
         scratch.drop(f"{save_as}-least")
         return out
 
-    now = scratch.save(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-0")
-    before, k = None, 0
-    while True:
-        mark = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("h")).first()
-        if mark == before:
-            break
-        before, k = mark, k + 1
+    now, k = scratch.save(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-0"), 0
+
+    def at_rest() -> bool:
+        # every edge leads from a node, which has no other, to one that has none
+        several = now.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a")
+        return several.unionByName(now.join(now.select(F.col("b").alias("a")), "a", "left_semi").select("a")).isEmpty()
+
+    while not at_rest():
+        k += 1
         large = stars(now, True, f"{name}-{k}-large")
         now = stars(large, False, f"{name}-{k}")
         scratch.drop(f"{name}-{k}-large")
         scratch.drop(f"{name}-{k - 1}")
-    # at rest every edge leads from a node to its root
-    return scratch.save(now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct(), f"{name}-roots")
+    return scratch.save(now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()), f"{name}-roots")

@@ -4,22 +4,24 @@
     text stands for its class from here on, so that copies cost one row each.
 2.  A class gets ``rows * bands`` MinHash minima. Bands of the full minima name its buckets; of
     each minimum only the low ``BITS`` bits are kept, packed into a signature.
-3.  Classes that meet in buckets, each linked to its bucket's least class, form coarse groups
-    (connected components). Whole groups, or for large ones pairs of blocks of them, go to tasks
-    of bounded size.
-4.  In a task, signatures are compared by bit counts: with a share m of equal b-bit values, the
-    collision-corrected similarity is ``(m - 2**-b) / (1 - 2**-b)``. Pairs more than SLACK
-    standard errors below the threshold are left out; of the others, those not yet connected
-    are confirmed on the full shingle sets. Links found join classes to components.
+3.  Each class is compared with its buckets' least classes by signatures alone: with a share m of
+    equal b-bit values, the collision-corrected similarity is ``(m - 2**-b) / (1 - 2**-b)``, and
+    pairs more than SLACK standard errors below the threshold are left out. The likeliest
+    partner of each class is confirmed on the full shingle sets: a text goes to one task, a
+    partner's to as many as its followers fill. Links found join classes to components.
+4.  Buckets whose classes are not all in one component by then have their classes of different
+    components compared by signatures, in blocks of them; the likeliest pair of each class is
+    confirmed as before, and what is still apart then, in blocks of texts of bounded size.
 
 ``rows`` and ``bands`` follow from the threshold: the chance that a pair just at the threshold
 meets in no bucket is below MISS. No bucket, group or number of partners is capped.
 
 Defined results: a null text or one without words has the empty set and links with nothing; a
+text of any length gives its whole set, which one task holds; a
 null id takes part, and counts as its component's least id only if there is no other; rows
 that repeat an id are rows of their own (each is kept if its id is the component's least); an
 empty table gives an empty table; only the key and text columns are read, so other columns
-cannot clash, and ``drop_near_duplicates`` passes them through (the name ``_near_uid`` is reserved).
+cannot clash, and ``drop_near_duplicates`` passes them all through.
 """
 
 from __future__ import annotations
@@ -29,11 +31,11 @@ import math
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dagframe.llm.bytesets import STEP, U, as_strings, mix, shingle_sets
-from dagframe.llm.common import BROADCAST_BYTES, Scratch, attach, table
+from dagframe.llm.common import BROADCAST_BYTES, Scratch, attach, free_name, table
 from dagframe.llm.components import components
 
 SHINGLE = 5
@@ -44,8 +46,8 @@ MISS, MOST_MINIMA = 1e-6, 288
 BITS = 2
 #: Standard errors below the threshold at which a signature rules a pair out.
 SLACK = 6
-#: Rows and text bytes of a task of step 3.
-BLOCK_ROWS, BLOCK_BYTES = 2048, 6 << 20
+#: Rows and text bytes of a task's unit, and signatures of one.
+BLOCK_ROWS, BLOCK_BYTES, BLOCK_SIGNS = 2048, 6 << 20, 4096
 
 
 def banding(percent: int) -> tuple[int, int]:
@@ -121,6 +123,12 @@ def class_id(hashes: np.ndarray) -> bytes | None:
     return int(a).to_bytes(8, "big") + int(b).to_bytes(8, "big")
 
 
+def least_estimate(percent: int, minima: int) -> float:
+    """The estimate below which a pair is ruled out."""
+    t = percent / 100
+    return t - SLACK * math.sqrt(t * (1 - t) / minima + 2.0**-BITS / minima)
+
+
 class _Groups:
     """Labels of rows, least index first."""
 
@@ -136,8 +144,7 @@ class _Groups:
 def linked(sets: list[np.ndarray], signs: np.ndarray, side: np.ndarray, minima: int, percent: int) -> np.ndarray:
     """Component label of each set of one group; with two sides, only pairs across them are looked at."""
     m, groups, across = len(sets), _Groups(len(sets)), len(np.unique(side)) > 1
-    t = percent / 100
-    cut = t - SLACK * math.sqrt(t * (1 - t) / minima + 2.0**-BITS / minima)
+    cut = least_estimate(percent, minima)
     sizes = np.array([len(s) for s in sets])
     shared = None
     for x in range(m - 1):
@@ -200,11 +207,164 @@ def _confirmed(shingle: int, minima: int, percent: int):
     return run
 
 
+def _likely(minima: int, percent: int):
+    """Of pairs (a, b) with both signatures and sizes, those not ruled out, and their estimates."""
+    cut = least_estimate(percent, minima)
+
+    def run(batches):
+        for batch in batches:
+            one, other = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("sign_a", "sign_b"))
+            about = similarity(one, other, minima)
+            small, large = (np.asarray(f(batch.column("size_a"), batch.column("size_b"))) for f in (pc.min_element_wise, pc.max_element_wise))
+            keep = pa.array((about >= cut) & (100 * small >= percent * large))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(about)], ["a", "b", "about"]).filter(keep)
+
+    return run
+
+
+def _alike(minima: int, percent: int):
+    """The pairs of a bucket's block, or across two of its blocks, whose components differ and that signatures and sizes don't rule out."""
+    cut = least_estimate(percent, minima)
+
+    def run(unit: pa.Table) -> pa.Table:
+        unit = unit.combine_chunks()
+        _, part = np.unique(unit.column("part").to_pylist(), return_inverse=True)
+        order = np.argsort(part, kind="stable")
+        _, label = np.unique(unit.column("label").to_pylist(), return_inverse=True)
+        cls = unit.column("cls").to_pylist()
+        signs = np.frombuffer(b"".join(unit.column("sign").to_pylist()), np.uint64).reshape(len(cls), -1)
+        side, size = (np.asarray(unit.column(c).combine_chunks()) for c in ("side", "size"))
+        bounds = np.append(np.flatnonzero(np.diff(part[order], prepend=-1)), len(order))
+        a, b, about = [], [], []
+        for at, end in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            rows = order[at:end]
+            across = len(np.unique(side[rows])) > 1
+            for k in range(len(rows) - 1):
+                x, rest = rows[k], rows[k + 1 :]
+                open_ = label[rest] != label[x]
+                if across:
+                    open_ &= side[rest] != side[x]
+                open_ &= 100 * np.minimum(size[rest], size[x]) >= percent * np.maximum(size[rest], size[x])
+                rest = rest[open_]
+                if len(rest):
+                    near = similarity(signs[x], signs[rest], minima)
+                    for y, e in zip(rest[near >= cut].tolist(), near[near >= cut].tolist(), strict=True):
+                        a.append(max(cls[x], cls[y]))
+                        b.append(min(cls[x], cls[y]))
+                        about.append(e)
+        return pa.table([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(about, pa.float64())], ["a", "b", "about"])
+
+    return run
+
+
+class _Search:
+    """One run's tables, and the confirmation of pairs of classes on their texts."""
+
+    def __init__(self, own: DataFrame, signed: DataFrame, scratch: Scratch, shingle: int, percent: int, minima: int):
+        self.scratch, self.shingle, self.percent, self.minima, self.runs = scratch, shingle, percent, minima, 0
+        # one row for each class: the signature and bands do not depend on which
+        rows = signed.where("cls is not null").groupBy("cls").agg(F.min(F.struct("uid", "n_bytes")).alias("one"), F.first("n_shingles").alias("size"), F.first("sign").alias("sign"), F.first("bands").alias("bands"))
+        self.classes = scratch.save(rows.select("cls", "one.uid", "one.n_bytes", "size", "sign", "bands"), "classes")
+        self.texts = own.where("text is not null").select("uid", "text")
+        # rows that repeat id and text share a uid; only one of them goes to a task
+        self.repeats = not signed.groupBy("uid").count().where("count > 1").isEmpty()
+
+    def signatures(self, pairs: DataFrame) -> DataFrame:
+        """Of pairs (a, b), those that signatures don't rule out, with their estimates."""
+        of = lambda x: self.classes.select(F.col("cls").alias(x), F.col("sign").alias(f"sign_{x}"), F.col("size").alias(f"size_{x}"))
+        return pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(_likely(self.minima, self.percent), "a binary, b binary, about double")
+
+    def _links(self, parts: DataFrame, n: int) -> DataFrame:
+        """parts: cls, part, side and unit; the links that are found in them."""
+        member = parts.join(self.classes.select("cls", "uid", "sign"), "cls")
+        held = attach(self.texts, member, ["uid"], 256 * n, "inner")
+        if self.repeats:
+            held = held.groupBy("unit", "part", "cls", "side").agg(F.first("sign").alias("sign"), F.first("text").alias("text"))
+        self.runs += 1
+        found = held.select("cls", "text", "sign", "part", "side", "unit").groupBy("unit").applyInArrow(_confirmed(self.shingle, self.minima, self.percent), "a binary, b binary")
+        return self.scratch.save(found.where("a <> b"), f"links-{self.runs}")
+
+    def followers(self, pairs: DataFrame) -> DataFrame:
+        """The links among pairs (a, b) of which every a has one."""
+        sized = pairs.join(self.classes.select(F.col("cls").alias("a"), "n_bytes"), "a")
+        blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("n_bytes") / BLOCK_BYTES)).cast("int")
+        leaders = self.scratch.save(sized.groupBy("b").agg(blocks.alias("blocks"), F.count(F.lit(1)).alias("n"), F.sum("n_bytes").alias("bytes")), f"leaders-{self.runs}")
+        total = leaders.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), F.coalesce(F.sum("blocks"), F.lit(0)).alias("leaders")).first()
+        units = 1 + max(2 * total.n // BLOCK_ROWS, 2 * total.bytes // BLOCK_BYTES)
+        mine = pairs.join(leaders.select("b", "blocks"), "b").select(F.col("a").alias("cls"), "b", "blocks", F.pmod(F.xxhash64("a"), "blocks").cast("int").alias("block"), F.lit(1).alias("side"))
+        theirs = leaders.select(F.col("b").alias("cls"), "b", "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("side"))
+        part = F.concat_ws("-", F.hex("b"), "block")
+        unit = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("b"), F.lit(units)).cast("string")).otherwise(part)
+        return self._links(mine.unionByName(theirs).select("cls", "side", part.alias("part"), unit.alias("unit")), total.n + total.leaders)
+
+    def groups(self, pairs: DataFrame) -> DataFrame:
+        """The links among pairs (a, b) of any number, by comparing the classes that these connect, in pairs of blocks where they are many."""
+        coarse = components(pairs, self.scratch, "coarse").withColumnRenamed("node", "cls")
+        member = self.scratch.save(coarse.join(self.classes.select("cls", "n_bytes"), "cls"), "member")
+        sizes = member.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("n_bytes") / BLOCK_BYTES), F.lit(1)).cast("int").alias("blocks"))
+        member = member.join(self.scratch.save(sizes, "sizes"), "root").withColumn("block", F.pmod(F.xxhash64("cls"), "blocks").cast("int"))
+        total = member.agg(F.coalesce(F.sum("blocks"), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.col("n_bytes") * F.col("blocks")), F.lit(0)).alias("bytes")).first()
+        units = 1 + max(2 * total.rows // BLOCK_ROWS, total.bytes // BLOCK_BYTES)
+        member = member.withColumn("pair", F.explode(_block_pairs()))
+        # a block beside itself is one part; a pair of different blocks looks across only
+        part = F.concat_ws("-", F.hex("root"), F.col("pair.i"), F.col("pair.j"))
+        unit = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(units)).cast("string")).otherwise(part)
+        return self._links(member.select("cls", (F.col("block") == F.col("pair.j")).cast("int").alias("side"), part.alias("part"), unit.alias("unit")), total.rows)
+
+
+def _block_pairs() -> Column:
+    """For a row's block of so many blocks, its pairs (i, j) with all of them, i <= j."""
+    return F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row per input row: key, n_shingles, component_id (least key of the component) and kept."""
     return _judged(docs, key, text, shingle, percent).drop("uid").withColumnRenamed("id", key)
 
 
+def _roots(search: _Search, scratch: Scratch) -> DataFrame:
+    """(node, root) of all classes that are linked."""
+    classes, minima, percent = search.classes, search.minima, search.percent
+    buckets = scratch.save(classes.select("cls", F.explode("bands").alias("bucket")), "buckets")
+    centres = scratch.save(buckets.groupBy("bucket").agg(F.min("cls").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1"), "centres")
+    shared = scratch.save(buckets.join(centres, "bucket"), "shared")
+    scratch.drop("buckets")
+
+    stars = shared.where("cls <> centre").select(F.col("cls").alias("a"), F.col("centre").alias("b")).distinct()
+    first = search.signatures(stars).groupBy("a").agg(F.max_by("b", "about").alias("b"))
+    links = search.followers(scratch.save(first, "first"))
+    roots = components(links, scratch, "near-1")
+
+    labels = roots.select(F.col("node").alias("cls"), F.col("root").alias("label"))
+    labelled = shared.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    labelled = scratch.save(labelled.select("bucket", "cls", "label"), "labelled")
+    blocks = F.ceil(F.count(F.lit(1)) / BLOCK_SIGNS).cast("int")
+    apart = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n"), blocks.alias("blocks"))
+    apart = scratch.save(apart.where("low <> high").select("bucket", "n", "blocks"), "apart")
+    total = apart.agg(F.coalesce(F.sum(F.col("n") * F.col("blocks")), F.lit(0))).first()[0]
+    if not total:
+        return roots
+    member = labelled.join(apart, "bucket").withColumn("block", F.pmod(F.xxhash64("cls"), "blocks").cast("int")).withColumn("pair", F.explode(_block_pairs()))
+    part = F.concat_ws("-", "bucket", F.col("pair.i"), F.col("pair.j"))
+    unit = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("bucket"), F.lit(1 + 2 * total // BLOCK_SIGNS)).cast("string")).otherwise(part)
+    member = member.select("cls", "label", (F.col("block") == F.col("pair.j")).cast("int").alias("side"), part.alias("part"), unit.alias("unit"))
+    member = member.join(classes.select("cls", "size", "sign"), "cls")
+    pairs = member.groupBy("unit").applyInArrow(_alike(minima, percent), "a binary, b binary, about double")
+    pairs = scratch.save(pairs.groupBy("a", "b").agg(F.max("about").alias("about")), "pairs")
+    if pairs.isEmpty():
+        return roots
+    second = scratch.save(pairs.groupBy("a").agg(F.max_by("b", "about").alias("b")), "second")
+    links = links.unionByName(search.followers(second))
+    roots = components(links, scratch, "near-2")
+
+    of = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
+    left = pairs.join(second, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
+    left = scratch.save(left.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"), "left")
+    if left.isEmpty():
+        return roots
+    return components(links.unionByName(search.groups(left)), scratch, "near-3")
+
+
 def _judged(docs: DataFrame, key: str, text: str, shingle: int, percent: int) -> DataFrame:
     """id, uid (a hash of id and text), n_shingles, component_id and kept."""
     spark = docs.sparkSession
@@ -213,33 +373,11 @@ def _judged(docs: DataFrame, key: str, text: str, shingle: int, percent: int) ->
     kind = docs.schema[key].dataType.simpleString()
     own = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).withColumn("uid", F.xxhash64("id", "text"))
     signed = scratch.save(own.mapInArrow(_signed(shingle, rows, bands), f"id {kind}, uid long, n_bytes long, n_shingles long, cls binary, bands array<long>, sign binary"), "signed")
-
-    # one row for each class: the signature and bands do not depend on which
-    classes = scratch.save(signed.where("cls is not null").groupBy("cls").agg(F.min(F.struct("uid", "n_bytes")).alias("one"), F.first("sign").alias("sign"), F.first("bands").alias("bands")), "classes")
-    buckets = scratch.save(classes.select("cls", F.explode("bands").alias("bucket")), "buckets")
-    centres = scratch.save(buckets.groupBy("bucket").agg(F.min("cls").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", "centre"), "centres")
-    meets = buckets.join(centres, "bucket").where("cls <> centre").select(F.col("cls").alias("a"), F.col("centre").alias("b"))
-    coarse = components(meets, scratch, "coarse")
-    scratch.drop("buckets")
-
-    # whole groups where they are small, pairs of blocks where they are not
-    member = scratch.save(coarse.join(classes.select(F.col("cls").alias("node"), "one.uid", "one.n_bytes", "sign"), "node"), "member")
-    sizes = member.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("n_bytes") / BLOCK_BYTES), F.lit(1)).cast("int").alias("blocks"))
-    member = member.join(scratch.save(sizes, "sizes"), "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    total = member.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.col("n_bytes") * F.col("blocks")), F.lit(0)).alias("bytes"), F.coalesce(F.sum("blocks"), F.lit(0)).alias("rows")).first()
-    units = 1 + max(2 * total.rows // BLOCK_ROWS, total.bytes // BLOCK_BYTES)
-    with_text = attach(own.where("text is not null").select("uid", "text"), member, ["uid"], 192 * total.n, "inner")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j")))
-    with_text = with_text.withColumn("pair", F.explode(pairs))
-    # a block beside itself is one part; a pair of different blocks looks across only
-    part = F.concat_ws("-", F.hex("root"), F.col("pair.i"), F.col("pair.j"))
-    parts = with_text.select("node", "text", "sign", part.alias("part"), (F.col("block") == F.col("pair.j")).cast("int").alias("side"), F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(units)).cast("string")).otherwise(part).alias("unit")).withColumnRenamed("node", "cls")
-    links = scratch.save(parts.groupBy("unit").applyInArrow(_confirmed(shingle, rows * bands, percent), "a binary, b binary"), "links")
-    roots = components(links, scratch, "fine")
+    roots = _roots(_Search(own, signed, scratch, shingle, percent, rows * bands), scratch)
 
     joined = signed.select("id", "uid", "n_shingles", "cls").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = scratch.save(joined.where("root is not null").groupBy("root").agg(F.min("id").alias("least")), "least")
-    scratch.only("signed", "fine-roots", "least")
+    scratch.only("signed", "least", *(f"near-{k}-roots" for k in (1, 2, 3)))
     out = joined.join(least, "root", "left").select("id", "uid", "n_shingles", F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("least")).alias("component_id"))
     return out.withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))
 
@@ -250,16 +388,17 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text
     judged = scratch.save(_judged(docs, key, text, shingle, percent).select("uid", "kept"), "judged")
     gone = scratch.save(judged.where("not kept").select("uid").distinct(), "gone")
     again = scratch.save(judged.where("kept").groupBy("uid").count().where("count > 1").select("uid"), "again")
-    marked = docs.withColumn("_near_uid", F.xxhash64(key, text))
+    name = free_name(docs, "_near_uid")
+    marked = docs.withColumn(name, F.xxhash64(key, text))
 
     def small(df: DataFrame) -> DataFrame:
         return F.broadcast(df) if 40 * df.count() <= BROADCAST_BYTES else df
 
-    kept = marked.join(small(gone.select(F.col("uid").alias("_near_uid"))), "_near_uid", "left_anti")
+    kept = marked.join(small(gone.select(F.col("uid").alias(name))), name, "left_anti")
     if not again.isEmpty():
-        again = small(again.select(F.col("uid").alias("_near_uid")))
-        kept = kept.join(again, "_near_uid", "left_anti").unionByName(kept.join(again, "_near_uid", "left_semi").dropDuplicates(["_near_uid"]))
-    return kept.drop("_near_uid")
+        again = small(again.select(F.col("uid").alias(name)))
+        kept = kept.join(again, name, "left_anti").unionByName(kept.join(again, name, "left_semi").dropDuplicates([name]))
+    return kept.drop(name)
 
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -70,7 +70,54 @@ def test_near_duplicates_in_blocks(small, monkeypatch):
     assert rows(near_duplicates(small, shingle=3, percent=85), "doc_id", "component_id") == want
 
 
+def test_buckets_in_blocks(small, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK_SIGNS", 2)
+    monkeypatch.setattr(near_dedup, "BLOCK_ROWS", 3)
+    want = Counter((k, c if n else k) for k, n, c in near(pairs(small), 5, 80))
+    assert rows(near_duplicates(small), "doc_id", "component_id") == want
+
+
+def test_chains_of_texts_that_are_mostly_alike(spark):
+    """Each text changes a few words of the one before: neighbours are linked, distant ones meet in buckets and are not, and a second family is close but apart."""
+    import random
+
+    rng = random.Random(7)
+    texts = []
+    for _ in range(2):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+        for k in range(60):
+            for _ in range(2 if k % 12 else 9):
+                words[rng.randrange(150)] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(words))
+    docs = [(i, t) for i, t in enumerate(texts)] + [(500 + i, texts[i // 2]) for i in range(6)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    for size, percent in ((3, 85), (5, 80)):
+        want = Counter(near(docs, size, percent))
+        assert rows(near_duplicates(df, shingle=size, percent=percent), "doc_id", "n_shingles", "component_id") == want
+        assert len({c for _, _, c in want}) > 4
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_pairs_at_the_threshold_meet(percent):
+    """Planted pairs just above the threshold: none without a common band, none ruled out by its signature."""
+    rng = np.random.default_rng(8)
+    per_band, bands = banding(percent)
+    n = per_band * bands
+    factors = near_dedup._factors(n)
+    for size in (7, 40, 300):
+        for _ in range(400):
+            both = -(-percent * 2 * size // (100 + percent))
+            core = rng.integers(0, 2**63, 2 * size - both, dtype=np.uint64)
+            minima = np.stack([near_dedup._minima(x, factors) for x in (core[:size], core[size - both :])])
+            assert (minima[0].reshape(bands, per_band) == minima[1].reshape(bands, per_band)).all(1).any()
+            signs = pack(minima)
+            assert similarity(signs[0], signs[1:], n)[0] >= near_dedup.least_estimate(percent, n)
+
+
 def test_drop_keeps_one_of_each(edges):
+    from pyspark.sql import functions as F
+
+    edges = edges.withColumn("_NEAR_uid", F.lit(1))
     kept = drop_near_duplicates(edges, shingle=3, percent=85)
     assert kept.columns == edges.columns
     ids = [r.doc_id for r in kept.collect()]
