@@ -319,6 +319,75 @@ def test_licences_as_they_stand_in_files(spark):
     assert got[4].sentence_ids == ["apache-ref", "apache-except", "apache-copy"]
 
 
+FILES = {
+    "MIT": ("mit-name", "grant-mit", "notice-mit"),
+    "ISC": ("grant-isc",),
+    "BSD-2-Clause": ("grant-bsd", "bsd-source", "bsd-binary"),
+    "BSD-3-Clause": ("grant-bsd", "bsd-source", "bsd-binary", "bsd-name"),
+    "Apache-2.0": ("apache-ref", "apache-except", "apache-copy"),
+    "GPL-2.0-only": ("gpl2-only", "gpl-hope", "gpl-see", "gpl-copy"),
+    "GPL-2.0-or-later": ("gpl2-later", "gpl-hope", "gpl-see", "gpl-copy"),
+    "GPL-3.0-or-later": ("gpl-later", "gpl-hope", "gpl-see", "gpl-copy"),
+    "LGPL-2.1-or-later": ("lgpl21-later", "lgpl-hope", "lgpl-see", "lgpl-copy"),
+    "AGPL-3.0-or-later": ("agpl-later", "gpl-hope", "agpl-see", "agpl-copy"),
+    "MPL-2.0": ("mpl-ref",),
+    "EPL-2.0": ("epl-ref",),
+    "Zlib": ("zlib-grant",),
+    "Unlicense": ("unlicense-domain", "unlicense-grant"),
+}
+#: Passages as they stand in licence files, with their marks.
+WRITTEN = {
+    "grant-mit": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
+    "bsd-source": "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "apache-ref": 'Licensed under the Apache License, Version 2.0 (the "License");',
+    "gpl-hope": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    "gpl2-later": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "gpl-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "mpl-ref": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "unlicense-grant": "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+}
+
+
+def test_wrapped_and_commented_licences(spark):
+    import textwrap
+
+    whole = lambda i: WRITTEN.get(i, licenses.SENTENCES[i][0].capitalize() + ".")
+    rows, want = [], {}
+    for name, ids in FILES.items():
+        for width in (72, 80):
+            for leader in ("", "# ", "// ", " * "):
+                text = ("\n" + leader.rstrip() + "\n").join("\n".join(leader + x for x in textwrap.wrap(whole(i), width)) for i in ids)
+                want[len(rows)] = [name]
+                rows.append((len(rows), f"{leader}Copyright (c) 2020 A. Person\n{leader.rstrip()}\n{text}\n\nimport os\n"))
+    got = {r.doc_id: r.licenses for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {k: (v, want[k]) for k, v in got.items() if v != want[k]} == {}
+
+
+def plain_ids(text):
+    """Joins of neighbouring pieces looked up one after the other, the longest first."""
+    pieces = [x for x in (" ".join(re.findall("[a-z0-9]+", p.lower())) for p in re.split(r"\n+|(?<=[.;:!?])[ \t\r]+", text or "")) if x]
+    known, out, at = dict(licenses.KNOWN), [], 0
+    while at < len(pieces):
+        ends = [e for e in range(at + 1, min(len(pieces), at + 120) + 1) if " ".join(pieces[at:e]) in known]
+        if ends:
+            out.append(known[" ".join(pieces[at : ends[-1]])])
+        at = ends[-1] if ends else at + 1
+    return out
+
+
+def test_sentences_are_those_of_plain_joins(spark, small, edges):
+    rng = random.Random(9)
+    words = [w for s, _ in licenses.KNOWN for w in s.split()]
+    cut = lambda s: "".join(w + rng.choice([" "] * 8 + ["\n", "; ", ". ", ":\n# ", ", ", " | "]) for w in s.split())
+    texts = ["".join(rng.choice(["\n", " ", ". ", "\n\n"]) + cut(rng.choice(licenses.KNOWN)[0] if rng.random() < 0.7 else " ".join(rng.sample(words, 5))) for _ in range(rng.randint(1, 6))) for _ in range(300)]
+    texts += ["mit license. " * 3000, "word " * 300000 + ".\nMIT License\n", "x" * 2_000_000 + "\nReleased under the MIT License."]
+    docs = list(enumerate(texts)) + [(1000 + i, t) for i, (_, t) in enumerate(pairs(small) + pairs(edges))]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.sentence_ids for r in licenses.scan_licenses(df).collect()}
+    assert {k: (got[k], plain_ids(t)) for k, t in docs if got[k] != plain_ids(t)} == {}
+    assert sum(map(len, got.values())) > 3000
+
+
 def test_language_model_base(edges, singles, small, nothing):
     for df in (small, singles):
         want = lm_base(pairs(df))
