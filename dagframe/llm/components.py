@@ -5,41 +5,45 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dagframe.llm.common import Scratch
+from dagframe.llm.common import BROADCAST_BYTES, Scratch
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFrame:
     """edges (a, b) of any comparable type -> (node, root), root the least node of its component, for all nodes with an edge.
 
     Every step works on edges alone, counts neighbours with partial aggregation and joins the
-    least neighbour back, so that a node with a third of all edges is no single task's work.
+    least neighbour back, so that a node with a third of all edges is no single task's work;
+    the least neighbours are broadcast where they were counted to be few, else written first.
     The number of rounds grows with the logarithm of the longest path.
     """
+    now, k = scratch.save(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-0"), 0
+
+    def state() -> tuple[int, bool]:
+        """The number of edges, and whether each leads from a node, which has no other, to one that has none."""
+        ends = now.select(F.col("a").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("in")).unionByName(now.select(F.col("b").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("in")))
+        nodes = ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("in").alias("in"))
+        row = nodes.agg(F.coalesce(F.sum("out"), F.lit(0)).alias("n"), F.count_if((F.col("out") > 1) | ((F.col("out") > 0) & (F.col("in") > 0))).alias("open")).first()
+        return row.n, not row.open
 
-    def stars(df: DataFrame, both: bool, save_as: str) -> DataFrame:
+    def stars(df: DataFrame, both: bool, few: bool, save_as: str) -> DataFrame:
         # large star: all neighbours, links to the greater ones move; small star: links to lesser ones move
         around = df.select(F.col("a").alias("u"), F.col("b").alias("v"))
         if both:
             around = around.unionByName(df.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = around.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        least = scratch.save(least, f"{save_as}-least")
+        least = F.broadcast(least) if few else scratch.save(least, f"{save_as}-least")
         joined = around.join(least, "u")
         moved = joined.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")) if both else joined.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
         out = scratch.save(moved.where("a > b").distinct(), save_as)
-        scratch.drop(f"{save_as}-least")
+        if not few:
+            scratch.drop(f"{save_as}-least")
         return out
 
-    now, k = scratch.save(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-0"), 0
-
-    def at_rest() -> bool:
-        # every edge leads from a node, which has no other, to one that has none
-        several = now.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a")
-        return several.unionByName(now.join(now.select(F.col("b").alias("a")), "a", "left_semi").select("a")).isEmpty()
-
-    while not at_rest():
+    while not (found := state())[1]:
         k += 1
-        large = stars(now, True, f"{name}-{k}-large")
-        now = stars(large, False, f"{name}-{k}")
+        few = 128 * found[0] <= BROADCAST_BYTES
+        large = stars(now, True, few, f"{name}-{k}-large")
+        now = stars(large, False, few, f"{name}-{k}")
         scratch.drop(f"{name}-{k}-large")
         scratch.drop(f"{name}-{k - 1}")
     return scratch.save(now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()), f"{name}-roots")

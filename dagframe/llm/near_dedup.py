@@ -48,6 +48,8 @@ BITS = 2
 SLACK = 6
 #: Rows and text bytes of a task's unit, and signatures of one.
 BLOCK_ROWS, BLOCK_BYTES, BLOCK_SIGNS = 2048, 6 << 20, 4096
+#: Pairs are confirmed one by one while their texts are at most so many times all texts.
+PAIR_TEXTS = 1
 
 
 def banding(percent: int) -> tuple[int, int]:
@@ -284,12 +286,14 @@ class _Search:
         found = held.select("cls", "text", "sign", "part", "side", "unit").groupBy("unit").applyInArrow(_confirmed(self.shingle, self.minima, self.percent), "a binary, b binary")
         return self.scratch.save(found.where("a <> b"), f"links-{self.runs}")
 
-    def followers(self, pairs: DataFrame) -> DataFrame:
-        """The links among pairs (a, b) of which every a has one."""
+    def followers(self, pairs: DataFrame, most_bytes: int | None = None) -> DataFrame | None:
+        """The links among pairs (a, b), for which the text of a goes to each b's task; none are looked for if these are more than so many bytes."""
         sized = pairs.join(self.classes.select(F.col("cls").alias("a"), "n_bytes"), "a")
         blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("n_bytes") / BLOCK_BYTES)).cast("int")
         leaders = self.scratch.save(sized.groupBy("b").agg(blocks.alias("blocks"), F.count(F.lit(1)).alias("n"), F.sum("n_bytes").alias("bytes")), f"leaders-{self.runs}")
         total = leaders.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), F.coalesce(F.sum("blocks"), F.lit(0)).alias("leaders")).first()
+        if most_bytes is not None and total.bytes > most_bytes:
+            return None
         units = 1 + max(2 * total.n // BLOCK_ROWS, 2 * total.bytes // BLOCK_BYTES)
         mine = pairs.join(leaders.select("b", "blocks"), "b").select(F.col("a").alias("cls"), "b", "blocks", F.pmod(F.xxhash64("a"), "blocks").cast("int").alias("block"), F.lit(1).alias("side"))
         theirs = leaders.select(F.col("b").alias("cls"), "b", "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("side"))
@@ -325,10 +329,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
 def _roots(search: _Search, scratch: Scratch) -> DataFrame:
     """(node, root) of all classes that are linked."""
     classes, minima, percent = search.classes, search.minima, search.percent
-    buckets = scratch.save(classes.select("cls", F.explode("bands").alias("bucket")), "buckets")
+    buckets = classes.select("cls", F.explode("bands").alias("bucket"))
     centres = scratch.save(buckets.groupBy("bucket").agg(F.min("cls").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1"), "centres")
     shared = scratch.save(buckets.join(centres, "bucket"), "shared")
-    scratch.drop("buckets")
 
     stars = shared.where("cls <> centre").select(F.col("cls").alias("a"), F.col("centre").alias("b")).distinct()
     first = search.signatures(stars).groupBy("a").agg(F.max_by("b", "about").alias("b"))
@@ -341,7 +344,7 @@ def _roots(search: _Search, scratch: Scratch) -> DataFrame:
     blocks = F.ceil(F.count(F.lit(1)) / BLOCK_SIGNS).cast("int")
     apart = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n"), blocks.alias("blocks"))
     apart = scratch.save(apart.where("low <> high").select("bucket", "n", "blocks"), "apart")
-    total = apart.agg(F.coalesce(F.sum(F.col("n") * F.col("blocks")), F.lit(0))).first()[0]
+    total = apart.agg(F.coalesce(F.sum(F.col("n") * F.col("blocks")), F.lit(0))).first()[0]  # rows of all blocks' pairs
     if not total:
         return roots
     member = labelled.join(apart, "bucket").withColumn("block", F.pmod(F.xxhash64("cls"), "blocks").cast("int")).withColumn("pair", F.explode(_block_pairs()))
@@ -351,8 +354,9 @@ def _roots(search: _Search, scratch: Scratch) -> DataFrame:
     member = member.join(classes.select("cls", "size", "sign"), "cls")
     pairs = member.groupBy("unit").applyInArrow(_alike(minima, percent), "a binary, b binary, about double")
     pairs = scratch.save(pairs.groupBy("a", "b").agg(F.max("about").alias("about")), "pairs")
-    if pairs.isEmpty():
-        return roots
+    found = search.followers(pairs, PAIR_TEXTS * classes.agg(F.sum("n_bytes")).first()[0])
+    if found is not None:
+        return components(links.unionByName(found), scratch, "near-2")
     second = scratch.save(pairs.groupBy("a").agg(F.max_by("b", "about").alias("b")), "second")
     links = links.unionByName(search.followers(second))
     roots = components(links, scratch, "near-2")

@@ -77,10 +77,12 @@ def test_buckets_in_blocks(small, monkeypatch):
     assert rows(near_duplicates(small), "doc_id", "component_id") == want
 
 
-def test_chains_of_texts_that_are_mostly_alike(spark):
+@pytest.mark.parametrize("pair_texts", [1, 0])
+def test_chains_of_texts_that_are_mostly_alike(spark, monkeypatch, pair_texts):
     """Each text changes a few words of the one before: neighbours are linked, distant ones meet in buckets and are not, and a second family is close but apart."""
     import random
 
+    monkeypatch.setattr(near_dedup, "PAIR_TEXTS", pair_texts)
     rng = random.Random(7)
     texts = []
     for _ in range(2):
