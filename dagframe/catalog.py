@@ -50,8 +50,7 @@ def _filter_query(name, table, column, operator, value, columns, sql_test):
     @query(f"SELECT {', '.join(columns)} FROM {table} WHERE {sql_test}", name)
     def run(spark, d):
         rows = t(spark, d, table)
-        texts = rows.withColumn(column, F.coalesce(F.col(column).cast("string"), F.lit("")))
-        return tabular.query(texts.select(*dict.fromkeys([*columns, column])), column, value, operator, limit=None).select(*[F.col(c).cast(rows.schema[c].dataType) if c == column else F.col(c) for c in columns])
+        return tabular.query(rows.select(*dict.fromkeys([*columns, column])), column, value, operator, limit=None).select(*columns)
 
 
 _filter_query("csv_query_eq", "customer", "c_mktsegment", "eq", "BUILDING", ["c_custkey", "c_name", "c_mktsegment"], "c_mktsegment = 'BUILDING'")
@@ -79,8 +78,8 @@ def _aggregate_query(name, table, column, operation, sql_value, group=None):
 
     @query(sql, name)
     def run(spark, d):
-        texts = tabular.as_texts(t(spark, d, table).select(*dict.fromkeys([column, *([group] if group else [])])))
-        out = tabular.aggregate(texts, column, operation, group)
+        rows = t(spark, d, table).select(*dict.fromkeys([column, *([group] if group else [])]))
+        out = tabular.aggregate(rows, column, operation, group)
         return out.withColumn("result", F.round("result", 2)) if operation in ("sum", "avg") else out
 
 
@@ -182,9 +181,9 @@ def expr_typed_rows(spark, d):
     return dataflow.passing_rows(t(spark, d, "events"), "event_type == 'click' && value >= 20 || event_type != 'view' && event_id < 100 && missing == null").select("event_id")
 
 
-@query("SELECT doc_id, CAST(i - 1 AS INTEGER) AS fan_out_index, ws[i] AS item FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws))) AS i FROM (SELECT doc_id, string_split(text, ' ') AS ws FROM documents WHERE lang = 'de'))")
+@query("SELECT doc_id, CAST(i - 1 AS INTEGER) AS fan_out_index, ws[i] AS item FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws))) AS i FROM (SELECT doc_id, string_split(text, ' ') AS ws FROM documents))")
 def fanout_posexplode(spark, d):
-    rows = t(spark, d, "documents").where("lang = 'de'").select("doc_id", F.split("text", " ").alias("ws"))
+    rows = t(spark, d, "documents").select("doc_id", F.split("text", " ").alias("ws"))
     return dataflow.fan_out(rows, "ws").select("doc_id", "fan_out_index", "item")
 
 
@@ -223,11 +222,11 @@ def cycle_bounded(spark, d):
     return outputs["step"].select("run_id", F.get_json_object("value", "$.n").cast("long").alias("n"))
 
 
-@query("SELECT CAST(o_orderkey AS VARCHAR) AS run_id, 'failed' AS status FROM orders WHERE o_orderkey < 2000")
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS run_id, 'failed' AS status FROM orders")
 def flow_untaken_branch_fails(spark, d):
     """A run that leaves a branch aside has a node without an end, and so fails."""
     branch = graphs.Graph("branch", (graphs.Node("in", "conditional"), graphs.Node("yes", "conditional"), graphs.Node("no", "conditional")), (graphs.Edge("y", "in", "yes", condition="p > 200000"), graphs.Edge("n", "in", "no", condition="p <= 200000")))
-    inputs = t(spark, d, "orders").where("o_orderkey < 2000").select(F.col("o_orderkey").cast("string").alias("run_id"), F.to_json(F.struct(F.col("o_totalprice").alias("p"))).alias("value"))
+    inputs = t(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("run_id"), F.to_json(F.struct(F.col("o_totalprice").alias("p"))).alias("value"))
     return Flow(branch).run(inputs)[1]
 
 
@@ -566,3 +565,6 @@ def adapter_langchain(spark, d):
     raw = F.to_json(F.struct(cb[F.col("event_type")].alias("callback"), F.concat(F.lit("tool"), (F.col("event_id") % 3).cast("string")).alias("tool_name"), F.struct(F.array(F.lit("langchain_x"), F.lit("Chain")).alias("id")).alias("serialized")))
     rows = t(spark, d, "events").select("event_id", raw.alias("raw"))
     return adapters.translated(rows, "langchain").select("event_id", F.col("type").alias("kind"), "name")
+
+
+from dagframe import catalog_more  # noqa: E402, F401 - registers further queries

@@ -46,9 +46,20 @@ def _literal(value) -> Operand:
     )
 
 
-def _at(data: Column, dotted: str) -> Operand:
-    v = variants.field(data, dotted)
-    return Operand(variants.kind(v), variants.as_double(v), variants.as_string(v), F.when(variants.kind(v) == "bool", F.try_variant_get(v, "$", "boolean")), variants.truthy(v))
+def _operands(data: Column, needs: dict[str, set[str]]) -> Column:
+    """What a condition asks of its paths, each looked up once: struct of the type name and of the values of the types asked for."""
+    fields = []
+    for i, (path, types) in enumerate(needs.items()):
+        fields.append(variants.kind(variants.field(data, path)).alias(f"k{i}"))
+        fields += [F.try_variant_get(data, variants.path_of(path), {"num": "double", "str": "string", "bool": "boolean"}[t]).alias(f"{t}{i}") for t in sorted(types)]
+    return F.struct(*fields)
+
+
+def _bound(row: Column, i: int, types: set[str]) -> Operand:
+    kind = row[f"k{i}"]
+    num, text, flag = (F.when(kind == t, row[f"{t}{i}"]) if t in types else F.lit(None).cast(c) for t, c in (("num", "double"), ("str", "string"), ("bool", "boolean")))
+    truth = F.when(kind == "null", False).when(kind == "num", num != 0).when(kind == "str", text != "").when(kind == "bool", flag).otherwise(True)
+    return Operand(kind, num, text, flag, truth)
 
 
 def compare(a: Operand, op: str, b: Operand) -> Column:
@@ -63,8 +74,32 @@ def compare(a: Operand, op: str, b: Operand) -> Column:
 
 
 def condition(text: str, data: Column) -> Column:
-    """A condition over the VARIANT column data; raises ValueError for what is no condition."""
-    return _build(text, lambda name: _at(data, name), _literal, compare, lambda x: x.truth)
+    """A condition over the VARIANT column data; raises ValueError for what is no condition.
+
+    The data and each of its paths are evaluated once a row, however often the condition names
+    them, and only as the types that the other sides can have.
+    """
+    needs: dict[str, set[str]] = {}
+    every = {"num", "str", "bool"}
+
+    def note(a, op, b) -> Column:
+        for one, other in ((a, b), (b, a)):
+            if one[0] == "path":
+                kind = every if other[0] == "path" else {"bool"} if isinstance(other[1], bool) else {"str"} if isinstance(other[1], str) else {"num"} if other[1] is not None else set()
+                needs[one[1]] = needs.get(one[1], set()) | kind
+        return F.lit(True)
+
+    def note_truth(x) -> Column:
+        if x[0] == "path":
+            needs[x[1]] = every
+        return F.lit(True)
+
+    _build(text, lambda name: ("path", name), lambda x: ("value", x), note, note_truth)
+    if not needs:
+        return _build(text, lambda name: _literal(None), _literal, compare, lambda x: x.truth)
+    place = {name: i for i, name in enumerate(needs)}
+    rows = F.transform(F.array(data), lambda d: _operands(d, needs))
+    return F.exists(rows, lambda row: _build(text, lambda name: _bound(row, place[name], needs[name]), _literal, compare, lambda x: x.truth))
 
 
 def row_condition(text: str, df: DataFrame) -> Column:

@@ -21,25 +21,20 @@ def field(v: Column, dotted: str) -> Column:
     return F.try_variant_get(v, path_of(dotted), "variant")
 
 
+def _base(v: Column) -> Column:
+    """The type's name without parameters: STRING, DECIMAL, OBJECT and the like."""
+    return F.substring_index(F.substring_index(F.schema_of_variant(v), "<", 1), "(", 1)
+
+
 def kind(v: Column) -> Column:
     """``null``, ``num``, ``str``, ``bool``, ``array`` or ``object``; never SQL null."""
-    name = F.schema_of_variant(v)
-    return (
-        F.when(v.isNull() | F.coalesce(F.is_variant_null(v), F.lit(True)), "null")
-        .when(name.startswith("ARRAY"), "array")
-        .when(name.startswith("OBJECT"), "object")
-        .when(name == "STRING", "str")
-        .when(name == "BOOLEAN", "bool")
-        .otherwise("num")
-    )
+    names = {"VOID": "null", "ARRAY": "array", "OBJECT": "object", "STRING": "str", "BOOLEAN": "bool"} | dict.fromkeys(NUMBERS, "num")
+    known = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
+    return F.when(v.isNull(), "null").otherwise(F.coalesce(F.try_element_at(known, _base(v)), F.lit("num")))
 
 
 def _is(v: Column, *types: str) -> Column:
-    name = F.schema_of_variant(v)
-    out = name.startswith(types[0])
-    for t in types[1:]:
-        out = out | name.startswith(t)
-    return out
+    return F.coalesce(_base(v).isin(*types), F.lit(False))
 
 
 NUMBERS = ("BIGINT", "DOUBLE", "DECIMAL", "FLOAT")

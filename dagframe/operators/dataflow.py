@@ -15,6 +15,10 @@ from dagframe.functions import variants
 from dagframe.functions.predicates import edge_condition, row_condition
 
 
+#: Edges of a flow, which are broadcast.
+MOST_EDGES = 10_000
+
+
 def port_value(output: Column, port: str) -> Column:
     """The output's field of the port's name if it has one, else the whole output."""
     at = variants.field(output, port)
@@ -73,10 +77,12 @@ def ready_nodes(edges: DataFrame, status: DataFrame, passed: DataFrame | None) -
     passed (run_id, edge_id), or None for the step after a failure, which asks no condition. Nodes
     that have a state are left out.
     """
-    if passed is None:
-        passed = status.select("run_id").distinct().join(F.broadcast(edges.select("edge_id")), how="cross")
+    if edges.limit(MOST_EDGES + 1).count() > MOST_EDGES:
+        raise ValueError(f"a flow has at most {MOST_EDGES} edges")
     runs = status.select("run_id").distinct()
-    wanted = runs.join(F.broadcast(edges), how="cross")  # a flow's edges: tens of rows, the same for every run
+    wanted = runs.join(F.broadcast(edges), how="cross")  # every run has the flow's edges, which were counted
+    if passed is None:
+        passed = wanted.select("run_id", "edge_id")
     done = wanted.join(status.withColumnRenamed("node_id", "from_node"), ["run_id", "from_node"], "left").join(passed.select("run_id", "edge_id", F.lit(True).alias("_passed")), ["run_id", "edge_id"], "left")
     per_node = done.groupBy("run_id", F.col("to_node").alias("node_id")).agg(F.bool_and(F.coalesce(F.col("state").isin("completed", "failed"), F.lit(False))).alias("_all"), F.bool_or(F.coalesce((F.col("state") == "completed") & F.col("_passed"), F.lit(False))).alias("_one"))
     return per_node.where("_all and _one").join(status.select("run_id", "node_id"), ["run_id", "node_id"], "left_anti").select("run_id", "node_id")

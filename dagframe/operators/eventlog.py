@@ -8,6 +8,7 @@ flow_id or event_type reach the scan.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import pandas as pd
@@ -82,39 +83,48 @@ NODE_DETAIL = "run_id string, node_id string, ordinal int, attempt int, fan_out_
 
 
 def node_details(log: DataFrame) -> DataFrame:
-    """Every attempt of every node, in order of start.
+    """Every attempt of every node; ordinal is its place in order of start.
 
     A completion ends the latest open attempt with its fan-out index, a failure the latest open
     one of any index. Rows are dealt by run and node and sorted, and each task goes through them
-    once, with one node's attempts in hand.
+    once, with the open attempts of one node in hand.
     """
     names = [c.split()[0] for c in NODE_DETAIL.split(", ")]
     kinds = {"ordinal": "int32", "attempt": "Int32", "fan_out_index": "Int32", "duration_ms": "Int64"}
+    columns = ("run_id", "node_id", "event_type", "attempt", "fan_out_index", "inputs", "outputs", "error", "duration_ms")
 
     def frame(rows: list[list]) -> pd.DataFrame:
         return pd.DataFrame(rows, columns=names).astype(kinds)
 
     def pair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, found, done = None, [], []
+        key, started, latest = None, 0, itertools.count()
+        # open attempts by fan-out index, in order of start, each with a number that grows
+        open_: dict[int | None, list[tuple[int, list]]] = {}
         for batch in batches:
+            done: list[list] = []
             plain = batch.astype(object).where(batch.notna(), None)
-            for run, node, kind, attempt, index, inputs, outputs, error, took in zip(*(plain[c] for c in ("run_id", "node_id", "event_type", "attempt", "fan_out_index", "inputs", "outputs", "error", "duration_ms")), strict=True):
+            for run, node, kind, attempt, index, inputs, outputs, error, took in zip(*(plain[c] for c in columns), strict=True):
                 if (run, node) != key:
-                    done += found
-                    key, found = (run, node), []
+                    done += [a for held in open_.values() for _, a in held]
+                    key, started, open_ = (run, node), 0, {}
                 if kind == "node_started":
-                    found.append([run, node, len(found), attempt, index, inputs, None, None, None])
+                    open_.setdefault(index, []).append((next(latest), [run, node, started, attempt, index, inputs, None, None, None]))
+                    started += 1
                     continue
                 ended = kind == "node_completed"
-                hit = next((a for a in reversed(found) if a[6] is None and a[7] is None and (not ended or a[4] == index)), None)
-                if hit and ended:
+                at = index if ended else max(open_, key=lambda i: open_[i][-1][0], default=None)
+                if at not in open_:
+                    continue
+                _, hit = open_[at].pop()
+                if not open_[at]:
+                    del open_[at]
+                if ended:
                     hit[6], hit[8] = outputs, took
-                elif hit:
+                else:
                     hit[7] = error
-            if done:
-                yield frame(done)
-                done = []
-        yield frame(found)
+                done.append(hit)
+            yield frame(done)
+        yield frame([a for held in open_.values() for _, a in held])
 
     rows = of_type(log, "node_started", "node_completed", "node_failed").select("run_id", "node_id", "seq", "event_type", "attempt", "fan_out_index", "inputs", "outputs", "error", "duration_ms")
     return rows.repartition("run_id", "node_id").sortWithinPartitions("run_id", "node_id", "seq").mapInPandas(pair, NODE_DETAIL)

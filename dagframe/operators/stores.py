@@ -50,9 +50,9 @@ def version_history(versions: DataFrame, flow_id: str, offset: int = 0, limit: i
 
 
 def version_pair(versions: DataFrame, first: str, second: str) -> DataFrame:
-    """One row with both graphs, none unless both versions exist."""
-    side = lambda v, name: versions.where(F.col("version_id") == v).select(F.lit(1).alias("_k"), F.col("graph").alias(name)).limit(1)
-    return side(first, "first_graph").join(side(second, "second_graph"), "_k").drop("_k")
+    """One row with both graphs; reading it fails where a version is missing."""
+    side = lambda v: F.coalesce(F.any_value(F.when(F.col("version_id") == v, F.col("graph")), True), F.raise_error(f"version not found: {v}").cast("string"))
+    return versions.where(F.col("version_id").isin(first, second)).agg(side(first).alias("first_graph"), side(second).alias("second_graph"))
 
 
 def saved_versions(heads: DataFrame, versions: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:

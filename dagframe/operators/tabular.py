@@ -1,15 +1,19 @@
 """Questions to a table of texts: its columns, filtered rows, aggregates.
 
-Fields are strings; numbers are what ``as_number`` takes. Rows have a place in the table where
+Fields are strings, whose numbers are what ``as_number`` takes, or typed columns: comparisons with
+numeric ones are plain, so that filters reach the scan, and aggregates read no texts. Rows have a place in the table where
 first rows are asked for, given as a column to order by.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from dagframe.functions.numeric import as_number, finite, ordered
+from dagframe.functions.numeric import NUMBER, as_number, finite, ordered
 
 OPERATORS = ("eq", "contains", "gt", "lt", "gte", "lte")
 OPERATIONS = ("sum", "avg", "min", "max", "count")
@@ -34,12 +38,26 @@ def list_columns(df: DataFrame, order: str, sample: int = 3) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("row_count")).crossJoin(shown).select(names.alias("columns"), "sample_rows", "row_count")  # one row each
 
 
-def matches(column: str, operator: str, value) -> Column:
-    """Whether a text field answers to an operator; numbers as values are compared by their text for eq and contains."""
+def _typed(df: DataFrame | None, column: str) -> bool:
+    return df is not None and isinstance(df.schema[column].dataType, T.NumericType)
+
+
+def matches(column: str, operator: str, value, df: DataFrame | None = None) -> Column:
+    """Whether a field answers to an operator; numbers as values are compared by their text for eq and contains. df tells a typed column from a text."""
     if operator not in OPERATORS:
         raise ValueError(f"unknown operator: {operator}")
     text = value if isinstance(value, str) else str(value).lower() if isinstance(value, bool) else str(value)
     field = F.col(column)
+    if _typed(df, column) and operator in ("gt", "lt", "gte", "lte"):
+        limit = float(text) if re.fullmatch(NUMBER.strip("^$"), text) else float("nan")
+        if limit != limit:
+            return F.lit(False)
+        test = {"gt": field > limit, "lt": field < limit, "gte": field >= limit, "lte": field <= limit}[operator]
+        if operator in ("gt", "gte") and isinstance(df.schema[column].dataType, (T.DoubleType, T.FloatType)):
+            test = test & ~F.isnan(field)  # NaN is above all to Spark
+        return test
+    if _typed(df, column):
+        field = F.coalesce(field.cast("string"), F.lit(""))
     if operator == "eq":
         return field == text
     if operator == "contains":
@@ -53,7 +71,7 @@ def query(df: DataFrame, column: str, value, operator: str = "eq", limit: int |
     """Matching rows; with a limit the first ones by order, and one even if the limit is 0. Without a limit all of them."""
     if column not in df.columns:
         raise ValueError(f"column {column!r} not found")
-    found = df.where(matches(column, operator, value))
+    found = df.where(matches(column, operator, value, df))
     if limit is None:
         return found
     return (found.orderBy(order) if order else found).limit(max(limit, 1))
@@ -69,15 +87,17 @@ def query_report(df: DataFrame, column: str, value, operator: str = "eq", limit:
 def aggregate(df: DataFrame, column: str, operation: str, group_by: str | None = None) -> DataFrame:
     """sum, avg, min, max over the fields that are numbers, or count of the rows; result is null where there are none.
 
+    An unknown operation fails when it is read, unless there is nothing to aggregate, which gives null.
     With group_by, groups without a number are absent (count has all). The order of addition is
     Spark's, so the last digits of a sum may differ from those of a sequential one.
     """
-    if operation not in OPERATIONS:
-        raise ValueError(f"unknown aggregate operation: {operation}")
     for c in (column, group_by):
         if c is not None and c not in df.columns:
             raise ValueError(f"column {c!r} not found")
-    n = as_number(F.col(column))
+    n = F.col(column).cast("double") if _typed(df, column) else as_number(F.col(column))
+    if operation not in OPERATIONS:
+        wrong = F.when(F.count(n) > 0, F.raise_error(f"unknown aggregate operation: {operation}").cast("double"))
+        return df.groupBy(*([group_by] if group_by else [])).agg(wrong.alias("result"))
     known = F.count(F.lit(1) if operation == "count" else n)
     result = {"sum": F.sum(n), "avg": F.avg(n), "min": F.coalesce(F.min(ordered(n)), F.lit(float("inf"))), "max": F.coalesce(F.max(ordered(n)), F.lit(float("-inf"))), "count": F.count(F.lit(1)).cast("double")}[operation]
     grouped = df.groupBy(*([group_by] if group_by else [])).agg(known.alias("_known"), result.alias("result"))

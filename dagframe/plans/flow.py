@@ -4,17 +4,21 @@ Nodes are functions from (run_id, value) to (run_id, value) with JSON texts as v
 by type. Along each edge go the runs whose output meets its condition; a node gets the merged
 input of the runs that are ready for it; entry nodes get the runs' inputs. Arrays that a
 fan-out edge carries spread over rows and are gathered by index behind the node. A cycle, which
-is a back edge, takes the runs whose condition holds through its nodes again, at most
-``max_traversals`` times.
+is a back edge, takes the runs whose condition holds through its nodes again; a run goes along
+each back edge at most ``max_traversals`` times. What several edges take from a node is written
+once, so that plans grow with the graph.
 
 Deviations, as all runs move together: nodes run in the order in which they are declared where
 the graph leaves it open; of several edges to one port the last declared wins; a node that
-fails does so for all runs, so failures of single runs are values with an ``error`` field.
+fails does so for all runs, so failures of single runs are values with an ``error`` field, and
+edges behind them are asked their conditions as any (``dataflow.ready_nodes`` has the step
+after a failure that asks none).
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -86,25 +90,34 @@ class Flow:
     def run(self, inputs: DataFrame, checkpoint: Callable[[DataFrame, str], DataFrame] | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
         """(outputs of each node, status of each run) for inputs (run_id, value).
 
-        In flows with cycles checkpoint(df, name) writes and rereads what a round gives, as plans
-        would grow with every round; by default in the shared folder.
+        checkpoint(df, name) writes and rereads what a round of a cycle gives, and what more than
+        one edge takes from a node, as plans would grow with every use; by default in the shared folder.
         """
         if checkpoint is None:
-            checkpoint = round_writer(inputs.sparkSession) if self.back else lambda df, name: df
+            checkpoint = round_writer(inputs.sparkSession)
         outputs: dict[str, DataFrame] = {}
         for node in self.order():
-            outputs[node] = checkpoint(self._first(node, inputs, outputs), f"first-{node}")
-        for k in range(self.max_traversals if self.back else 0):
-            again = [(e, i) for i, e in enumerate(self.graph.edges) if e.id in self.back]
-            moving = [self._along(e, outputs[e.from_node] if k == 0 else fresh[e.from_node], i).withColumn("to_node", F.lit(e.to_node)) for e, i in again if k == 0 or e.from_node in fresh]
+            rows = self._first(node, inputs, outputs)
+            shared = self.back or sum(e.from_node == node for e in self.graph.edges) > 1
+            outputs[node] = checkpoint(rows, f"first-{node}") if shared else rows
+        again = [(e, i) for i, e in enumerate(self.graph.edges) if e.id in self.back]
+        gone: list[DataFrame] = []  # (run_id, edge_ordinal) of each round
+        k, fresh = -1, outputs
+        while self.back:
+            k += 1
+            moving = [self._along(e, fresh[e.from_node], i).withColumn("to_node", F.lit(e.to_node)) for e, i in again if e.from_node in fresh]
             if not moving:
                 break
             moved = moving[0]
             for more in moving[1:]:
                 moved = moved.unionByName(more)
+            if k >= self.max_traversals:  # no run can have gone along an edge so often before
+                often = reduce(DataFrame.unionByName, gone).groupBy("run_id", "edge_ordinal").count().where(F.col("count") >= self.max_traversals)
+                moved = moved.join(often, ["run_id", "edge_ordinal"], "left_anti")
             moved = checkpoint(moved, f"round-{k}")
             if moved.isEmpty():
                 break
+            gone.append(moved.select("run_id", "edge_ordinal"))
             fresh = {}
             for node in self.order():
                 parts = [moved.where(F.col("to_node") == node).drop("to_node")] if any(e.to_node == node for e, _ in again) else []

@@ -38,11 +38,10 @@ def live_runs(events: DataFrame) -> DataFrame:
 
 
 def trigger_stream(triggers: DataFrame, delay: str | None = None) -> DataFrame:
-    """Triggers without repeats of their keys; those without a key all pass. The two kinds are told apart by a stand-in key that is never equal."""
-    key = F.coalesce("idempotency_key", F.concat(F.lit("\0"), F.uuid()))
-    marked = triggers.withColumn("_key", key)
-    kept = marked.dropDuplicates(["_key"]) if delay is None else marked.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["_key"])
-    return kept.drop("_key")
+    """Triggers without repeats of their keys; those without a key all pass and leave no state. With a delay, which bounds the state, only repeats within it are known."""
+    keyed = triggers.where("idempotency_key is not null")
+    kept = keyed.dropDuplicates(["idempotency_key"]) if delay is None else keyed.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["idempotency_key"])
+    return kept.unionByName(triggers.where("idempotency_key is null"))
 
 
 def chain_stream(events: DataFrame, source_flow: str, target_flow: str, statuses: tuple[str, ...] = ("completed",)) -> DataFrame:

@@ -46,8 +46,13 @@ def test_aggregates(sales):
     assert by("sum") == {"Accessories": 10, "Electronics": 2} and by("count") == {"Accessories": 2, "Electronics": 1, "Furniture": 2}
     empty = sales.where("false")
     assert [tabular.aggregate(empty, "quantity", op).first().result for op in tabular.OPERATIONS] == [None] * 5
-    with pytest.raises(ValueError):
-        tabular.aggregate(sales, "quantity", "median")
+    assert tabular.aggregate(empty, "quantity", "median").first().result is None
+    with pytest.raises(Exception, match="unknown aggregate operation: median"):
+        tabular.aggregate(sales, "quantity", "median").collect()
+    typed = sales.selectExpr("cast(quantity as double) AS quantity", "category")
+    assert tabular.aggregate(typed, "quantity", "sum").first().result == 12
+    assert tabular.query(typed, "quantity", "2", "gt", limit=None).count() == tabular.query(sales, "quantity", "2", "gt", limit=None).count()
+    assert tabular.query(typed, "quantity", "two", "gt", limit=None).count() == 0
 
 
 CATALOG = [("A", "Wired Mouse", "basic", "Mice", 10.0, 3, 0), ("B", "Board", "clicky mouse friend", "Keyboards", 50.0, 0, 1), ("C", "Hub", None, "Cables", None, None, 2), ("A", "Second A", "x", "Mice", 1.0, 9, 3), ("D", "Cam", "x", "Webcams", 10.0, -1, 4)]
@@ -222,7 +227,9 @@ def test_saved_versions(spark):
     assert v2.count() == 2 and [r.graph for r in stores.current_versions(h2, v2).collect()] == ["g2"]
     assert [r.graph for r in stores.version_history(v2, "f").collect()] == ["g2", "g1"]
     a, b = (r.version_id for r in v2.orderBy("created_at").collect())
-    assert tuple(stores.version_pair(v2, a, b).first()) == ("g1", "g2") and stores.version_pair(v2, a, "none").count() == 0
+    assert tuple(stores.version_pair(v2, a, b).first()) == ("g1", "g2")
+    with pytest.raises(Exception, match="version not found: none"):
+        stores.version_pair(v2, a, "none").collect()
 
 
 def test_triggers(spark):

@@ -20,12 +20,44 @@ def nodes(*names):
 def test_csv(spark, tmp_path):
     good = tmp_path / "good.csv"
     good.write_text('a,b,c\n1,,"x ""q"" y"\n2,"two\nlines",\\z\n')
-    assert [tuple(r) for r in files.csv_table(spark, str(good)).collect()] == [("1", "", 'x "q" y'), ("2", "two\nlines", "\\z")]
+    assert [tuple(r) for r in files.csv_table(spark, str(good), multi_line=True).collect()] == [("1", "", 'x "q" y'), ("2", "two\nlines", "\\z")]
     bad = tmp_path / "bad.csv"
     bad.write_text("a,b\n1,2\n3\n4,5,6\n")
     with pytest.raises(Exception, match="MALFORMED|FAILED_READ"):
         files.csv_table(spark, str(bad)).select("a").collect()
     assert files.csv_table(spark, str(bad), strict=False).count() == 3
+    assert spark.conf.get("spark.sql.csv.parser.columnPruning.enabled") == "true"
+
+
+def test_appends_read_only_the_folders_of_their_runs(spark, tmp_path):
+    path = str(tmp_path / "log")
+    batch = lambda runs, seqs: spark.createDataFrame([(f"r{r}", s) for r in runs for s in seqs], "run_id string, seq long")
+    files.append_events(spark, batch(range(40), [0, 1]), path)
+    folders = {p.name for p in (tmp_path / "log").iterdir() if p.is_dir()}
+    assert len(folders) > 20
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "log").rglob("*.parquet")}
+    files.append_events(spark, batch([3, 3], [1, 2]), path)
+    fresh = [p for p in (tmp_path / "log").rglob("*.parquet") if p not in before]
+    assert len({p.parent.name for p in fresh}) == 1
+    rows = files.log_table(spark, path)
+    assert rows.count() == 81 and [r.seq for r in files.log_table(spark, path, "r3").collect()] == [0, 1, 2]
+    plan = files.log_table(spark, path, "r3")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan
+
+
+def test_two_back_edges_have_limits_of_their_own(spark):
+    """y leads back to x while n is below the run's limit, x to itself while n is 1."""
+    from dagframe import catalog_more
+
+    inputs = spark.createDataFrame([(str(k), f'{{"n": 2, "limit": {k}}}') for k in range(30)], "run_id string, value string")
+    outputs, _ = Flow(catalog_more._TWO_LOOPS, {"add": scalar(catalog_more._add)}, max_traversals=5).run(inputs)
+    got = {int(r.run_id): r.n for r in outputs["y"].selectExpr("run_id", "cast(get_json_object(value, '$.n') as long) AS n").collect()}
+    # from 2 on b2 never passes: y ends at 4, then 2 more each time it goes back, 5 times at most
+    assert got == {k: 4 + 2 * min(5, max(0, -(-(k - 4) // 2))) for k in range(30)}
+    first = spark.createDataFrame([("r", '{"n": 0, "limit": 100}')], "run_id string, value string")
+    ended = Flow(catalog_more._TWO_LOOPS, {"add": scalar(catalog_more._add)}, max_traversals=5).run(first)[0]["y"].first().value
+    # b2 wins x's port the first time, when both lead there; y goes back four times more
+    assert json.loads(ended)["n"] == 3 + 2 * 4
 
 
 def test_json_files(spark, tmp_path):
