@@ -12,7 +12,8 @@ last sequence may be short.
 
 Defined results: a null text is empty and packs as its end token; a null source is a queue of its
 own; with weights, sources that have none follow those that do, by what they hold; rows that
-repeat are packed as often; a null key stays null; an empty table gives an empty table; only the key, text and source
+repeat are packed as often; a null key stays null; a text of any length is encoded whole, by the
+task that has its row, and cut into as many pieces as it needs; an empty table gives an empty table; only the key, text and source
 columns are read, so other columns cannot clash.
 """
 

@@ -7,8 +7,8 @@ piece goes on after a word's end, texts are first cut before each run of markers
 no id and lets the library reuse words. Batches are encoded with the library's own threads.
 ``verify`` holds a rebuilt tokenizer against another encoder, such as the sentencepiece library.
 
-Defined results: a null text encodes as an empty one, to no ids; repeated rows come back as
-often; an empty table gives an empty table; only the key and text columns are read, so other
+Defined results: a null text encodes as an empty one, to no ids; a text of any length is encoded
+whole, by the task that has its row; null keys and repeated rows come back as often as they occur; an empty table gives an empty table; only the key and text columns are read, so other
 columns cannot clash.
 """
 

@@ -5,8 +5,14 @@ windows. Failures are then counted by host (a column such as ``source``), each h
 is shrunk towards the corpus by a beta prior that is fitted to all hosts by its moments, and
 a host whose shrunk rate is above a limit is rejected with all its documents.
 
-Defined results: a null or blank text has no words and fails; a null host is a host of its
-own; repeated rows count as often as they occur and come back as often; only the key, text and
+A host's rate has to be above four fifths: fewer than one in five of its documents would be
+clean, so that rejecting it costs few of these. The shrinking decides for small hosts, whose few
+failures say little: with the prior of a corpus where a tenth of the documents fail, a host goes
+when some tens of documents agree, not when its only three do.
+
+Defined results: a null or blank text has no words and fails; a text of any length is counted
+whole; null keys are rows as any; a null host is a host of its own; repeated rows count as often
+as they occur and come back as often; only the key, text and
 host columns are read, so other columns cannot clash; an empty table gives an empty table.
 """
 
@@ -15,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dagframe.llm.common import BLANKS, BROADCAST_BYTES, Scratch, table
+from dagframe.llm.common import BLANKS, BROADCAST_BYTES, Scratch, free_name, table
 
 MIN_WORDS = 20
 REPEAT_PERCENT = 30
@@ -101,11 +107,12 @@ def _judged(docs: DataFrame, key: str, text: str, host: str, min_words: int, rep
 
 
 def drop_rejected(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
-    """The input's rows that the rules keep, with all columns (the name ``_quality_uid`` is reserved)."""
+    """The input's rows that the rules keep, with all columns."""
+    name = free_name(docs, "_quality_uid")
     judged = _judged(docs, key, text, host, MIN_WORDS, REPEAT_PERCENT, HOST_RATE)
-    gone = Scratch(docs.sparkSession, "quality-gone").save(judged.where("not kept").select(F.col("_uid").alias("_quality_uid")).distinct(), "gone")
+    gone = Scratch(docs.sparkSession, "quality-gone").save(judged.where("not kept").select(F.col("_uid").alias(name)).distinct(), "gone")
     small = 40 * gone.count() <= BROADCAST_BYTES
-    return docs.withColumn("_quality_uid", F.xxhash64(key, text)).join(F.broadcast(gone) if small else gone, "_quality_uid", "left_anti").drop("_quality_uid")
+    return docs.withColumn(name, F.xxhash64(key, text)).join(F.broadcast(gone) if small else gone, name, "left_anti").drop(name)
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

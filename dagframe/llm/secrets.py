@@ -9,7 +9,8 @@ the parts of a run beside base spans. Known digests (32, 40, 56, 64, 96
 or 128 hexadecimal digits), UUIDs, runs without a letter or without a digit and dotted or dashed
 identifiers made of plain words and numbers are left out before, as is what overlaps a base span itself.
 
-Defined results: a null text is empty and has no spans; rows that repeat come back as often;
+Defined results: a null text is empty and has no spans; a text of any length is scanned whole, in
+time that grows with it; null keys and rows that repeat come back as often as they occur;
 ties in start are ordered by kind as listed; an empty table gives an empty table; only the key
 and text columns are read, so other columns cannot clash, and ``redact`` passes them through.
 """

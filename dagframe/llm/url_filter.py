@@ -10,7 +10,8 @@ learner only.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path, no rule fits it
 and the trees judge it by the URL's text (null: empty); with no labelled URLs the verdict is
-``allow``, with a single class that class; repeated rows come back as often; an empty table
+``allow``, with a single class that class; a URL of any length is read whole; null keys and repeated
+rows come back as often as they occur; an empty table
 gives an empty table; only the key and URL columns are read, so other columns cannot clash.
 """
 

@@ -116,6 +116,14 @@ def test_pairs_at_the_threshold_meet(percent):
             assert similarity(signs[0], signs[1:], n)[0] >= near_dedup.least_estimate(percent, n)
 
 
+def test_near_duplicates_among_texts_of_megabytes(spark):
+    words = [f"w{k * 7919 % 100003}" for k in range(150000)]
+    near_copy = words[:70000] + ["other"] + words[70001:]
+    docs = [(1, " ".join(words)), (2, " ".join(near_copy)), (None, "x" * 1_500_000), (4, " ".join(words[:100000])), (None, " ".join(words)), (None, " ".join(words))]
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(2)).collect())
+    assert got == Counter({(1, 149996, 1): 1, (2, 149996, 1): 1, (None, 149996, 1): 2, (None, 1, None): 1, (4, 99996, 4): 1})
+
+
 def test_drop_keeps_one_of_each(edges):
     from pyspark.sql import functions as F
 

@@ -30,6 +30,45 @@ def test_bad_hosts_are_rejected_and_clean_ones_kept(spark):
     assert not got[200] and got[100] and not got[201] and got[202]
 
 
+def test_shrinking_decides_for_small_hosts(spark):
+    """Forty hosts: in most a tenth of the documents fail; of two that fail wholly, the one with many documents takes its clean one along."""
+    good = " ".join(f"word{i}" for i in range(40))
+    rows = [(100 * h + i, "bad" if i % 10 == 0 else good, f"host{h}") for h in range(38) for i in range(50)]
+    rows += [(90000 + i, "bad", "small") for i in range(3)] + [(91000, good, "small")] + [(92000 + i, "bad", "large") for i in range(200)] + [(93000, good, "large")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in quality_rules.quality_rules(df).collect()}
+    assert got[91000].kept and not got[93000].kept and not got[93000].base_failed
+    assert got[91000].host_rate < 0.8 < got[93000].host_rate
+    assert all(got[100 * h + i].kept == (i % 10 != 0) for h in range(38) for i in range(50))
+    kept = {r.doc_id for r in quality_rules.drop_rejected(df.withColumn("_quality_uid", df.doc_id)).collect()}
+    assert kept == {k for k, r in got.items() if r.kept}
+
+
+@pytest.fixture(scope="module")
+def long_rows(spark):
+    """Null ids beside texts of megabytes: one word, one line of many words, many lines, many spans."""
+    rng = random.Random(11)
+    words = [f"w{rng.randrange(5000)}" for _ in range(250000)]
+    texts = ["x" * 1_500_000, " ".join(words), "\n".join(" ".join(words[k : k + 9]) for k in range(0, 200000, 9)), "password=hunter22 " * 60000, "short text here", None]
+    rows = [(None if k % 2 else k, t, f"s{k % 2}") for k, t in enumerate(texts)]
+    return spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+
+
+def test_texts_of_megabytes_and_null_ids(long_rows):
+    docs = pairs(long_rows)
+    got = Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in quality_rules.quality_rules(long_rows).collect())
+    assert got == Counter((k, *quality(t)) for k, t in docs)
+    assert Counter((r.doc_id, r.n_assign) for r in secrets.secret_spans(long_rows).collect()) == Counter((k, (t or "").count("password=hunter22")) for k, t in docs)
+    assert Counter((r.doc_id, r.licenses == []) for r in licenses.scan_licenses(long_rows).collect()) == Counter((k, True) for k, _ in docs)
+    tokens = Counter((r.doc_id, r.n_tokens) for r in language_model.lm_scores(long_rows).collect())
+    assert tokens == Counter((k, len((t or "").split()) + 1) for k, t in docs)
+    held = Counter()
+    for r in packing.pack(long_rows).select("doc_id", "doc_tokens", "length").collect():
+        held[r.doc_id, r.doc_tokens] += r.length
+    assert len(held) == len(docs) and all(n == whole for (_, whole), n in held.items())
+    assert all(r.round_trip for r in pieces.encode_documents(long_rows).collect())
+
+
 def test_secret_spans(edges, singles, nothing):
     rows = {r.doc_id: r for r in secrets.secret_spans(singles).collect()}
     assert (rows[17].n_assign, rows[17].n_access, rows[17].n_hex) == (1, 1, 1)
