@@ -224,7 +224,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, scratch: Scratch | Non
     left_over = judged.where("not done").select("gram", "doc", "place")
     finished = classes.join(scratch.save(left_over.select("gram").distinct(), "open_grams"), "gram", "left_semi")
     rest = left_over.select("doc", "place").unionByName(finished.select("doc", "place"))
-    rest = scratch.save(rest.groupBy("doc").agg(F.collect_list("place").alias("places")), "rest")
+    rest = scratch.save(rest.groupBy("doc").agg(F.collect_set("place").alias("places")), "rest")
     with_text = attach(long_enough, rest, ["doc"], _size(rest, "places"), "inner")
     blocks = scratch.save(with_text.mapInArrow(_blocks(length), "core long, doc long, start long, mask long, before long, behind long"), "blocks")
     blocks = scratch.save(blocks.join(shared(blocks, ["core"], "cores"), "core", "left_semi"), "open")
@@ -236,7 +236,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, scratch: Scratch | Non
 
     runs = judged.where("done").select("doc", F.expr("shiftleft(shiftright(place, 16), 16) | (shiftright(place, 8) & 255)").alias("place"))
     runs = runs.unionByName(twice.select("doc", F.expr("shiftleft(at, 16)").alias("place")))
-    merged = runs.groupBy("doc").agg(F.collect_list("place").alias("places")).mapInArrow(_merged(length), "doc long, spans array<long>")
+    merged = runs.groupBy("doc").agg(F.collect_set("place").alias("places")).mapInArrow(_merged(length), "doc long, spans array<long>")
     spans = scratch.save(merged, "spans")
     scratch.only("spans")
     return spans
