@@ -7,13 +7,17 @@ from pyspark.sql import functions as F
 
 from dagframe.llm.common import BROADCAST_BYTES, Scratch
 
+#: Files of a table of few edges.
+FEW_FILES = 8
+
 
 def components(edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFrame:
     """edges (a, b) of any comparable type -> (node, root), root the least node of its component, for all nodes with an edge.
 
     Every step works on edges alone, counts neighbours with partial aggregation and joins the
     least neighbour back, so that a node with a third of all edges is no single task's work;
-    the least neighbours are broadcast where they were counted to be few, else written first.
+    where edges were counted to be few, the least neighbours are broadcast rather than written
+    first, and the tables of a round have few files.
     The number of rounds grows with the logarithm of the longest path.
     """
     now, k = scratch.save(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-0"), 0
@@ -34,16 +38,21 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFram
         least = F.broadcast(least) if few else scratch.save(least, f"{save_as}-least")
         joined = around.join(least, "u")
         moved = joined.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")) if both else joined.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-        out = scratch.save(moved.where("a > b").distinct(), save_as)
+        moved = moved.where("a > b").distinct()
+        out = scratch.save(moved.coalesce(FEW_FILES) if few else moved, save_as)
         if not few:
             scratch.drop(f"{save_as}-least")
         return out
 
-    while not (found := state())[1]:
+    while True:
+        n, rest = state()
+        few = 128 * n <= BROADCAST_BYTES
+        if rest:
+            break
         k += 1
-        few = 128 * found[0] <= BROADCAST_BYTES
         large = stars(now, True, few, f"{name}-{k}-large")
         now = stars(large, False, few, f"{name}-{k}")
         scratch.drop(f"{name}-{k}-large")
         scratch.drop(f"{name}-{k - 1}")
-    return scratch.save(now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()), f"{name}-roots")
+    roots = now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    return scratch.save(roots.coalesce(FEW_FILES) if few else roots, f"{name}-roots")

@@ -10,8 +10,11 @@
     partner of each class is confirmed on the full shingle sets: a text goes to one task, a
     partner's to as many as its followers fill. Links found join classes to components.
 4.  Buckets whose classes are not all in one component by then have their classes of different
-    components compared by signatures, in blocks of them; the likeliest pair of each class is
-    confirmed as before, and what is still apart then, in blocks of texts of bounded size.
+    components compared by signatures, in blocks of them; a class that is like others names one
+    of its group there and its likeliest partner. Groups that come of it go to tasks with their
+    texts, large ones as pairs of blocks of bounded size, where what is not connected yet is
+    confirmed. Where blocks would repeat the texts of large groups, the likeliest partners are
+    confirmed first, as in step 3, and only what is still apart goes on.
 
 ``rows`` and ``bands`` follow from the threshold: the chance that a pair just at the threshold
 meets in no bucket is below MISS. No bucket, group or number of partners is capped.
@@ -48,8 +51,8 @@ BITS = 2
 SLACK = 6
 #: Rows and text bytes of a task's unit, and signatures of one.
 BLOCK_ROWS, BLOCK_BYTES, BLOCK_SIGNS = 2048, 6 << 20, 4096
-#: Pairs are confirmed one by one while their texts are at most so many times all texts.
-PAIR_TEXTS = 1
+#: Groups go to blocks at once while these hold their texts at most so many times.
+REPEATED = 2
 
 
 def banding(percent: int) -> tuple[int, int]:
@@ -143,9 +146,12 @@ class _Groups:
             self.of[np.isin(self.of, labels)] = labels[0]
 
 
-def linked(sets: list[np.ndarray], signs: np.ndarray, side: np.ndarray, minima: int, percent: int) -> np.ndarray:
-    """Component label of each set of one group; with two sides, only pairs across them are looked at."""
+def linked(sets: list[np.ndarray], signs: np.ndarray, side: np.ndarray, minima: int, percent: int, known: np.ndarray | None = None) -> np.ndarray:
+    """Component label of each set of one group; with two sides, only pairs across them are looked at. Sets that have the same number in known are connected."""
     m, groups, across = len(sets), _Groups(len(sets)), len(np.unique(side)) > 1
+    if known is not None:
+        _, first, place = np.unique(known, return_index=True, return_inverse=True)
+        groups.of = first[place]
     cut = least_estimate(percent, minima)
     sizes = np.array([len(s) for s in sets])
     shared = None
@@ -198,10 +204,11 @@ def _confirmed(shingle: int, minima: int, percent: int):
             if class_id(s) == cls[i]:  # else a row of another text whose hash is the same
                 rows.setdefault(group[i], {}).setdefault(cls[i], i)
         side, signs = np.asarray(unit.column("side").combine_chunks()), unit.column("sign").to_pylist()
+        known = np.unique(unit.column("label").to_pylist(), return_inverse=True)[1]
         out_a, out_b = [], []
         for members in rows.values():
             at = [members[c] for c in sorted(members)]
-            labels = linked([sets[i] for i in at], np.stack([np.frombuffer(signs[i], np.uint64) for i in at]), side[at], minima, percent)
+            labels = linked([sets[i] for i in at], np.stack([np.frombuffer(signs[i], np.uint64) for i in at]), side[at], minima, percent, known[at])
             out_a += [cls[i] for i in at]
             out_b += [cls[at[k]] for k in labels]
         return pa.table([pa.array(out_a, pa.binary()), pa.array(out_b, pa.binary())], ["a", "b"])
@@ -224,22 +231,27 @@ def _likely(minima: int, percent: int):
     return run
 
 
+ALIKE = "cls binary, label binary, partner binary, about double, root binary"
+
+
 def _alike(minima: int, percent: int):
-    """The pairs of a bucket's block, or across two of its blocks, whose components differ and that signatures and sizes don't rule out."""
+    """For each class of a bucket's block, or across two of its blocks, that signatures and sizes hold like one of another component: the likeliest such class, and one of all that are connected so."""
     cut = least_estimate(percent, minima)
 
     def run(unit: pa.Table) -> pa.Table:
         unit = unit.combine_chunks()
         _, part = np.unique(unit.column("part").to_pylist(), return_inverse=True)
         order = np.argsort(part, kind="stable")
-        _, label = np.unique(unit.column("label").to_pylist(), return_inverse=True)
+        names = unit.column("label").to_pylist()
+        _, label = np.unique(names, return_inverse=True)
         cls = unit.column("cls").to_pylist()
         signs = np.frombuffer(b"".join(unit.column("sign").to_pylist()), np.uint64).reshape(len(cls), -1)
         side, size = (np.asarray(unit.column(c).combine_chunks()) for c in ("side", "size"))
         bounds = np.append(np.flatnonzero(np.diff(part[order], prepend=-1)), len(order))
-        a, b, about = [], [], []
+        out: list[list] = [[] for _ in range(5)]
         for at, end in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
             rows = order[at:end]
+            groups, best, partner = _Groups(len(rows)), np.full(len(rows), -np.inf), np.zeros(len(rows), np.int64)
             across = len(np.unique(side[rows])) > 1
             for k in range(len(rows) - 1):
                 x, rest = rows[k], rows[k + 1 :]
@@ -247,14 +259,22 @@ def _alike(minima: int, percent: int):
                 if across:
                     open_ &= side[rest] != side[x]
                 open_ &= 100 * np.minimum(size[rest], size[x]) >= percent * np.maximum(size[rest], size[x])
-                rest = rest[open_]
-                if len(rest):
-                    near = similarity(signs[x], signs[rest], minima)
-                    for y, e in zip(rest[near >= cut].tolist(), near[near >= cut].tolist(), strict=True):
-                        a.append(max(cls[x], cls[y]))
-                        b.append(min(cls[x], cls[y]))
-                        about.append(e)
-        return pa.table([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(about, pa.float64())], ["a", "b", "about"])
+                y = np.flatnonzero(open_) + k + 1
+                if not len(y):
+                    continue
+                near = similarity(signs[x], signs[rows[y]], minima)
+                y, near = y[near >= cut], near[near >= cut]
+                if len(y):
+                    groups.join(np.append(y, k))
+                    better = near > best[y]
+                    best[y[better]], partner[y[better]] = near[better], k
+                    if near.max() > best[k]:
+                        best[k], partner[k] = near.max(), y[near.argmax()]
+            for k in np.flatnonzero(best > -np.inf).tolist():
+                for held, value in zip(out, (cls[rows[k]], names[rows[k]], cls[rows[partner[k]]], best[k], cls[rows[groups.of[k]]]), strict=True):
+                    held.append(value)
+        kinds = (pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.binary())
+        return pa.table([pa.array(x, kind) for x, kind in zip(out, kinds, strict=True)], ["cls", "label", "partner", "about", "root"])
 
     return run
 
@@ -277,43 +297,61 @@ class _Search:
         return pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(_likely(self.minima, self.percent), "a binary, b binary, about double")
 
     def _links(self, parts: DataFrame, n: int) -> DataFrame:
-        """parts: cls, part, side and unit; the links that are found in them."""
+        """parts: cls, part, side, unit and label, by which classes are known to be connected; the links that hold in them."""
         member = parts.join(self.classes.select("cls", "uid", "sign"), "cls")
         held = attach(self.texts, member, ["uid"], 256 * n, "inner")
         if self.repeats:
-            held = held.groupBy("unit", "part", "cls", "side").agg(F.first("sign").alias("sign"), F.first("text").alias("text"))
+            held = held.groupBy("unit", "part", "cls", "side", "label").agg(F.first("sign").alias("sign"), F.first("text").alias("text"))
         self.runs += 1
-        found = held.select("cls", "text", "sign", "part", "side", "unit").groupBy("unit").applyInArrow(_confirmed(self.shingle, self.minima, self.percent), "a binary, b binary")
+        found = held.select("cls", "text", "sign", "part", "side", "unit", "label").groupBy("unit").applyInArrow(_confirmed(self.shingle, self.minima, self.percent), "a binary, b binary")
         return self.scratch.save(found.where("a <> b"), f"links-{self.runs}")
 
-    def followers(self, pairs: DataFrame, most_bytes: int | None = None) -> DataFrame | None:
-        """The links among pairs (a, b), for which the text of a goes to each b's task; none are looked for if these are more than so many bytes."""
+    def followers(self, pairs: DataFrame) -> DataFrame:
+        """The links among pairs (a, b), of which every a has one: its text goes to b's task."""
         sized = pairs.join(self.classes.select(F.col("cls").alias("a"), "n_bytes"), "a")
         blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("n_bytes") / BLOCK_BYTES)).cast("int")
         leaders = self.scratch.save(sized.groupBy("b").agg(blocks.alias("blocks"), F.count(F.lit(1)).alias("n"), F.sum("n_bytes").alias("bytes")), f"leaders-{self.runs}")
         total = leaders.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), F.coalesce(F.sum("blocks"), F.lit(0)).alias("leaders")).first()
-        if most_bytes is not None and total.bytes > most_bytes:
-            return None
         units = 1 + max(2 * total.n // BLOCK_ROWS, 2 * total.bytes // BLOCK_BYTES)
         mine = pairs.join(leaders.select("b", "blocks"), "b").select(F.col("a").alias("cls"), "b", "blocks", F.pmod(F.xxhash64("a"), "blocks").cast("int").alias("block"), F.lit(1).alias("side"))
         theirs = leaders.select(F.col("b").alias("cls"), "b", "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("side"))
         part = F.concat_ws("-", F.hex("b"), "block")
         unit = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("b"), F.lit(units)).cast("string")).otherwise(part)
-        return self._links(mine.unionByName(theirs).select("cls", "side", part.alias("part"), unit.alias("unit")), total.n + total.leaders)
-
-    def groups(self, pairs: DataFrame) -> DataFrame:
-        """The links among pairs (a, b) of any number, by comparing the classes that these connect, in pairs of blocks where they are many."""
-        coarse = components(pairs, self.scratch, "coarse").withColumnRenamed("node", "cls")
-        member = self.scratch.save(coarse.join(self.classes.select("cls", "n_bytes"), "cls"), "member")
-        sizes = member.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("n_bytes") / BLOCK_BYTES), F.lit(1)).cast("int").alias("blocks"))
-        member = member.join(self.scratch.save(sizes, "sizes"), "root").withColumn("block", F.pmod(F.xxhash64("cls"), "blocks").cast("int"))
-        total = member.agg(F.coalesce(F.sum("blocks"), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.col("n_bytes") * F.col("blocks")), F.lit(0)).alias("bytes")).first()
+        return self._links(mine.unionByName(theirs).select("cls", "side", part.alias("part"), unit.alias("unit"), F.col("cls").alias("label")), total.n + total.leaders)
+
+    def alike(self, shared: DataFrame, roots: DataFrame, name: str) -> DataFrame:
+        """Rows of ALIKE for the classes of buckets (shared: bucket, cls) that are not all in one component."""
+        labels = roots.select(F.col("node").alias("cls"), F.col("root").alias("label"))
+        labelled = shared.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+        labelled = self.scratch.save(labelled.select("bucket", "cls", "label"), f"labelled-{name}")
+        blocks = F.ceil(F.count(F.lit(1)) / BLOCK_SIGNS).cast("int")
+        apart = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n"), blocks.alias("blocks"))
+        apart = self.scratch.save(apart.where("low <> high").select("bucket", "n", "blocks"), f"apart-{name}")
+        total = apart.agg(F.coalesce(F.sum(F.col("n") * F.col("blocks")), F.lit(0))).first()[0]  # rows of all blocks' pairs
+        member = labelled.join(apart, "bucket").withColumn("block", F.pmod(F.xxhash64("cls"), "blocks").cast("int")).withColumn("pair", F.explode(_block_pairs()))
+        part = F.concat_ws("-", "bucket", F.col("pair.i"), F.col("pair.j"))
+        unit = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("bucket"), F.lit(1 + total // 512)).cast("string")).otherwise(part)
+        member = member.select("cls", "label", (F.col("block") == F.col("pair.j")).cast("int").alias("side"), part.alias("part"), unit.alias("unit"))
+        member = member.join(self.classes.select("cls", "size", "sign"), "cls")
+        return self.scratch.save(member.groupBy("unit").applyInArrow(_alike(self.minima, self.percent), ALIKE), f"alike-{name}")
+
+    def groups(self, alike: DataFrame, name: str, repeated: float | None = None) -> DataFrame | None:
+        """The links among the classes that alike connects, compared in pairs of blocks where they are many; none are looked for if blocks hold the texts more than so many times."""
+        coarse = components(alike.select(F.col("cls").alias("a"), F.col("root").alias("b")), self.scratch, f"coarse-{name}").withColumnRenamed("node", "cls")
+        label = alike.groupBy("cls").agg(F.first("label").alias("label"))
+        member = self.scratch.save(coarse.join(label, "cls").join(self.classes.select("cls", "n_bytes"), "cls"), f"member-{name}")
+        blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("n_bytes") / BLOCK_BYTES), F.lit(1)).cast("int")
+        sizes = self.scratch.save(member.groupBy("root").agg(blocks.alias("blocks"), F.count(F.lit(1)).alias("n"), F.sum("n_bytes").alias("bytes")), f"sizes-{name}")
+        total = sizes.agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(y) for x, y in ((F.col("bytes"), "once"), (F.col("bytes") * F.col("blocks"), "bytes"), (F.col("n") * F.col("blocks"), "rows"))]).first()
+        if repeated is not None and total.bytes > repeated * total.once:
+            return None
+        member = member.join(sizes.select("root", "blocks"), "root").withColumn("block", F.pmod(F.xxhash64("cls"), "blocks").cast("int"))
         units = 1 + max(2 * total.rows // BLOCK_ROWS, total.bytes // BLOCK_BYTES)
         member = member.withColumn("pair", F.explode(_block_pairs()))
         # a block beside itself is one part; a pair of different blocks looks across only
         part = F.concat_ws("-", F.hex("root"), F.col("pair.i"), F.col("pair.j"))
         unit = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("root"), F.lit(units)).cast("string")).otherwise(part)
-        return self._links(member.select("cls", (F.col("block") == F.col("pair.j")).cast("int").alias("side"), part.alias("part"), unit.alias("unit")), total.rows)
+        return self._links(member.select("cls", (F.col("block") == F.col("pair.j")).cast("int").alias("side"), part.alias("part"), unit.alias("unit"), "label"), total.rows)
 
 
 def _block_pairs() -> Column:
@@ -328,45 +366,29 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
 
 def _roots(search: _Search, scratch: Scratch) -> DataFrame:
     """(node, root) of all classes that are linked."""
-    classes, minima, percent = search.classes, search.minima, search.percent
+    classes = search.classes
     buckets = classes.select("cls", F.explode("bands").alias("bucket"))
     centres = scratch.save(buckets.groupBy("bucket").agg(F.min("cls").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1"), "centres")
-    shared = scratch.save(buckets.join(centres, "bucket"), "shared")
+    shared = scratch.save(buckets.join(centres, "bucket").select("bucket", "cls", "centre"), "shared")
 
     stars = shared.where("cls <> centre").select(F.col("cls").alias("a"), F.col("centre").alias("b")).distinct()
     first = search.signatures(stars).groupBy("a").agg(F.max_by("b", "about").alias("b"))
     links = search.followers(scratch.save(first, "first"))
     roots = components(links, scratch, "near-1")
 
-    labels = roots.select(F.col("node").alias("cls"), F.col("root").alias("label"))
-    labelled = shared.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    labelled = scratch.save(labelled.select("bucket", "cls", "label"), "labelled")
-    blocks = F.ceil(F.count(F.lit(1)) / BLOCK_SIGNS).cast("int")
-    apart = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n"), blocks.alias("blocks"))
-    apart = scratch.save(apart.where("low <> high").select("bucket", "n", "blocks"), "apart")
-    total = apart.agg(F.coalesce(F.sum(F.col("n") * F.col("blocks")), F.lit(0))).first()[0]  # rows of all blocks' pairs
-    if not total:
+    alike = search.alike(shared, roots, "1")
+    if alike.isEmpty():
         return roots
-    member = labelled.join(apart, "bucket").withColumn("block", F.pmod(F.xxhash64("cls"), "blocks").cast("int")).withColumn("pair", F.explode(_block_pairs()))
-    part = F.concat_ws("-", "bucket", F.col("pair.i"), F.col("pair.j"))
-    unit = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("bucket"), F.lit(1 + 2 * total // BLOCK_SIGNS)).cast("string")).otherwise(part)
-    member = member.select("cls", "label", (F.col("block") == F.col("pair.j")).cast("int").alias("side"), part.alias("part"), unit.alias("unit"))
-    member = member.join(classes.select("cls", "size", "sign"), "cls")
-    pairs = member.groupBy("unit").applyInArrow(_alike(minima, percent), "a binary, b binary, about double")
-    pairs = scratch.save(pairs.groupBy("a", "b").agg(F.max("about").alias("about")), "pairs")
-    found = search.followers(pairs, PAIR_TEXTS * classes.agg(F.sum("n_bytes")).first()[0])
+    found = search.groups(alike, "1", REPEATED)
     if found is not None:
         return components(links.unionByName(found), scratch, "near-2")
-    second = scratch.save(pairs.groupBy("a").agg(F.max_by("b", "about").alias("b")), "second")
-    links = links.unionByName(search.followers(second))
+    likeliest = scratch.save(alike.groupBy(F.col("cls").alias("a")).agg(F.max_by("partner", "about").alias("b")), "likeliest")
+    links = links.unionByName(search.followers(likeliest))
     roots = components(links, scratch, "near-2")
-
-    of = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
-    left = pairs.join(second, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
-    left = scratch.save(left.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"), "left")
-    if left.isEmpty():
+    alike = search.alike(shared, roots, "2")
+    if alike.isEmpty():
         return roots
-    return components(links.unionByName(search.groups(left)), scratch, "near-3")
+    return components(links.unionByName(search.groups(alike, "2")), scratch, "near-3")
 
 
 def _judged(docs: DataFrame, key: str, text: str, shingle: int, percent: int) -> DataFrame:
