@@ -1,4 +1,13 @@
-"""From raw documents to packed sequences: five stages, each written as Parquet and read by the next."""
+"""From raw documents to packed sequences: five stages, each written as Parquet and read by the next.
+
+Every stage but the last returns the columns of documents; further columns of the input go at the
+first stage, whatever they are called.
+
+Defined results: a null or blank text fails the quality rules, so its document goes; so does a text
+of which only white space is left when its repeated bytes are cut out; null ids, languages and
+sources stay null, and a null source is a host and a queue of its own; of rows that repeat an id
+and a text one stays; texts of any length are worked on whole; an empty table gives no pieces.
+"""
 
 from __future__ import annotations
 
