@@ -300,12 +300,12 @@ def tool_texts(spark, d):
     return t(spark, d, "events").select("event_id", F.to_json(variants.field(given, "k")).alias("k"), scalars.arguments_text(given).alias("text"), scalars.tool_message(call, F.lit("t"), F.lit("7")).alias("message"), scalars.tool_spec(F.lit("t"), F.lit("does"), F.parse_json("props")).alias("spec"))
 
 
-@query("SELECT event_id, event_id % 100 AS input, CASE WHEN event_id % 3 <> 2 THEN event_id % 7 END AS output, CASE WHEN event_id % 3 = 0 THEN event_id % 9 END AS total FROM events")
+@query("SELECT event_id, CAST(event_id % 100 AS DOUBLE) AS input, CAST(CASE WHEN event_id % 3 <> 2 THEN event_id % 7 END AS DOUBLE) AS output, CAST(CASE WHEN event_id % 3 = 0 THEN event_id % 9 END AS DOUBLE) AS total FROM events")
 def usage_of_calls(spark, d):
     e, k = F.col("event_id"), F.col("event_id") % 3
     newer, older = F.struct((e % 100).alias("prompt_tokens"), (e % 7).alias("completion_tokens"), (e % 9).alias("total_tokens")), F.struct((e % 100).alias("input_tokens"), (e % 7).alias("output_tokens"))
     v = F.parse_json(F.when(k == 0, F.to_json(newer)).when(k == 1, F.to_json(older)).otherwise(F.to_json(F.struct((e % 100).alias("prompt_tokens"), F.lit(-1).alias("completion_tokens")))))
-    return t(spark, d, "events").select("event_id", scalars.token_usage(v).alias("u")).select("event_id", "u.input", "u.output", "u.total")
+    return t(spark, d, "events").select("event_id", scalars.token_usage(v).alias("u")).select("event_id", *[F.col(f"u.{c}").cast("double").alias(c) for c in ("input", "output", "total")])
 
 
 @query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'retryable: m' WHEN 1 THEN 'fatal: m' WHEN 2 THEN 'timeout after ' || event_id || 'ms' ELSE 'validation: m' END AS error, 'cron:f:' || CAST(epoch(date_trunc('second', ts)) AS BIGINT) AS cron_key, CAST(1000 * pow(2.0, event_id % 5) AS DOUBLE) AS wait, CAST(greatest(0, (event_id % 3 - 1) * 1500) AS BIGINT) AS took FROM events")
