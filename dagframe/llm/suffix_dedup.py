@@ -20,7 +20,7 @@ Spark counts each round's buckets and joins the counts back, so a bucket of any
 over tasks. Identifiers are 64-bit hashes and a decision always rests on two of them, or on one
 and 7 literal bytes.
 
-Defined results: a null text is empty; rows are told apart by a hash of id and text, so null ids
+Defined results: a null text is empty; a text of any length is judged whole, in stretches; rows are told apart by a hash of id and text, so null ids
 and rows that share an id are documents of their own, and rows that repeat both count as
 occurrences of their own; an empty table gives an empty table; only the key and text columns are read, and other columns that ``carry`` names come along.
 """
