@@ -49,7 +49,7 @@ def test_aggregates(sales):
     assert tabular.aggregate(empty, "quantity", "median").first().result is None
     with pytest.raises(Exception, match="unknown aggregate operation: median"):
         tabular.aggregate(sales, "quantity", "median").collect()
-    typed = sales.selectExpr("try_cast(quantity as double) AS quantity", "category")
+    typed = sales.select(tabular.as_number(F.col("quantity")).alias("quantity"), "category")
     assert tabular.aggregate(typed, "quantity", "sum").first().result == 12
     assert tabular.query(typed, "quantity", "2", "gt", limit=None).count() == tabular.query(sales, "quantity", "2", "gt", limit=None).count()
     assert tabular.query(typed, "quantity", "two", "gt", limit=None).count() == 0
