@@ -1,21 +1,29 @@
 """Approximate nearest neighbours by shifted space-filling curves.
 
 Each of ``curves`` orderings projects the vectors on a few random directions within the leading
-principal directions of a bounded sample, shifts the grid by a random offset and sorts by the
-Hilbert key. The key ranges of an ordering's blocks are fitted on the sample as well, as a range
-partitioner's are; every row is indexed. A query looks at its own block and the two beside it in
-every ordering.
-
-Vectors are stored once. What travels to the blocks are ids and codes of four bits a component;
-a block ranks its rows for each query by the codes, the windows of all orderings merge to
-distinct candidates, and the ``RERANK * k`` best of these are reranked by the distance of the
-original vectors in double precision.
+principal directions of a bounded sample, lays a grid over the sample's quantiles there, shifts it
+by a random offset and sorts by the Hilbert key. The key ranges of an ordering's blocks are fitted
+on the sample as well, as a range partitioner's are; every row is indexed. A query looks at its own
+block and the two beside it in every ordering.
+
+How wide the blocks are is tried on the sample: some of the queries look for their nearest sampled
+vectors, and where the given windows hold less than ``RECALL`` of these, blocks are widened (and
+orderings left out, if that is less work) until they do. Vectors of hundreds of components without
+structure need nearly the whole table.
+
+Vectors are stored once. What travels to the blocks are ids and codes: the nearest of ``CENTRES``
+sampled vectors, what is left after it in levels of its own size, and how far that is off. A code
+gives a row's distance within ``DEVIATIONS`` standard errors, likely rather than certain bounds; a
+block keeps every row that these leave possible, however many there are, the windows of all orderings merge to distinct candidates, and those still possible are
+reranked by the distance of the original vectors in double precision. So groups closer together
+than the codes can tell cost more candidates, not results.
 
 The window is a share of the table, because vectors without low-dimensional structure need one:
 on nearly uniform directions in 64 dimensions, where the tenth neighbour is at three quarters of
 the median distance, about half of the table has to be seen for a recall of 0.95. Structured
-vectors do with far less; then give ``window``, a number of rows that doesn't grow. A block of
-many rows is split by a hash of the id, and many queries of a block by one of theirs.
+vectors do with far less; then give ``window``, a number of rows that doesn't grow; it is taken as
+it is, untried. A block of many rows is split by a hash of the id, and many queries of a block by
+one of theirs.
 
 Copies of a vector form a class with one row in the orderings that names its ``k + 1`` least ids,
 so that a vector which holds a third of all rows costs one row, and its ties still go to the
@@ -51,8 +59,12 @@ DIMS, GRID_BITS = 8, 6
 VARIANCE = 0.95
 #: Vectors that directions, grids, codes and blocks are fitted on, about.
 SAMPLE = 10_000
-#: Of each unit a query gets this many rows more than k, and of all units RERANK * k candidates.
-SPARE, RERANK = 6, 4
+#: Queries that are tried on the sample, about, and the share of their nearest that windows have to hold there.
+TRIED, RECALL = 256, 0.95
+#: Centres of the codes, components up to which a code has eight bits each, and numbers of the sample and of a decoded unit, at most.
+CENTRES, FINE, MOST_NUMBERS = 256, 32, 1 << 22
+#: Standard errors of a code's distance within which a row is still a candidate; RERANK * (k + 1) are taken in any case.
+DEVIATIONS, RERANK = 2, 4
 SEED = 20
 EMPTY = "query_id long, rank int, vec_id long, score double"
 
@@ -116,50 +128,155 @@ def _few_ids(k: int):
     return run
 
 
+def rows_of(numbers: int, dim: int) -> int:
+    """Vectors of dim components that hold about so many numbers: wide ones go in smaller parts, of 1,000 at least."""
+    return max(1000, numbers // dim)
+
+
+def _centres(x: np.ndarray, rng: np.random.Generator, many: int) -> np.ndarray:
+    """Rows that codes are written against: half of them any, half far from those before, so that tight groups have one of their own."""
+    picked = x[rng.permutation(len(x))[: many // 2]]
+    norms = np.einsum("ij,ij->i", x, x)
+    away = np.full(len(x), np.inf)
+    for centre in picked:
+        away = np.minimum(away, norms - 2 * (x @ centre) + centre @ centre)
+    far = []
+    for _ in range(many - len(picked)):
+        weight = np.where(away > 1e-12 * norms, away, 0)
+        if not weight.any():
+            break
+        far.append(x[rng.choice(len(x), p=weight / weight.sum())])
+        away = np.minimum(away, norms - 2 * (x @ far[-1]) + far[-1] @ far[-1])
+    return np.concatenate([picked, np.array(far).reshape(-1, x.shape[1])])
+
+
+def _nearest_in_sample(sample: np.ndarray, asked: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k nearest rows of the sample, other than the vector itself, of each asked vector."""
+    norms = np.einsum("ij,ij->i", sample, sample)
+    out = []
+    for at in range(0, len(asked), 32):
+        for one, far in zip(asked[at : at + 32], norms - 2 * (asked[at : at + 32] @ sample.T), strict=True):
+            some = np.argpartition(far, 4 * k)[: 4 * k] if len(far) > 4 * k else np.arange(len(far))
+            away = ((sample[some] - one) ** 2).sum(1)
+            away[away == 0] = np.inf
+            out.append(some[np.argsort(away, kind="stable")[:k]])
+    return np.array(out)
+
+
 class Index:
-    """What is fitted on the sample: projections and shifts of the orderings, the key ranges of their blocks, how often a block is split, and the codes' levels."""
+    """What is fitted on the sample: projections, grids and shifts of the orderings, the key ranges of their blocks, how often a block is split, and the codes' centres."""
 
     def __init__(self, sample: np.ndarray, n: int, curves: int, blocks: int, seed: int):
         rng = np.random.default_rng(seed)
-        values, vectors = np.linalg.eigh(np.cov(sample.T).reshape(sample.shape[1], -1))
+        self.middle, self.unit = sample.mean(0), 1.0
+        edge = np.quantile(sample, [0.002, 0.998], axis=0)
+        self.unit = float(np.abs(np.clip(sample, *edge) - self.middle).max()) or 1.0
+        x = self.scaled(sample)
+        values, vectors = np.linalg.eigh(np.cov(np.clip(x, *self.scaled(edge)).T).reshape(x.shape[1], -1))
         order = np.argsort(values)[::-1]
         held = np.cumsum(values[order].clip(0)) / max(values.clip(0).sum(), 1e-300)
         leading = vectors[:, order[: max(min(DIMS, len(order)), int(np.searchsorted(held, VARIANCE)) + 1)]]
         dims = min(DIMS, leading.shape[1])
+        self.bits = min(20, DIMS * GRID_BITS // dims)
         self.axes = [leading @ np.linalg.qr(rng.normal(size=(leading.shape[1], dims)))[0] for _ in range(curves)]
         self.shift = rng.uniform(0, 0.5, (curves, dims))
-        spread = [sample @ a for a in self.axes]
-        self.low = [x.mean(0) - 3 * x.std(0) for x in spread]
-        self.width = [np.where(x.std(0) > 0, 6 * x.std(0), 1.0) for x in spread]
-        self.bounds, self.splits, self.first, units = [], [], [], 0
+        self.knots = [[self._knots(column) for column in (x @ a).T] for a in self.axes]
+        self.ordered = [np.sort(self.keys(sample, c)) for c in range(curves)]
+        self.cut(n, curves, blocks)
+        self.centres = _centres(x, rng, CENTRES)
+        nibbles = x.shape[1] > FINE
+        self.top = 7 if nibbles else 127
+        self.code = np.dtype([("centre", "u1"), ("size", "<f4"), ("error", "<f4"), ("levels", "u1", (-(-x.shape[1] // 2) if nibbles else x.shape[1],))])
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "ordered": None}  # tasks don't cut
+
+    def scaled(self, vectors: np.ndarray) -> np.ndarray:
+        return np.clip((vectors - self.middle) / self.unit, -1e37, 1e37)
+
+    @staticmethod
+    def _knots(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Quantiles of an axis, where the sample's rows lie even."""
+        share = np.linspace(0, 1, 129)
+        at, first = np.unique(np.quantile(values, share), return_index=True)
+        return at, share[first]
+
+    def bounds_of(self, curve: int, blocks: int) -> np.ndarray:
+        keys = self.ordered[curve]
+        return np.unique(keys[np.linspace(0, len(keys), blocks, endpoint=False).astype(int)[1:]])
+
+    def cut(self, n: int, curves: int, blocks: int) -> None:
+        """Use so many orderings, cut into so many blocks of about the same number of rows."""
+        self.axes, self.bounds, self.splits, self.first, units = self.axes[:curves], [], [], [], 0
+        most = min(MOST_ROWS, rows_of(MOST_NUMBERS, len(self.middle)))
         for c in range(curves):
-            keys = np.sort(self.keys(sample, c))
-            bounds = np.unique(keys[np.linspace(0, len(keys), blocks, endpoint=False).astype(int)[1:]])
+            keys, bounds = self.ordered[c], self.bounds_of(c, blocks)
             held = np.bincount(np.searchsorted(bounds, keys, "right"), minlength=len(bounds) + 1) * (n / len(keys))
             self.bounds.append(bounds)
-            self.splits.append(np.maximum(1, np.ceil(held / MOST_ROWS)).astype(np.int64))
+            self.splits.append(np.maximum(1, np.ceil(held / most)).astype(np.int64))
             self.first.append(units + np.cumsum(self.splits[-1]) - self.splits[-1])
             units += int(self.splits[-1].sum())
-        edge = np.quantile(sample, [0.002, 0.998], axis=0)
-        self.base, self.step = edge[0], np.where(edge[1] > edge[0], (edge[1] - edge[0]) / 15, 1.0)
+
+    def widened(self, sample: np.ndarray, asked: np.ndarray, blocks: int, k: int) -> tuple[int, int]:
+        """Orderings and blocks whose windows hold RECALL of the k nearest that the asked vectors have in the sample.
+
+        These are the given ones if that is enough; else the least work that is. Rows outside the
+        sample make the nearest nearer, and windows are shares of the table, so the table's recall
+        is no lower.
+        """
+        near = _nearest_in_sample(self.scaled(sample), self.scaled(asked), k)
+        curves = len(self.axes)
+        own = [self.keys(asked, c)[:, None] for c in range(curves)]
+        theirs = [self.keys(sample[near.ravel()], c).reshape(near.shape) for c in range(curves)]
+        fit = []
+        for wide in 1.2 ** np.arange(40):
+            many = max(1, int(blocks / wide))
+            seen = np.zeros(near.shape, bool)
+            for c in range(curves):
+                bounds = self.bounds_of(c, many)
+                seen |= np.abs(np.searchsorted(bounds, own[c], "right") - np.searchsorted(bounds, theirs[c], "right")) <= 1
+                if c + 1 in (curves, curves // 2, curves // 4, curves // 6) and seen.mean() >= RECALL:
+                    fit.append(((c + 1) / many, c + 1, many))
+            if wide == 1 and seen.mean() >= RECALL:
+                return curves, blocks
+            if many <= 2:
+                break
+        return min(fit)[1:]
 
     def keys(self, vectors: np.ndarray, curve: int) -> np.ndarray:
-        place = np.clip((vectors @ self.axes[curve] - self.low[curve]) / self.width[curve], 0, 1) * 0.5 + self.shift[curve]
-        return hilbert_keys((place * (1 << GRID_BITS)).clip(0, (1 << GRID_BITS) - 1), GRID_BITS)
+        along = self.scaled(vectors) @ self.axes[curve]
+        place = np.stack([np.interp(x, *knots) for x, knots in zip(along.T, self.knots[curve], strict=True)], 1) * 0.5 + self.shift[curve]
+        return hilbert_keys((place * (1 << self.bits)).clip(0, (1 << self.bits) - 1), self.bits)
 
     def blocks(self, vectors: np.ndarray, curve: int) -> np.ndarray:
         return np.searchsorted(self.bounds[curve], self.keys(vectors, curve), "right")
 
     def codes(self, vectors: np.ndarray) -> np.ndarray:
-        """Four bits a component, two components a byte."""
-        levels = np.round((vectors - self.base) / self.step).clip(0, 15).astype(np.uint8)
-        if levels.shape[1] % 2:
-            levels = np.pad(levels, ((0, 0), (0, 1)))
-        return np.ascontiguousarray(levels[:, ::2] | levels[:, 1::2] << 4)
+        """What is left after the nearest centre, in levels of its own largest component: four bits a component, eight where there are few; and how far the code is from the vector."""
+        x = self.scaled(vectors)
+        out = np.zeros(len(x), self.code)
+        out["centre"] = np.argmin(np.einsum("ij,ij->i", self.centres, self.centres) - 2 * (x @ self.centres.T), axis=1)
+        rest = x - self.centres[out["centre"]]
+        out["size"] = np.abs(rest).max(1)
+        size = out["size"].astype(np.float64)[:, None]
+        levels = np.divide(rest, size, out=np.zeros_like(rest), where=size > 0) * self.top
+        levels = (np.round(levels).clip(-self.top, self.top) + self.top).astype(np.uint8)
+        if self.top == 7:
+            levels = np.pad(levels, ((0, 0), (0, levels.shape[1] % 2)))
+            levels = levels[:, ::2] | levels[:, 1::2] << 4
+        out["levels"] = levels
+        out["error"] = np.sqrt(((x - self.decoded(out)) ** 2).sum(1))
+        return out
 
     def decoded(self, codes: np.ndarray) -> np.ndarray:
-        levels = np.stack([codes & 15, codes >> 4], 2).reshape(len(codes), -1)[:, : len(self.base)]
-        return (levels * self.step + self.base).astype(np.float32)
+        levels = codes["levels"]
+        if self.top == 7:
+            levels = np.stack([levels & 15, levels >> 4], 2).reshape(len(codes), -1)[:, : len(self.middle)]
+        out = levels.astype(np.float64)
+        out -= self.top
+        out *= (codes["size"].astype(np.float64) / self.top)[:, None]
+        out += self.centres[codes["centre"]]
+        return out
 
 
 def _gathered(batches, most: int):
@@ -191,7 +308,7 @@ def _ids(table: pa.Table) -> np.ndarray:
 
 def _indexed(index: Index, dim: int, kind: str, shares: int):
     def run(batches):
-        for rows in _gathered(batches, 16384):
+        for rows in _gathered(batches, min(16384, rows_of(MOST_NUMBERS // 4, dim))):
             vectors, ids = _vectors(rows.column("vec").combine_chunks(), dim, kind), _ids(rows)
             codes, salt = index.codes(vectors), ids % 1000003
             for c in range(len(index.axes)):
@@ -221,11 +338,28 @@ def _asking(index: Index, dim: int, kind: str, shares: int):
     return run
 
 
+def _possible(who: np.ndarray, what: np.ndarray, low: np.ndarray, high: np.ndarray, most: int):
+    """Of each query's rows, each once, those whose low is within the most-th least high."""
+    order = np.lexsort((what, who))
+    who, what, low, high = who[order], what[order], low[order], high[order]
+    once = np.concatenate([[True], (who[1:] != who[:-1]) | (what[1:] != what[:-1])])[: len(who)]
+    who, what, low, high = who[once], what[once], low[once], high[once]
+    order = np.lexsort((high, who))
+    ends, first, many = np.unique(who[order], return_index=True, return_counts=True)
+    limit = np.where(many >= most, high[order][first + np.minimum(most, many) - 1], np.inf) if len(ends) else np.zeros(0)
+    keep = low <= limit[np.searchsorted(ends, who)]
+    return who[keep], what[keep], low[keep], high[keep]
+
+
 def _ranked(index: Index, dim: int, kind: str, most: int):
-    """The nearest rows of a unit for each query that looks at it, by their codes; a task's group holds a few small units."""
+    """The rows of a unit that can be among the nearest of a query that looks at it, by their codes; a task's group holds a few small units.
+
+    A code's error has no direction of its own, so that it moves a distance by about its length over
+    the root of dim; low and high are DEVIATIONS such moves away.
+    """
 
     def run(held: pa.Table, asked: pa.Table) -> pa.Table:
-        who, what, about = [], [], []
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0))]
         by_unit: dict[int, tuple[list, list]] = {}
         for side, rows in enumerate((held, asked)):
             for unit, *packed in zip(*(rows.column(c).to_pylist() for c in ("unit", "ids", "held")), strict=True):
@@ -234,20 +368,22 @@ def _ranked(index: Index, dim: int, kind: str, most: int):
             if not mine or not looks:
                 continue
             ids = np.frombuffer(b"".join(x for x, _ in mine), np.int64)
-            codes = np.frombuffer(b"".join(x for _, x in mine), np.uint8).reshape(len(ids), -1)
-            vectors = index.decoded(codes)
-            norms = np.einsum("ij,ij->i", vectors, vectors)
+            codes = np.frombuffer(b"".join(x for _, x in mine), index.code)
+            vectors, error = index.decoded(codes), codes["error"].astype(np.float64)
+            norms, moved = np.einsum("ij,ij->i", vectors, vectors), min(1, DEVIATIONS / dim**0.5) * error
             query = np.frombuffer(b"".join(x for x, _ in looks), np.int64)
-            against = np.frombuffer(b"".join(x for _, x in looks), kind).reshape(-1, dim).astype(np.float32)
-            for at in range(0, len(query), 128):
-                some = against[at : at + 128]
-                far = norms - 2 * (some @ vectors.T) + np.einsum("ij,ij->i", some, some)[:, None]
-                best = np.argpartition(far, most - 1, axis=1)[:, :most] if len(ids) > most else np.broadcast_to(np.arange(len(ids)), far.shape)
-                who.append(np.repeat(query[at : at + 128], best.shape[1]))
-                what.append(ids[best].ravel())
-                about.append(np.take_along_axis(far, best, 1).ravel())
-        none = [np.zeros(0)]
-        return pa.table([pa.array(np.concatenate(who or none).astype(np.int64)), pa.array(np.concatenate(what or none).astype(np.int64)), pa.array(np.concatenate(about or none).astype(np.float32))], ["query_id", "id", "about"])
+            against = index.scaled(np.frombuffer(b"".join(x for _, x in looks), kind).reshape(-1, dim).astype(np.float64))
+            some_rows = max(1, min(128, (1 << 20) // len(ids)))
+            for at in range(0, len(query), some_rows):
+                some = against[at : at + some_rows]
+                sizes = norms + np.einsum("ij,ij->i", some, some)[:, None]
+                square, rounding = sizes - 2 * (some @ vectors.T) - error**2, 4e-15 * sizes
+                high = np.sqrt((square + rounding).clip(0) + moved**2) + moved
+                low = np.sqrt((square - rounding).clip(0) + moved**2) - moved
+                limit = np.partition(high, most - 1, axis=1)[:, most - 1 : most] if len(ids) > most else np.inf
+                who, what = np.nonzero(low <= limit)
+                found.append((query[at + who], ids[what], low[who, what], high[who, what]))
+        return pa.table(list(_possible(*(np.concatenate(x) for x in zip(*found, strict=True)), most)), ["query_id", "id", "low", "high"])
 
     return run
 
@@ -271,8 +407,8 @@ def clean_vectors(rows: DataFrame, key: str, vector: str) -> DataFrame:
 def nearest(rows: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = NEIGHBOURS, curves: int = CURVES, share: float = SHARE, window: int | None = None, seed: int = SEED) -> DataFrame:
     """query_id, rank (from 1), vec_id and score: the k nearest found of each row of queries among the rows with another id.
 
-    A query's window in each ordering is three blocks of so large a share of the rows, or of
-    ``window`` rows in all.
+    A query's window in each ordering is three blocks of so large a share of the rows, or of a larger
+    one where the sample asks for it; or ``window`` rows in all.
     """
     spark = rows.sparkSession
     scratch = Scratch(spark, "nearest")
@@ -297,23 +433,32 @@ def nearest(rows: DataFrame, queries: DataFrame, key: str = "vec_id", vector: st
 
 def _of_length(classes: DataFrame, asked: DataFrame, dim: int, n: int, kind: str, k: int, curves: int, share: float, window: int | None, seed: int, scratch: Scratch) -> DataFrame:
     """query_id, score and ids of the candidates that are reranked, among vectors of dim components."""
-    some = classes.where(F.pmod(F.xxhash64("vec"), F.lit(max(1, n // SAMPLE))) == 0).select("vec").limit(2 * SAMPLE).collect()
-    some = some or classes.select("vec").limit(SAMPLE).collect()
+    fitted = min(SAMPLE, rows_of(MOST_NUMBERS, dim))
+    some = classes.where(F.pmod(F.xxhash64("vec"), F.lit(max(1, n // fitted))) == 0).select("vec").limit(2 * fitted).collect()
+    some = some or classes.select("vec").limit(fitted).collect()
     sample = np.stack([np.frombuffer(r.vec, kind) for r in some]).astype(np.float64)
     rows = max(LEAST, k + 1, n * share if window is None else window / 3)
-    index = Index(sample if len(sample) > 1 else np.repeat(sample, 2, 0), n, curves, max(1, int(n // rows)), seed)
-    n_asked = asked.count()
-    shares = max(1, -(-3 * n_asked // (max(1, int(n // rows)) * MOST_QUERIES)))
+    sample = sample if len(sample) > 1 else np.repeat(sample, 2, 0)
+    blocks, n_asked = max(1, int(n // rows)), asked.count()
+    index = Index(sample, n, curves, blocks, seed)
+    if window is None and n_asked:
+        some = asked.where(F.pmod(F.xxhash64("vec"), F.lit(max(1, n_asked // TRIED))) == 0).select("vec").limit(2 * TRIED).collect()
+        some = some or asked.select("vec").limit(TRIED).collect()
+        curves, blocks = index.widened(sample, np.stack([np.frombuffer(r.vec, kind) for r in some]).astype(np.float64), blocks, k)
+        index.cut(n, curves, blocks)
+    shares = max(1, -(-3 * n_asked // (blocks * MOST_QUERIES)))
     unit = "unit long, ids binary, held binary"
     held = classes.select("id", "vec").mapInArrow(_indexed(index, dim, kind, shares), unit)
     looks = asked.mapInArrow(_asking(index, dim, kind, shares), unit)
-    together = F.expr(f"unit div {max(1, int(UNITE_ROWS // rows))}").alias("task")
-    near = held.groupBy(together).cogroup(looks.groupBy(together)).applyInArrow(_ranked(index, dim, kind, k + 1 + SPARE), "query_id long, id long, about float")
-    near = near.groupBy("query_id", "id").agg(F.min("about").alias("about"))
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy("about", "id"))
-    best = near.withColumn("place", place).where(F.col("place") <= RERANK * (k + 1)).select("query_id", "id")
+    together = F.expr(f"unit div {max(1, int(UNITE_ROWS * blocks // n))}").alias("task")
+    near = held.groupBy(together).cogroup(looks.groupBy(together)).applyInArrow(_ranked(index, dim, kind, k + 1), "query_id long, id long, low double, high double")
+    near = near.groupBy("query_id", "id").agg(F.min("low").alias("low"), F.min("high").alias("high"))
+    one = Window.partitionBy("query_id")
+    near = near.withColumn("place", F.row_number().over(one.orderBy("high", "id")))
+    limit = F.min(F.when(F.col("place") == k + 1, F.col("high"))).over(one)
+    best = near.withColumn("limit", limit).where((F.col("place") <= RERANK * (k + 1)) | (F.col("low") <= F.col("limit"))).select("query_id", "id")
     best = scratch.save(best, f"best-{dim}")
-    both = attach(classes, best, ["id"], 32 * RERANK * (k + 1) * n_asked, "inner")
+    both = attach(classes, best, ["id"], 32 * best.count(), "inner")
     both = attach(both, asked.select(F.col("id").alias("query_id"), F.col("vec").alias("asked")), ["query_id"], n_asked * (64 + dim * int(kind[-1])), "inner")
     return both.select("query_id", "vec", "asked", "ids").mapInArrow(_distances(dim, kind), "query_id long, score double, ids array<long>")
 

@@ -3,6 +3,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pytest
 from recall import recall, seen
 
 from dagframe.llm import ann, url_filter
@@ -60,6 +61,41 @@ def test_structured_vectors_do_with_windows_of_a_fixed_size(spark):
     assert recall(found, np.arange(6000), vectors) >= 0.9
 
 
+def _other_rows(kind, n=3000):
+    rng = np.random.default_rng(6)
+    normal = rng.normal(size=(n, 64))
+    if kind == "tight groups":
+        return rng.normal(size=(10, 64))[rng.integers(0, 10, n)] + 1e-4 * normal
+    if kind == "unlike lengths":
+        return normal * np.exp(2 * rng.normal(size=(n, 1)))
+    if kind == "far from zero":
+        return normal + 1e4
+    if kind == "far outliers":
+        return np.where(np.arange(n)[:, None] < n // 200, 1e6, 1e-2) * normal
+    return rng.normal(size=(n, int(kind.split()[0])))
+
+
+@pytest.mark.parametrize("kind", ["tight groups", "unlike lengths", "far from zero", "far outliers", "256 components", "2 components", "1 component"])
+def test_recall_on_other_rows(spark, kind):
+    """Rows that one grid of codes cannot tell apart, that crowd in a few cells, that rounding blurs, and that need wider windows."""
+    import pandas as pd
+
+    vectors = _other_rows(kind, 9000 if kind == "256 components" else 3000).astype(np.float32)
+    rows = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(vectors)), "embedding": vectors.tolist()})).selectExpr("vec_id", "cast(embedding as array<float>) AS embedding")
+    found = ann.nearest(rows, rows.where("vec_id % 50 = 0")).toPandas()
+    assert len(found) == len(vectors) // 5 and recall(found, np.arange(len(vectors)), vectors.astype(float)) >= 0.92
+
+
+def test_codes_tell_how_far_they_are_off():
+    rng = np.random.default_rng(7)
+    for dim in (1, 3, 33, 64):
+        vectors = rng.normal(size=(500, dim)) * np.exp(3 * rng.normal(size=(500, 1))) + 50
+        index = ann.Index(vectors, 500, 2, 10, 1)
+        codes = index.codes(vectors)
+        off = np.sqrt(((index.decoded(codes) - index.scaled(vectors)) ** 2).sum(1))
+        assert np.allclose(codes["error"], off, rtol=1e-6) and (off <= codes["size"] * dim**0.5 / index.top / 1.99).all()
+
+
 def test_blocks_and_queries_that_are_split(spark, monkeypatch):
     rows = spark.read.parquet(EMBEDDINGS)
     whole = {(r.query_id, r["rank"], r.vec_id) for r in ann.nearest(rows, rows.where("vec_id % 20 = 0")).collect()}
